@@ -1,0 +1,49 @@
+"""Data simulated on trees. Chance is a hash of (seed, what, where), so a lost task draws the same again."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeworks.operators.characters import MISSING
+
+
+def uniform(seed: int, *where: Column) -> Column:
+    """A number in (0, 1) that depends on seed and place only."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *where), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def gaussian(seed: int, *where: Column) -> Column:
+    return F.sqrt(-2 * F.log(uniform(seed, F.lit("r"), *where))) * F.cos(2 * F.pi() * uniform(seed, F.lit("a"), *where))
+
+
+def complete_binary(spark: SparkSession, depth: int) -> DataFrame:
+    """A root, one edge, then a balanced tree of 2 ** depth leaves; nodes are numbers as text, lengths equal, the whole of height 1."""
+    length = 1.0 / (depth + 1)
+    below = spark.range(1, 1 << (depth + 1)).select(F.col("id").cast("string").alias("node"), F.floor(F.col("id") / 2).cast("string").alias("parent"), F.lit(length).alias("length"))
+    return spark.range(1).select(F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("length")).union(below)
+
+
+def cut_sites(tree: DataFrame, paths: DataFrame, leaves: DataFrame, sites: int, rate: float, states: int, silencing: float = 0.0, seed: int = 1) -> DataFrame:
+    """(cell, states) at the leaves of irreversible editing: along an edge an open site is cut with probability 1 - exp(-rate * length).
+
+    The first cut on the way from the root decides a leaf's site. ``silencing`` is the chance of losing a leaf's entry.
+    """
+    edges = tree.where("parent IS NOT NULL").select("node", "length", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))).alias("site"))
+    cuts = edges.where(uniform(seed, F.col("node"), F.col("site")) < 1 - F.exp(-rate * F.col("length"))).select(F.col("node").alias("ancestor"), "site", (1 + F.floor(uniform(seed + 1, F.col("node"), F.col("site")) * states)).cast("int").alias("state"))
+    down = paths.join(leaves, "node").join(cuts, "ancestor").groupBy("node", "site").agg(F.max_by("state", "hops").alias("state"))
+    held = leaves.join(down.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("site", "state"))).alias("m")), "node", "left")
+    each = F.transform(F.sequence(F.lit(0), F.lit(sites - 1)), lambda i: F.when(uniform(seed + 2, F.col("node"), i) < silencing, MISSING).otherwise(F.coalesce(F.try_element_at("m", i), F.lit(0))))
+    return held.select(F.col("node").alias("cell"), each.alias("states"))
+
+
+def brownian(paths: DataFrame, tree: DataFrame, diffusion: float, seed: int = 1) -> DataFrame:
+    """(node, x, y): each edge moves by a normal step of variance 2 * diffusion * length in each direction; a node is where its edges lead."""
+    scale = F.sqrt(2 * diffusion * F.coalesce("length", F.lit(0.0)))
+    steps = tree.select(F.col("node").alias("ancestor"), (scale * gaussian(seed, F.col("node"))).alias("dx"), (scale * gaussian(seed + 1, F.col("node"))).alias("dy"))
+    return paths.join(steps, "ancestor").groupBy("node").agg(F.sum("dx").alias("x"), F.sum("dy").alias("y"))
+
+
+def subsample_leaves(leaves: DataFrame, number: int, seed: int = 1) -> DataFrame:
+    """A uniform sample of ``number`` leaves without replacement."""
+    return leaves.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(number)
