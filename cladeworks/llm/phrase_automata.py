@@ -4,14 +4,14 @@ Documents are dealt to shards of about ``shard_chars`` characters. A shard sends
 that stands in a third of all documents is one row a shard. A window is filed under its anchor, the least hash
 among its runs of ``gram`` words: consecutive windows share anchors, so one row carries several windows, each as 32 bits beside
 the anchor's 64. Windows found in several shards come back to each with the smallest document that holds them.
-A shard then compiles an automaton of its recurring windows, one character a word, and streams all its
-documents. The automaton compares words, not hashes.
+A shard then compiles an automaton of its recurring passages, one character a word, and streams all its documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -89,33 +89,48 @@ class Shard:
         return pa.table([pa.array(anchor[cut].view(np.int64)), pa.array(np.full(len(cut), shard, np.int64)), pa.array(self.id_array[owner[cut]]), pa.array(at[cut]), binary], names=["anchor", "shard", "doc_id", "pos", "windows"])
 
     def removed(self, places: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-        """Per document a mask of the words to remove; places and firsts: windows and the smaller documents that have them elsewhere."""
-        out = [np.zeros(len(w), bool) for w in self.words]
-        if not len(self.first):
-            return out
-        source = self.id_array[self.owner[self.first]]  # by distinct window, the smallest document here
-        here = np.zeros(len(self.first), bool)
-        np.logical_or.at(here, self.which, self.id_array[self.owner] > source[self.which])
-        if len(places):
-            spot = self.which[np.searchsorted(self.place, places)]
-            source = source.copy()
-            np.minimum.at(source, spot, firsts)
-            here[spot] = True
+        """Per document a mask of the words to remove; places and firsts: windows and the smaller documents that have them elsewhere.
+
+        The automaton holds the recurring passages as tiles of half a window: any window of a passage holds a whole
+        tile, at a seventh of the nodes. Where a tile is found, the windows around it are checked.
+        """
+        gone = np.zeros(len(self.flat), bool)
+        if len(self.first):
+            own = self.id_array[self.owner]
+            source = own[self.first]  # by distinct window, the smallest document here
+            recurs = np.zeros(len(self.first), bool)
+            recurs[self.which[own > source[self.which]]] = True
+            if len(places):
+                spot = self.which[np.searchsorted(self.place, places)]
+                np.minimum.at(source, spot, firsts)
+                recurs[spot] = True
+            shown = np.sort(self.first[recurs])
+            found = self.located(self.place[shown], self.owner[shown])
+            at = np.searchsorted(self.place, found)
+            at = at[self.place[np.minimum(at, len(self.place) - 1)] == found]
+            at = at[recurs[self.which[at]] & (source[self.which[at]] < own[at])]
+            edge = np.zeros(len(gone) + 1, np.int64)
+            edge[self.place[at]] += 1
+            edge[self.place[at] + self.width] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+        return np.split(gone, self.starts[1:-1]) if len(self.words) else []
+
+    def located(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Starts of all windows in the shard that hold a tile of the passages that the windows ``at`` make up."""
+        if not len(at):
+            return at
+        tile = (self.width + 1) // 2
+        opens = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner) != 0)))
+        ends = at[np.append(np.flatnonzero(opens)[1:] - 1, len(at) - 1)] + self.width
+        flat = list(chain.from_iterable(self.words))
         automaton, letters = ahocorasick.Automaton(), {}
-        for at, first in zip(self.place[self.first[here]].tolist(), source[here].tolist()):
-            doc = int(np.searchsorted(self.starts, at, side="right")) - 1
-            low = at - int(self.starts[doc])
-            automaton.add_word("".join(letters.setdefault(w, chr(_FIRST + len(letters))) for w in self.words[doc][low : low + self.width]), first)
-        if not len(automaton):
-            return out
+        for low, high in zip(at[opens].tolist(), ends.tolist()):
+            for q in range(low, high - tile + 1, tile):
+                automaton.add_word("".join([letters.setdefault(w, chr(_FIRST + len(letters))) for w in flat[q : q + tile]]), 0)
         automaton.make_automaton()
-        for own, words, mask in zip(self.ids, self.words, out):
-            if own is None or len(words) < self.width:
-                continue
-            for end, first in automaton.iter("".join([letters.get(w, "-") for w in words])):
-                if first < own:
-                    mask[end - self.width + 1 : end + 1] = True
-        return out
+        stream = "".join([letters.get(w, "-") for w in flat])
+        hits = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64) - tile + 1
+        return np.unique(hits[:, None] - np.arange(self.width - tile + 1)[None, :])
 
 
 def cut(text: str, gone: np.ndarray) -> str:
