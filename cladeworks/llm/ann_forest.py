@@ -3,7 +3,7 @@
 The trees are fitted on a bounded sample on the driver: a node splits at the median along the difference of two sample
 vectors. Inner product becomes an angle by one more component, sqrt(M^2 - |x|^2), M being the largest norm of the table.
 Every vector is filed in one leaf of each tree. A query walks all trees through one queue ordered by the distance to
-the splitting planes, and so visits the ``visit`` most promising leaves of the forest.
+the splitting planes, and so visits the ``visit`` most promising leaves of the forest that hold rows.
 
 Leaves are dealt to bins of bounded size, large leaves in several parts; the number of leaves is fixed by the parameters, so
 their counts fit the driver. A bin's task holds its vectors and streams the queries that visit it, keeps the nearest of
@@ -13,7 +13,7 @@ each, and a window keeps the nearest over all bins. Scores are inner products of
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +42,8 @@ class Forest:
             out[:, t] = (t << self.depth) + node - (1 << self.depth)
         return out
 
-    def visited(self, query: np.ndarray, visit: int) -> list[int]:
-        """The first ``visit`` leaves in the order of the shared queue."""
+    def visited(self, query: np.ndarray, visit: int, held: Container[int]) -> list[int]:
+        """The first ``visit`` leaves of ``held`` in the order of the shared queue."""
         margins = self.normals @ query - self.thresholds
         queue, out, full = [(0.0, t, 1) for t in range(len(margins))], [], 1 << self.depth
         while queue and len(out) < visit:
@@ -54,7 +54,9 @@ class Forest:
                 right = margin > 0
                 heapq.heappush(queue, (max(far, abs(margin)), t, 2 * node + (not right)))
                 node = 2 * node + bool(right)
-            out.append((t << self.depth) + node - full)
+            leaf = (t << self.depth) + node - full
+            if leaf in held:
+                out.append(leaf)
         return out
 
 
@@ -154,8 +156,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             own: tuple[list[int], list[int], list[list[int]]] = ([], [], [])
             for i, query in enumerate(matrix(batch.column(1)) if batch.num_rows else ()):
                 to: dict[int, list[int]] = {}
-                for leaf in forest.visited(np.append(query, 0.0), visit):
-                    for spot in place.get(leaf, ()):
+                for leaf in forest.visited(np.append(query, 0.0), visit, place):
+                    for spot in place[leaf]:
                         to.setdefault(spot, []).append(leaf)
                 for spot, some in to.items():
                     own[0].append(spot)
