@@ -237,3 +237,46 @@ def layout(tree: DataFrame, paths: DataFrame) -> DataFrame:
     placed = ranked.select("node", (F.row_number().over(Window.orderBy("spine")) - 1).cast("double").alias("at"))
     spans = paths.join(placed, "node").groupBy(F.col("ancestor").alias("node")).agg(((F.min("at") + F.max("at")) / 2).alias("x"))
     return spans.join(node_times(paths).select("node", F.col("time").alias("y")), "node")
+
+
+def outgroups(triplets: DataFrame, paths: DataFrame) -> DataFrame:
+    """(a, b, c, out): the leaf that is left when the two with most common ancestors are put together; null if no two stand out."""
+    depth = paths.select("node", "ancestor")
+    def shared(x: str, y: str) -> DataFrame:
+        one, two = depth.withColumnRenamed("node", x), depth.withColumnRenamed("node", y)
+        return triplets.select("a", "b", "c").join(one, x).join(two, [y, "ancestor"]).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias(x + y))
+
+    all_ = shared("a", "b").join(shared("a", "c"), ["a", "b", "c"]).join(shared("b", "c"), ["a", "b", "c"])
+    out = F.when((F.col("ab") > F.col("ac")) & (F.col("ab") > F.col("bc")), F.col("c")).when((F.col("ac") > F.col("ab")) & (F.col("ac") > F.col("bc")), F.col("b")).when((F.col("bc") > F.col("ab")) & (F.col("bc") > F.col("ac")), F.col("a"))
+    return all_.select("a", "b", "c", out.alias("out"))
+
+
+def triplets_correct(triplets: DataFrame, paths1: DataFrame, paths2: DataFrame) -> DataFrame:
+    """(all, resolvable, unresolvable, n): the shares of triplets with one outgroup in both trees, of all, of those the first tree resolves and of the others; 1 where there are none."""
+    both = outgroups(triplets, paths1).join(outgroups(triplets, paths2).withColumnRenamed("out", "other"), ["a", "b", "c"])
+    same, solved = F.col("out").eqNullSafe(F.col("other")).cast("int"), F.col("out").isNotNull()
+    share = lambda on: F.coalesce(F.avg(F.when(on, same)), F.lit(1.0))
+    return both.agg(share(F.lit(True)).alias("all"), share(solved).alias("resolvable"), share(~solved).alias("unresolvable"), F.count(F.lit(1)).alias("n"))
+
+
+def impute_deducible(tree: DataFrame, paths: DataFrame, states: DataFrame, missing: int = MISSING) -> DataFrame:
+    """(node, character, state): a missing state becomes that of the nearest ancestor with a known one, if that is a cut, which cannot be undone. ``states``: node, character, state."""
+    above = states.select(F.col("node").alias("ancestor"), "character", F.col("state").alias("above")).where(F.col("above") != missing)
+    gaps = states.where(F.col("state") == missing).select("node", "character").join(paths, "node").join(above, ["ancestor", "character"])
+    near = gaps.groupBy("node", "character").agg(F.min_by("above", "hops").alias("above"))
+    return states.join(near, ["node", "character"], "left").select("node", "character", F.when((F.col("state") == missing) & (F.col("above") > 0), F.col("above")).otherwise(F.col("state")).alias("state"))
+
+
+def missing_rates(total: float, heritable_rate: float | None = None, stochastic: float | None = None, time: float = 1.0) -> tuple[float, float]:
+    """(heritable rate a unit of time, stochastic probability) from the total share of missing entries and one of the two."""
+    import math
+
+    if (heritable_rate is None) == (stochastic is None):
+        raise TreeError("give exactly one of the two")
+    if stochastic is None:
+        stochastic = 1 - (1 - total) / math.exp(-heritable_rate * time)
+    else:
+        heritable_rate = -math.log((1 - total) / (1 - stochastic)) / time
+    if stochastic < 0 or heritable_rate < 0:
+        raise TreeError("the given rate is larger than what is missing")
+    return heritable_rate, stochastic

@@ -599,3 +599,22 @@ def simulated_cut_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulated_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
     return simulate.brownian(T.closure(t), t, 0.5)
+
+
+@query(f"""{WITH_TREE}, g AS (SELECT 'C' || c_custkey AS a, lead('C' || c_custkey) OVER w AS b, lead('C' || c_custkey, 2) OVER w AS c FROM customer WINDOW w AS (ORDER BY c_custkey)),
+j AS (SELECT g.*, x.parent AS pa, y.parent AS pb, z.parent AS pc, ra.parent AS qa, rb.parent AS qb, rc.parent AS qc FROM g JOIN t x ON x.node = a JOIN t y ON y.node = b JOIN t z ON z.node = c JOIN t ra ON ra.node = x.parent JOIN t rb ON rb.node = y.parent JOIN t rc ON rc.node = z.parent),
+s AS (SELECT a, b, c, (pa = pb)::INT + (qa = qb)::INT AS ab, (pa = pc)::INT + (qa = qc)::INT AS ac, (pb = pc)::INT + (qb = qc)::INT AS bc FROM j)
+SELECT a, b, c, CASE WHEN ab > ac AND ab > bc THEN c WHEN ac > ab AND ac > bc THEN b WHEN bc > ab AND bc > ac THEN a END AS out FROM s""")
+def triplet_outgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("a"))
+    name = lambda n, by: c.select((F.col("c_custkey") - by).alias("c_custkey"), F.col("a").alias(n))
+    return T.outgroups(c.join(name("b", 1), "c_custkey").join(name("c", 2), "c_custkey"), T.closure(tree(spark, sf_dir)))
+
+
+@query(f"""{WITH_TREE}, {STATES},
+up AS (SELECT g.node, g.character, arg_min(y.state, p.hops) AS above FROM anc g JOIN path p ON p.node = g.node JOIN anc y ON y.node = p.ancestor AND y.character = g.character WHERE g.state = -1 AND y.state <> -1 GROUP BY ALL)
+SELECT anc.node, anc.character::INT AS character, CASE WHEN anc.state = -1 AND above > 0 THEN above ELSE anc.state END::INT AS state FROM anc LEFT JOIN up ON up.node = anc.node AND up.character = anc.character""")
+def impute_deducible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    paths = T.closure(t)
+    return T.impute_deducible(t, paths, written(T.ancestral_states(t, paths, leaf_states(spark, sf_dir)), "states"))
