@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from cladeworks.llm import exact_dedup, language_cnn, near_groups, packing, phrase_automata
 from cladeworks.llm.shared import scratch
 
-#: A document whose language is this uncertain is rejected; with four languages chance is 0.25.
-LEAST_SCORE = 0.4
+#: A document whose language is this uncertain is rejected; with four languages no score is below 0.25.
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
