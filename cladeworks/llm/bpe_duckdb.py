@@ -26,12 +26,12 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
     SELECT word, pos, tok, 0 FROM bytes
     UNION ALL
     (WITH pairs AS (
-        SELECT word, pos, tok, step, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        SELECT word, pos, tok, step, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS last_pos FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
     best AS (
-        SELECT p.word, min((m.merged, p.pos, p.next_pos)) AS pick
+        SELECT p.word, min(m.merged::BIGINT * 4294967296 + p.pos) AS pick
         FROM pairs p JOIN merges m ON m.left_tok = p.tok AND m.right_tok = p.next_tok GROUP BY p.word)
-    SELECT p.word, p.pos, CASE WHEN p.pos = best.pick[2] THEN best.pick[1] ELSE p.tok END, p.step + 1
-    FROM pairs p JOIN best ON best.word = p.word WHERE p.pos <> best.pick[3])),
+    SELECT p.word, p.pos, CASE WHEN p.pos = (best.pick & 4294967295) THEN (best.pick >> 32)::INT ELSE p.tok END, p.step + 1
+    FROM pairs p JOIN best ON best.word = p.word WHERE p.last_pos IS NULL OR p.last_pos <> (best.pick & 4294967295))),
 last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
 """
@@ -48,10 +48,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Encoder and decoder of one task: a DuckDB connection with the merge table and the vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000, together: int = 20_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000, together: int = 20_000):
         self.ranks, self.pattern, self.remember, self.together = ranks, regex.compile(pattern), remember, together
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = [str(i) for i in range(1 + max(ranks.values(), default=-1))]
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("left_tok", "right_tok", "merged"), zip(*pairs))}) if pairs else pa.table({n: pa.array([], pa.int32()) for n in ("left_tok", "right_tok", "merged")})
@@ -62,19 +63,20 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words; a word that is a token as a whole is that token."""
-        rows: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for i, word in enumerate(words):
+        rest = []
+        for word in words:
             data = word.encode("utf-8", "surrogatepass")
             if data in self.ranks:
                 self.known[word] = np.array([self.ranks[data]], np.int32).tobytes()
             else:
-                rows[0].extend([i] * len(data))
-                rows[1].extend(range(len(data)))
-                rows[2].extend(self.ranks[data[j : j + 1]] for j in range(len(data)))
-        if rows[0]:
-            self.db.register("bytes", pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("word", "pos", "tok"), rows)}))
+                rest.append((word, data))
+        if rest:
+            sizes = np.array([len(data) for _, data in rest])
+            flat = np.frombuffer(b"".join(data for _, data in rest), np.uint8)
+            places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self.db.register("bytes", pa.table({"word": np.repeat(np.arange(len(rest), dtype=np.int32), sizes), "pos": places.astype(np.int32), "tok": self.bytes[flat]}))
             for i, ids in self.db.execute(ENCODE).fetchall():
-                self.known[words[i]] = np.array(ids, np.int32).tobytes()
+                self.known[rest[i][0]] = np.array(ids, np.int32).tobytes()
             self.db.unregister("bytes")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
