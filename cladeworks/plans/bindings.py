@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks.operators import characters as C
-from cladeworks.operators import clones, spatial
+from cladeworks.operators import clones, evolution, spatial
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
 from cladeworks.operators import trees as T
@@ -618,3 +618,21 @@ def impute_deducible(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
     paths = T.closure(t)
     return T.impute_deducible(t, paths, written(T.ancestral_states(t, paths, leaf_states(spark, sf_dir)), "states"))
+
+
+@query()
+def shared_mutation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clades(spark, sf_dir, "shared")
+
+
+@query()
+def evolutionary_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.col("label").alias("grp"))
+    return evolution.coupling(written(P.dissimilarity_map(cm(spark, sf_dir)), "pairs"), groups, 20)
+
+
+@query()
+def log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    states = spark.range(3).select(F.col("id").cast("int").alias("character"), F.explode(F.array(F.lit(1), F.lit(2))).alias("state"), F.lit(0.5).alias("p"))
+    return evolution.log_likelihood(t, T.closure(t), leaf_states(spark, sf_dir), states, 1.0, 0.1)
