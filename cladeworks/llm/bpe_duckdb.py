@@ -35,6 +35,26 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
 last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
 """
+#: For long words: all pairs of the minimum rank are contracted in one round, from the left, where no token that begins or
+#: ends with the new one has a smaller rank, so that nothing could come between; else the leftmost only.
+ENCODE_LONG = """
+WITH RECURSIVE state(word, pos, tok, step) AS (
+    SELECT word, pos, tok, 0 FROM bytes
+    UNION ALL
+    (WITH pairs AS (
+        SELECT word, pos, tok, step, lead(tok) OVER w AS next_tok, row_number() OVER w AS place FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    ranked AS (SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY p.word) AS least FROM pairs p LEFT JOIN merges m ON m.left_tok = p.tok AND m.right_tok = p.next_tok),
+    hits AS (SELECT word, place, row_number() OVER (PARTITION BY word ORDER BY place) AS nth, merged FROM ranked WHERE merged = least),
+    runs AS (SELECT word, place, merged, nth, row_number() OVER (PARTITION BY word, place - nth ORDER BY place) AS within_run FROM hits),
+    picks AS (SELECT word, place, merged FROM runs WHERE CASE WHEN merged IN (SELECT tok FROM hasty) THEN nth = 1 ELSE within_run % 2 = 1 END)
+    SELECT r.word, r.pos, coalesce(k.merged, r.tok), r.step + 1
+    FROM ranked r LEFT JOIN picks k ON k.word = r.word AND k.place = r.place LEFT JOIN picks b ON b.word = r.word AND b.place = r.place - 1
+    WHERE r.least IS NOT NULL AND b.place IS NULL)),
+last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
+SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
+"""
+LONG = 80  # bytes of a word
+
 DECODE = """
 SELECT d.doc, array_to_string(list(v.piece ORDER BY d.pos), '') AS pieces FROM ids d JOIN vocabulary v ON v.tok = d.tok GROUP BY d.doc
 """
@@ -56,7 +76,8 @@ class Coder:
         self.names = [str(i) for i in range(1 + max(ranks.values(), default=-1))]
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("left_tok", "right_tok", "merged"), zip(*pairs))}) if pairs else pa.table({n: pa.array([], pa.int32()) for n in ("left_tok", "right_tok", "merged")})
-        for name, table in (("merges", merges), ("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))):
+        hasty = sorted({t for left, right, merged in pairs for t in (left, right) if merged < t})
+        for name, table in (("hasty", pa.table({"tok": pa.array(hasty, pa.int32())})), ("merges", merges), ("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -70,13 +91,15 @@ class Coder:
                 self.known[word] = np.array([self.ranks[data]], np.int32).tobytes()
             else:
                 rest.append((word, data))
-        if rest:
-            sizes = np.array([len(data) for _, data in rest])
-            flat = np.frombuffer(b"".join(data for _, data in rest), np.uint8)
+        for query, some in ((ENCODE, [x for x in rest if len(x[1]) <= LONG]), *((ENCODE_LONG, [x]) for x in rest if len(x[1]) > LONG)):
+            if not some:
+                continue
+            sizes = np.array([len(data) for _, data in some])
+            flat = np.frombuffer(b"".join(data for _, data in some), np.uint8)
             places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("bytes", pa.table({"word": np.repeat(np.arange(len(rest), dtype=np.int32), sizes), "pos": places.astype(np.int32), "tok": self.bytes[flat]}))
-            for i, ids in self.db.execute(ENCODE).fetchall():
-                self.known[rest[i][0]] = np.array(ids, np.int32).tobytes()
+            self.db.register("bytes", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": places.astype(np.int32), "tok": self.bytes[flat]}))
+            for i, ids in self.db.execute(query).fetchall():
+                self.known[some[i][0]] = np.array(ids, np.int32).tobytes()
             self.db.unregister("bytes")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -128,7 +151,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if ``with_ids``.
 
     Null text counts as empty: no tokens, and the hashes of empty strings. Very long texts are encoded whole; a long
-    run that the pattern leaves in one piece costs a round a merge. Repeated rows repeat, null ids are carried along, an
+    run that the pattern leaves in one piece is contracted many pairs a round. Repeated rows repeat, null ids are carried along, an
     empty table gives an empty result, and other columns are not read. ``ranks_path`` lies on every machine.
     """
 
