@@ -208,3 +208,22 @@ def test_line_templates(spark, empty):
     assert got[None] == (2, 1, "kept line alone")
     assert line_templates.drop_templates(empty).count() == 0
     assert line_templates.drop_templates(docs(spark)).count() == len(DOCS)
+
+
+def test_long_words_are_encoded_as_any(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.read_ranks(path), special_tokens={})
+    coder = bpe_duckdb.Coder(bpe_duckdb.read_ranks(path), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(3)
+    texts = ["a" * 20000, "=" * 3001, " " * 999 + "x", "ab" * 2000, "é" * 500, *("".join(rng.choice(list("abcde"), 700)) for _ in range(10)), *("".join(rng.choice(["the", "ing", "a", "ion"], 200)) for _ in range(10))]
+    assert [x.tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_atoms_do_not_change_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path)
+    rng = np.random.default_rng(5)
+    odd = ["a\nb", "a \nb", "a\n b", "x.\nY z", " .\n", "..", "a.. b", "it's. don't,", "é.,ñ, z.", "12. 3,", "_., a_. b", "end.\n\n next", "", "\0 a\0", "x\x1c y\x85 z"]
+    odd += ["".join(rng.choice(list("ab .,\n\t'é1_\x85"), int(rng.integers(1, 30)))) for _ in range(3000)]
+    assert encoder.encode(odd) == [encoder._raw([t])[0] for t in odd]
