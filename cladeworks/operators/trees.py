@@ -7,10 +7,11 @@ collapsing are joins and aggregations over it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.operators.characters import MISSING
+from cladeworks.operators.order import prefix_sums
 from cladeworks.sources.scratch import written
 
 
@@ -196,7 +197,7 @@ def gini(values: DataFrame, column: str) -> DataFrame:
     total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("x") * F.col("c")).alias("s")).first()
     if not total.n or not total.s:
         return counts.sparkSession.createDataFrame([(None,)], "gini double")
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = prefix_sums(counts, ["x"], "c")
     # ranks before + 1 .. before + c sum to c * before + c * (c + 1) / 2
     weighted = before.agg(F.sum(F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2)).alias("w"))
     return weighted.select((2 * F.col("w") / (F.lit(total.n) * F.lit(total.s)) - (F.lit(total.n) + 1) / F.lit(total.n)).alias("gini"))
@@ -233,8 +234,7 @@ def cophenetic_correlation(distances: DataFrame, dissimilarities: DataFrame) ->
 def layout(tree: DataFrame, paths: DataFrame) -> DataFrame:
     """(node, x, y): leaves at 0, 1, 2 ... by name along the tree, inner nodes midway between their outermost leaves, y the time."""
     spine = paths.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("o"), F.col("ancestor").alias("a")))).alias("p")).select("node", F.concat_ws("\u0001", F.transform("p", lambda e: e["a"])).alias("spine"))
-    ranked = written(leaves(tree).join(spine, "node"), "leaf-order")
-    placed = ranked.select("node", (F.row_number().over(Window.orderBy("spine")) - 1).cast("double").alias("at"))
+    placed = prefix_sums(leaves(tree).join(spine, "node"), ["spine"]).select("node", F.col("before").cast("double").alias("at"))
     spans = paths.join(placed, "node").groupBy(F.col("ancestor").alias("node")).agg(((F.min("at") + F.max("at")) / 2).alias("x"))
     return spans.join(node_times(paths).select("node", F.col("time").alias("y")), "node")
 
