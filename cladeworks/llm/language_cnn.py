@@ -111,12 +111,19 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, rate
     return net
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000) -> Network:
-    """Fit on at most ``sample`` rows with a language and a letter, those with the smallest hashes of id and text; a table without any gives a network without languages."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = usable.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.substring(F.col(text_col), 1, 64)).alias("h"), F.col(id_col).cast("string").alias("i"))
-    picked = rows.select("h", "i", "l", F.substring("t", 1, 8 * WINDOW).alias("t")).orderBy("h", "i", "t").limit(sample).select("t", "l").collect()
-    return fit([r.t for r in picked], [r.l for r in picked])
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, per_text: int = 4) -> Network:
+    """Fit on at most ``sample`` rows with a language and a letter, those with the smallest hashes of id and text.
+
+    Each gives ``per_text`` passages of a window's length from anywhere in its text. A table without usable rows gives a
+    network without languages.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).cast("string").alias("i"))
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    share = min(1.0, 2 * sample / max(1, labelled.where(F.col(lang_col).isNotNull()).count()))
+    some = rows.where((F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)) & F.col("t").rlike(r"\p{L}"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda k: (F.pmod(F.xxhash64("h", k), F.greatest(F.length("t") - WINDOW // 2, F.lit(1))) + 1).cast("int"))
+    picked = some.select("h", "i", "l", F.transform(starts, lambda at: F.substring(F.col("t"), at, WINDOW)).alias("w")).orderBy("h", "i", "l").limit(sample).collect()
+    return fit([w for r in picked for w in r.w], [r.l for r in picked for _ in r.w], per_text=1)
 
 
 def judge(network: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
