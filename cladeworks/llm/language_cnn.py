@@ -9,7 +9,6 @@ Only training is bounded: it takes at most ``sample`` labelled rows, chosen by h
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS, BATCH = 256, (2, 3, 4), 8, 64
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -143,7 +141,7 @@ def judge(network: Network, texts: list[str | None]) -> tuple[list[str], np.ndar
 
     held = 0
     for i, text in enumerate(texts):
-        if network.labels and text and _LETTER.search(text):
+        if network.labels and text and any(map(str.isalpha, text)):
             waiting.append((i, *windows_of(text.encode("utf-8", "surrogatepass"))))
             held += len(waiting[-1][2])
             if held > 32 * BATCH:

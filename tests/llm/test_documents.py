@@ -193,6 +193,7 @@ def test_language(spark, empty):
     right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right >= 0.97
     odd = {r.doc_id: (r.lang_pred, r.score) for r in language_cnn.predict(docs(spark), network).collect()}
+    assert language_cnn.judge(network, ["½ ² Ⅳ", "é"])[0] == ["und", language_cnn.judge(network, ["é"])[0][0]]
     assert odd[3] == odd[4] == odd[11] == ("und", 0.0) and all(0 <= s <= 1 for _, s in odd.values())
     assert language_cnn.predict(empty, network).count() == 0
     assert language_cnn.train(empty).labels == []
