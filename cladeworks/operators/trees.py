@@ -280,3 +280,29 @@ def missing_rates(total: float, heritable_rate: float | None = None, stochastic:
     if stochastic < 0 or heritable_rate < 0:
         raise TreeError("the given rate is larger than what is missing")
     return heritable_rate, stochastic
+
+
+def transition_counts(tree: DataFrame, paths: DataFrame, labels: DataFrame) -> DataFrame:
+    """(s1, s2, n): how often a node labelled s1 has a child labelled s2 over all labelings that the Fitch-Hartigan sets allow.
+
+    A child takes its parent's label if its set holds it, else any label of its set. Two tables go up the tree a level at a time: labelings
+    below a node for each label, and transitions in them. Counts are doubles, as they grow with the product of the choices.
+    """
+    depth = node_times(paths).select("node", "depth")
+    sets = written(fitch_hartigan(tree, paths, labels).select("node", F.explode("labels").alias("s"), F.col("labels").alias("set")), "label-choices")
+    edges = written(tree.where("parent IS NOT NULL").select("node", "parent").join(depth, "node"), "edges")
+    ways = written(leaves(tree).join(sets, "node").select("node", "s", F.lit(1.0).alias("n")), "ways")
+    moves = written(ways.limit(0).select("node", "s", F.col("s").alias("s1"), F.col("s").alias("s2"), "n"), "moves")
+    for level in range(depth.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        kids = edges.where(F.col("depth") == level).select("node", "parent").join(sets.select("node", F.col("s").alias("t"), "set"), "node")
+        allowed = kids.join(sets.select(F.col("node").alias("parent"), "s"), "parent").where((F.col("s") == F.col("t")) | ~F.array_contains("set", F.col("s"))).select("parent", "s", "node", "t")
+        allowed = written(allowed.join(ways.select("node", F.col("s").alias("t"), "n"), ["node", "t"]), "allowed")
+        child = allowed.groupBy("parent", "s", "node").agg(F.sum("n").alias("c"))
+        here = written(child.groupBy("parent", "s").agg(F.exp(F.sum(F.log("c"))).alias("n")), "ways")
+        rest = child.join(here.withColumnRenamed("n", "all"), ["parent", "s"]).select("parent", "s", "node", (F.col("all") / F.col("c")).alias("others"))
+        step = allowed.select("parent", "s", "node", F.col("s").alias("s1"), F.col("t").alias("s2"), "n")
+        below = allowed.select("parent", "s", "node", "t").join(moves.select("node", F.col("s").alias("t"), "s1", "s2", "n"), ["node", "t"]).select("parent", "s", "node", "s1", "s2", "n")
+        now = step.union(below).join(rest, ["parent", "s", "node"]).groupBy(F.col("parent").alias("node"), "s", "s1", "s2").agg(F.sum(F.col("n") * F.col("others")).alias("n"))
+        ways, moves = written(ways.union(here.select(F.col("parent").alias("node"), "s", "n")), "ways"), written(moves.union(now), "moves")
+    root = tree.where("parent IS NULL").select("node")
+    return moves.join(root, "node").groupBy("s1", "s2").agg(F.sum("n").alias("n"))

@@ -636,3 +636,9 @@ def log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
     states = spark.range(3).select(F.col("id").cast("int").alias("character"), F.explode(F.array(F.lit(1), F.lit(2))).alias("state"), F.lit(0.5).alias("p"))
     return evolution.log_likelihood(t, T.closure(t), leaf_states(spark, sf_dir), states, 1.0, 0.1)
+
+
+@query()
+def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    return T.transition_counts(t, T.closure(t), segments(spark, sf_dir))

@@ -140,3 +140,10 @@ def test_simulation(spark):
     assert 0.5 < shares[0] < 0.9 and 0.02 < shares[1] < 0.25
     assert simulate.brownian(paths, t, 0.3).count() == 64
     assert simulate.subsample_leaves(leaves, 7).count() == 7
+
+
+def test_transition_counts(spark):
+    t = tree(spark, [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6), (3, 7), (3, 8), (4, 9), (4, 10), (5, 11), (5, 12), (6, 13), (6, 14)])
+    labels = spark.createDataFrame([(str(7 + i), c) for i, c in enumerate("AGAACAGG")], "node string, label string")
+    got = {(r.s1, r.s2): round(r.n, 6) for r in T.transition_counts(t, T.closure(t), labels).collect()}
+    assert got == {("A", "A"): 9, ("A", "G"): 2, ("A", "C"): 1, ("G", "G"): 2}
