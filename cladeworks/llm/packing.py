@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,38 +24,67 @@ from pyspark.sql import functions as F
 from cladeworks.llm.shared import partitions_for, written
 
 LENGTH, END, DIMENSIONS, BITS = 2048, 1, 4, 12
-_MIXED = re.compile(r"\s ")
+_RUN = re.compile(r"\s[ \n]|\n\s|\0")
+_ODD = re.compile(r"[.,](?<![^\W_].)[ \n]")
+#: The byte-level alphabet: a visible character for each byte; those that are not printable follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def atoms(text: str) -> list[str]:
+    """A text cut only where the tokenizer's pattern begins a new match whatever stands around.
+
+    That is before a space that follows other than white space, around a line feed between other characters than white
+    space, and between a letter or digit and the full stop or comma that ends its word. Texts with runs of white space are one atom.
+    """
+    plain = " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text
+    if not plain and _RUN.search(text):
+        return [text]
+    cut = text.replace(" ", "\0 ")
+    if not _ODD.search(text):
+        cut = cut.replace(".\0 ", "\0.\0 ").replace(",\0 ", "\0,\0 ").replace(".\n", "\0.\n").replace(",\n", "\0,\n").replace("\n", "\0\n\0")
+    return cut.split("\0")
 
 
 class Encoder:
-    """Whole texts to ids. A space after other than white space begins a match of the tokenizer's own pattern, so a text can be cut there and its parts looked up."""
+    """Whole texts to ids: distinct atoms are tokenized once and remembered, up to ``remember`` of them."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new atoms. One that is a single Latin word is a single match of the pattern and goes to the tokenizer's merges as it is."""
+        rest, merges, space = [], self.tokenizer.model.tokenize, chr(_VISIBLE[32])
+        for atom in fresh:
+            word = atom[1:] if atom[0] == " " else atom
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
+                self.known[atom] = array("I", [t.id for t in merges(seen if atom is word else space + seen)]).tobytes()
+            else:
+                rest.append(atom)
+        for at in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[at : at + 20_000], self._raw(rest[at : at + 20_000])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.remember:
-            self.known.clear()
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _MIXED.search(text):
-                split.append(None)
-            else:
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + x for x in rest]] if rest else [first])
-        fresh = list(set().union(*(s for s in split if s is not None)).difference(self.known))
-        for at in range(0, len(fresh), 20_000):
-            self.known.update(zip(fresh[at : at + 20_000], self._raw(fresh[at : at + 20_000])))
-        return [self._raw([text])[0] if parts is None else b"".join(map(self.known.__getitem__, parts)) for text, parts in zip(texts, split)]
+            self.known = {"": b""}
+        cut = [atoms(text) for text in texts]
+        found = [list(map(self.known.get, some)) if len(some) > 1 else some for some in cut]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        self._learn(list({some[i] for some, own in zip(cut, gaps) for i in own}))
+        for some, ids, own in zip(cut, found, gaps):
+            for i in own:
+                ids[i] = self.known[some[i]]
+        return [b"".join(ids) if len(some) > 1 else self._raw(some)[0] for some, ids in zip(cut, found)]
 
 
 @lru_cache(maxsize=2)
@@ -102,11 +132,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 part = batch.slice(start, 500)
                 encoded = own.encode([x or "" for x in part.column(1).to_pylist()])
                 if table is None:
-                    table = signs(own.tokenizer.get_vocab_size()).astype(np.float32)
+                    # tokens with one pattern of signs are counted together
+                    table = (signs(own.tokenizer.get_vocab_size()) > 0).astype(np.uint8) @ (1 << np.arange(DIMENSIONS, dtype=np.uint8))
+                    corners = 2.0 * ((np.arange(1 << DIMENSIONS)[:, None] >> np.arange(DIMENSIONS)[None, :]) & 1) - 1
                 spots, packed = np.empty((len(encoded), DIMENSIONS)), []
                 for i, data in enumerate(encoded):
                     ids = np.frombuffer(data, "<u4")
-                    total = sum((table[ids[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(ids), 65536)), np.zeros(DIMENSIONS))
+                    total = np.bincount(table[ids], minlength=1 << DIMENSIONS) @ corners
                     spots[i] = total / max(1.0, np.sqrt(len(ids)) * 8)
                     packed.append(np.append(ids, end).astype("<u2" if small else "<u4").tobytes())
                 cells = np.clip((np.tanh(spots) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
