@@ -6,8 +6,9 @@ the article (navigation, forms, adverts, comments and so on) go as well, since a
 from page to page repeats no subtree. Running text in an article is never taken for a template: sentences and
 articles that a host prints twice are content.
 
-Counting shuffles hashes, never html. Only pages whose text depends on a template verdict are joined with verdicts; all
-others are extracted where they are read.
+Pages are read twice. The first time hashes are counted, and pages whose text depends on a template verdict name
+themselves; only these get verdicts. The second time texts are extracted where pages are read, with the verdicts beside them; html is shuffled
+only if the verdicts are too many to be sent to every task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.llm.shared import written
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open paragraph, and that stand as blocks of text of their own.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul html head title".split())
@@ -36,6 +39,7 @@ ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(
 LISTS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code li dd dt figcaption td th b i em strong a span u s small sub sup q cite br".split())
 MIN_PAGES, MIN_SHARE = 10, 0.3
+BROADCAST_BYTES = 8 << 20  # verdicts up to this size go to every task; larger ones are joined by page
 
 
 class Node:
@@ -144,11 +148,10 @@ def removable(node: Node, in_article: bool) -> bool:
     return node.tag not in ("#page", "html", "body", "article", "main") and not (in_article and node.tag in RUNNING)
 
 
-def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> tuple[list[str], bool]:
-    """The text blocks that stay, and whether an element whose text stays could be removed by a template verdict."""
+def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]:
+    """The text blocks that stay, in page order."""
     out: list[str] = []
     parts: list[str] = []
-    depends = False
 
     def close() -> None:
         text = " ".join("".join(parts).split())
@@ -167,13 +170,8 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> tuple[lis
                 parts.append(item)
             else:
                 node = item[0]
-                if node is not root:
-                    if structural(node, in_article):
-                        continue
-                    if removable(node, in_article):
-                        depends = True
-                        if node.hash in templates:
-                            continue
+                if node is not root and (structural(node, in_article) or (templates and removable(node, in_article) and node.hash in templates)):
+                    continue
                 if node.tag in ("br", "img", "wbr"):
                     parts.append("" if node.tag == "wbr" else " ")
                     continue
@@ -182,12 +180,27 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> tuple[lis
                     stack.append(None)
                 stack.extend(k if isinstance(k, str) else (k,) for k in reversed(node.kids))
         close()
-    return out, depends
+    return out
 
 
-def subtrees(root: Node) -> set[int]:
-    """Hashes of all subtrees for which a verdict could count and that hold text."""
-    roots, found, stack = content_roots(root), set(), [(root, False, False)]
+def undecided(roots: list[Node]) -> bool:
+    """Whether the text holds an element that a template verdict could remove."""
+    for root in roots:
+        in_article, stack = root.tag != "#page", [root]
+        while stack:
+            node = stack.pop()
+            if node is not root:
+                if structural(node, in_article):
+                    continue
+                if removable(node, in_article):
+                    return True
+            stack.extend(k for k in node.kids if not isinstance(k, str))
+    return False
+
+
+def subtrees(root: Node, roots: list[Node]) -> set[int]:
+    """Hashes of all subtrees for which a verdict could count."""
+    found, stack = set(), [(root, False, False)]
     own = {id(r) for r in roots if r is not root}
     while stack:
         node, inside, sealed = stack.pop()
@@ -219,48 +232,43 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     far as they go. An empty table gives an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    id_type = rows.schema["page_id"].dataType.simpleString()
+    id_type, key = rows.schema["page_id"].dataType.simpleString(), F.xxhash64("page_id", "url", "html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, hashes, keys = [], [], []
+            for key, url, html in zip(*(column.to_pylist() for column in batch.columns)):
                 host = host_of(url)
                 if host:
-                    found = [0, *subtrees(parse(html))]
+                    root = parse(html)
+                    roots = content_roots(root)
+                    found = [0, *subtrees(root, roots)]
                     hosts += [host] * len(found)
                     hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                    keys += [key if undecided(roots) else None] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(keys, pa.int64())], ["host", "hash", "page"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hosts, hashes = [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                root = parse(html)
-                found, depends = blocks(content_roots(root), frozenset())
-                host = host_of(url) if depends else None
-                texts.append(None if host else "\n\n".join(found))
-                hosts.append(host)
-                hashes.append(list(subtrees(root)) if host else None)
-            html = pa.array([h if host else None for h, host in zip(batch.column(2).to_pylist(), hosts)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(hashes, pa.list_(pa.int64())), html], ["page_id", "url", "text", "host", "hashes", "html"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for html, templates in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 root = parse(html)
-                seal(root)
-                texts.append("\n\n".join(blocks(content_roots(root), set(templates or []))[0]))
+                if templates:
+                    seal(root)
+                texts.append("\n\n".join(blocks(content_roots(root), set(templates or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    counts = rows.select("url", "html").mapInArrow(count, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
+    # hash 0 stands for the page itself
+    found = written(rows.select(key.alias("page"), "url", "html").mapInArrow(count, "host string, hash long, page long"), "subtrees")
+    counts = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
     total = counts.where("hash = 0").select("host", F.col("pages").alias("of"))
     templates = counts.where(f"hash <> 0 AND pages >= {int(min_pages)}").join(total, "host").where(F.col("pages") >= F.lit(min_share) * F.col("of")).select("host", "hash")
-    read = rows.mapInArrow(extract, f"page_id {id_type}, url string, text string, host string, hashes array<long>, html string")
-    done = read.where("host IS NULL").select("page_id", "url", "text")
-    open_ = read.where("host IS NOT NULL").select("page_id", "url", "html", "host", "hashes").withColumn("row", F.xxhash64("page_id", "url", "html"))
-    verdicts = open_.select("row", "host", F.explode("hashes").alias("hash")).distinct().join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("templates"))
-    joined = open_.select("row", "page_id", "url", "html").join(verdicts, "row", "left").select("page_id", "url", "html", "templates")
-    settled = joined.mapInArrow(settle, f"page_id {id_type}, url string, text string")
-    return done.unionByName(settled).withColumn("n_chars", F.length("text").cast("long"))
+    verdicts = found.where("page IS NOT NULL AND hash <> 0").distinct().join(templates, ["host", "hash"], "left_semi").groupBy("page").agg(F.collect_list("hash").alias("templates"))
+    verdicts = written(verdicts, "template-verdicts")
+    size = verdicts.agg(F.coalesce(F.sum(F.size("templates") + 4), F.lit(0))).first()[0] * 8
+    if size == 0:
+        judged = rows.withColumn("templates", F.lit(None).cast("array<long>"))
+    else:
+        side = F.broadcast(verdicts) if size <= BROADCAST_BYTES else verdicts
+        judged = rows.withColumn("page", key).join(side, "page", "left").select("page_id", "url", "html", "templates")
+    return judged.mapInArrow(extract, f"page_id {id_type}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
