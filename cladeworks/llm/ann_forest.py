@@ -6,8 +6,9 @@ Every vector is filed in one leaf of each tree. A query walks all trees through
 the splitting planes, and so visits the ``visit`` most promising leaves of the forest that hold rows.
 
 Leaves are dealt to bins of bounded size, large leaves in several parts; the number of leaves is fixed by the parameters, so
-their counts fit the driver. A bin's task holds its vectors and streams the queries that visit it, keeps the nearest of
-each, and a window keeps the nearest over all bins. Scores are inner products of the original vectors in double precision.
+their counts fit the driver. A bin's task holds its vectors and streams the queries that visit it and keeps the nearest of
+each; a row counts in the first leaf where a query meets it, and only if it scores as well as the nearest rows of the sample, which every
+query sees too. A window keeps the nearest over all bins. Scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -108,8 +109,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     largest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     if largest is None:
         return spark.createDataFrame([], schema)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    fitted = matrix(picked)
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow().combine_chunks()
+    fitted, (fitted_ids, once) = matrix(picked.column("v").combine_chunks()), np.unique(picked.column("id").to_numpy(), return_index=True)
+    fitted = fitted[once]
 
     def augmented(x: np.ndarray) -> np.ndarray:
         return np.column_stack((x, np.sqrt(np.maximum(0.0, largest - np.einsum("ij,ij->i", x, x)))))
@@ -149,28 +151,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     own[0].append(spot)
                     own[1].append(i)
                     own[2].append(some)
-            yield sent(batch, own, 0)
+            yield sent(batch, own, 0, batch.column(2).to_pylist(), [0.0] * batch.num_rows)
+
+    def seeds(query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the nearest rows of the fitted sample, which no better set can rank below."""
+        out, slack = [], 1e-9 * max(1.0, largest)
+        for own, query, scores in zip(query_ids, queries, queries @ fitted.T):
+            scores[fitted_ids == own] = -np.inf
+            floor = np.partition(scores, -min(k, len(scores)))[-min(k, len(scores))]
+            near = np.flatnonzero((scores >= floor - slack) & (scores > -np.inf))
+            exact = (fitted[near] * query).sum(axis=1)
+            order = np.lexsort((fitted_ids[near], -exact))[:k]
+            out.append((fitted_ids[near][order], exact[order]))
+        return out
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = seeds(part.column(0).to_numpy(), matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(i) for i, _ in found])), *(pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1))], ["query_id", "vec_id", "score"])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: tuple[list[int], list[int], list[list[int]]] = ([], [], [])
-            for i, query in enumerate(matrix(batch.column(1)) if batch.num_rows else ()):
-                to: dict[int, list[int]] = {}
-                for leaf in forest.visited(np.append(query, 0.0), visit, place):
-                    for spot in place[leaf]:
-                        to.setdefault(spot, []).append(leaf)
-                for spot, some in to.items():
-                    own[0].append(spot)
-                    own[1].append(i)
-                    own[2].append(some)
-            yield sent(batch, own, 1)
+            every, floors = [], []
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                queries = matrix(part.column(1))
+                floors += [scores[-1] if len(scores) == k else -np.inf for _, scores in seeds(part.column(0).to_numpy(), queries)]
+                for i, query in enumerate(queries, start):
+                    to: dict[int, list[int]] = {}
+                    every.append(forest.visited(np.append(query, 0.0), visit, place))
+                    for leaf in every[-1]:
+                        for spot in place[leaf]:
+                            to.setdefault(spot, []).append(leaf)
+                    for spot, some in to.items():
+                        own[0].append(spot)
+                        own[1].append(i)
+                        own[2].append(some)
+            yield sent(batch, own, 1, every, floors)
 
-    def sent(batch: pa.RecordBatch, own: tuple[list[int], list[int], list[list[int]]], kind: int) -> pa.RecordBatch:
+    def sent(batch: pa.RecordBatch, own: tuple[list[int], list[int], list[list[int]]], kind: int, every: list[list[int]], floors: list[float]) -> pa.RecordBatch:
         at = pa.array(own[1], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int32()), pa.array([kind] * len(at), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(own[2], pa.list_(pa.int64()))], ["bin", "kind", "id", "v", "leaves"])
+        more = [pa.array(every, pa.list_(pa.int32())).take(at), pa.array(floors, pa.float64()).take(at)]
+        return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int32()), pa.array([kind] * len(at), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(own[2], pa.list_(pa.int64())), *more], ["bin", "kind", "id", "v", "leaves", "every", "floor"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, stored, slots, ready = None, [], [], [], None
+        now, ids, stored, slots, filed_in, ready = None, [], [], [], [], None
         for batch in batches:
             spots, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((spots[1:] != spots[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(spots)]
@@ -178,47 +206,58 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 if a == b:
                     continue
                 if spots[a] != now:
-                    now, ids, stored, slots, ready = spots[a], [], [], [], None
+                    now, ids, stored, slots, filed_in, ready = spots[a], [], [], [], [], None
                 part = batch.slice(a, b - a)
                 if not kinds[a]:
                     ids.append(part.column(2).to_numpy())
                     stored.append(matrix(part.column(3)))
                     slots += part.column(4).to_pylist()
+                    filed_in.append(matrix(part.column(5)))
                     continue
                 if not ids:
                     continue
                 if ready is None:
                     leaves = sorted({x for some in slots for x in some})
-                    number, most = {x: i + 1 for i, x in enumerate(leaves)}, max(map(len, slots))
-                    ready = (np.concatenate(ids), np.concatenate(stored), number, np.array([[number[x] for x in some] + [0] * (most - len(some)) for some in slots]))
+                    number, most = np.zeros(trees << depth, np.int64), max(map(len, slots))
+                    number[leaves] = np.arange(1, len(leaves) + 1)
+                    ready = (np.concatenate(ids), np.concatenate(stored), number, np.array([[number[x] for x in some] + [0] * (most - len(some)) for some in slots]), np.concatenate(filed_in))
                 for at in range(0, b - a, 128):
                     yield best(part.slice(at, 128), *ready)
 
-    def best(part: pa.RecordBatch, ids: np.ndarray, stored: np.ndarray, number: dict[int, int], slots: np.ndarray) -> pa.RecordBatch:
-        asked_ids, asked_v = part.column(2).to_numpy(), matrix(part.column(3))
-        visits = np.zeros((len(asked_ids), len(number) + 1), bool)
-        for row, some in zip(visits, part.column(4).to_pylist()):
-            row[[number[x] for x in some if x in number]] = True
+    def best(part: pa.RecordBatch, ids: np.ndarray, stored: np.ndarray, number: np.ndarray, slots: np.ndarray, filed_in: np.ndarray) -> pa.RecordBatch:
+        """The bin's nearest rows for each query. A row that a query meets in several leaves is reported in the first of them only."""
+        asked_ids, asked_v, sample_floor = part.column(2).to_numpy(), matrix(part.column(3)), part.column(6).to_numpy()
+        visits = np.zeros((len(asked_ids), number.max() + 1), bool)
+        every = np.zeros((len(asked_ids), len(number)), bool)
+        for here, all_, some, leaves in zip(visits, every, part.column(4).to_pylist(), part.column(5).to_pylist()):
+            here[number[some]] = True
+            all_[leaves] = True
+        visits[:, 0] = False
         scores = asked_v @ stored.T
         seen = visits[:, slots[:, 0]]
         for j in range(1, slots.shape[1]):
             seen |= visits[:, slots[:, j]]
         scores[~seen | (asked_ids[:, None] == ids[None, :])] = -np.inf
-        floor = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        floor = np.maximum(np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))], sample_floor)
         slack = 1e-9 * max(1.0, largest)
         out: tuple[list[np.ndarray], ...] = ([], [], [])
         for i, query in enumerate(asked_v):
             near = np.flatnonzero((scores[i] >= floor[i] - slack) & (scores[i] > -np.inf))
             exact = (stored[near] * query).sum(axis=1)
-            near = near[order := np.lexsort((ids[near], -exact))[:k]] if len(near) else near
-            out[0].append(np.full(len(near), asked_ids[i]))
-            out[1].append(ids[near])
-            out[2].append(exact[order] if len(near) else exact)
+            order = np.lexsort((ids[near], -exact))[:k]
+            near, exact = near[order], exact[order]
+            shared = every[i][filed_in[near]]
+            first = filed_in[near, shared.argmax(axis=1)] if len(near) else near
+            mine = (slots[near] == number[first][:, None]).any(axis=1) & (number[first] > 0)
+            out[0].append(np.full(int(mine.sum()), asked_ids[i]))
+            out[1].append(ids[near][mine])
+            out[2].append(exact[mine])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-    layout = "bin int, kind int, id long, v array<double>, leaves array<long>"
+    layout = "bin int, kind int, id long, v array<double>, leaves array<long>, every array<int>, floor double"
     sides = in_leaves.mapInArrow(dealt, layout).unionByName(asked.mapInArrow(asking, layout))
     found = sides.repartition(max(1, len(bins)), "bin").sortWithinPartitions("bin", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = found.unionByName(asked.mapInArrow(seeded, "query_id long, vec_id long, score double"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
