@@ -33,11 +33,15 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.withColumn("tokens", F.filter(F.split("line", "[ \\t-\\r]+"), lambda t: t != "")).where(F.size("tokens") > 0)
+    odd = F.lit(False)
+    for space in "\t\r\x0b\x0c":
+        odd |= F.contains("line", F.lit(space))
+    tokens = F.filter(F.split(F.when(odd, F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(F.col("line")), " "), lambda t: t != "")
+    lines = lines.withColumn("tokens", tokens).where(F.size("tokens") > 0)
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), lead))
+    lines = lines.select("row", "line", F.xxhash64(F.size("tokens"), lead).alias("leaf"))
     leaves = lines.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = written(lines.join(leaves, "leaf", "left_semi").select("row", "leaf", "line", "tokens").dropDuplicates(["row", "line"]), "shared-lines")
+    shared = written(lines.join(leaves, "leaf", "left_semi").select("row", "leaf", "line").dropDuplicates(["row", "line"]), "shared-lines").withColumn("tokens", tokens)
 
     sizes = shared.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
     tokens = shared.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", F.xxhash64("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
