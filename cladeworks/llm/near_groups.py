@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +25,22 @@ WIDTH, SIMILARITY = 5, 0.8
 TABLES, SAMPLED, RADIUS, TOTAL, SETS = 48, 12, 22, 32, 500
 
 
+def whole(hashes: np.ndarray) -> bytes:
+    """128 bits that tell one set of shingles from another."""
+    return xxhash.xxh3_128_digest(np.unique(hashes).astype("<u8").tobytes())
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b): two fingerprints of every row with an id and a word."""
+    """(id, a, b, whole): two fingerprints and the hash of the set of shingles of every row with an id and a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17)))) for i, h in zip(batch.column(0).to_pylist(), (shingle_hashes(t, WIDTH) for t in batch.column(1).to_pylist())) if len(h)]
-            ids, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))], ["id", "a", "b"])
+            rows = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17))), whole(h)) for i, h in zip(batch.column(0).to_pylist(), (shingle_hashes(t, WIDTH) for t in batch.column(1).to_pylist())) if len(h)]
+            ids, a, b, sets = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)), pa.array(sets, pa.binary())], ["id", "a", "b", "whole"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id long, a long, b long")
+    return rows.mapInArrow(run, "id long, a long, b long, whole binary")
 
 
 def candidates(prints: DataFrame) -> DataFrame:
@@ -106,27 +112,32 @@ def verified(table: pa.Table, least: float = SIMILARITY) -> pa.Table:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) of every document with an id and a word: group is the smallest id of the near copies it is linked to.
 
-    Rows with equal pairs of fingerprints are one document here. An empty table gives an empty result.
+    Rows with equal sets of shingles are one document here; rows with equal fingerprints are candidates like any other.
+    An empty table gives an empty result.
     """
     of = written(sketches(docs, id_col, text_col), "sketches")
-    prints = written(of.groupBy("a", "b").agg(F.min("id").alias("first")), "distinct-sketches")
-    maybe = connected_components(candidates(prints)).withColumnRenamed("node", "first")
+    prints = written(of.groupBy("a", "b", "whole").agg(F.min("id").alias("first")), "distinct-sketches")
+    heads = prints.groupBy("a", "b").agg(F.min("first").alias("first"))
+    alike = prints.withColumnRenamed("first", "other").join(heads, ["a", "b"]).where("other <> first").select(F.col("other").alias("a"), F.col("first").alias("b"))
+    maybe = connected_components(candidates(heads).union(alike)).withColumnRenamed("node", "first")
     members = prints.join(maybe, "first")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, WIDTH)).astype("<u8").tobytes() for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["root", "first", "a", "b", "shingles"])
+            hashes = [shingle_hashes(t, WIDTH) for t in batch.column(5).to_pylist()]
+            # a repeated id meets each text of the id: the text is the row's own where the sets are equal
+            own = pa.array([whole(h) == w for h, w in zip(hashes, batch.column(4).to_pylist())], pa.bool_())
+            sets = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["root", "first", "a", "b", "shingles"]).filter(own)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(members, "first").select("root", "first", "a", "b", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(members, "first").select("root", "first", "a", "b", "whole", "text")
     sets = texts.mapInArrow(to_sets, "root long, first long, a long, b long, shingles binary")
-    # rows that repeat an id with another text are told apart by their fingerprints only; one of them speaks for the id
-    sizes = members.select("root", "first")
+    sizes = members.select("root", "first").distinct()
     dealt = in_tasks(sizes, ["root"], "first", SETS).select("task", "first")
     linked = sets.join(dealt, "first").select("task", "first", "a", "b", "shingles").groupBy("task").applyInArrow(lambda table: verified(table), "a long, b long")
     groups = connected_components(linked).withColumnRenamed("node", "first")
-    named = prints.join(groups, "first", "left").select("a", "b", F.coalesce("root", "first").alias("group"))
-    return of.join(named, ["a", "b"]).select("id", "group")
+    named = prints.join(groups, "first", "left").select("a", "b", "whole", F.coalesce("root", "first").alias("group"))
+    return of.join(named, ["a", "b", "whole"]).select("id", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

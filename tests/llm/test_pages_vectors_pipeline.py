@@ -130,6 +130,13 @@ def test_near_groups(spark):
     assert near_groups.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_groups_keep_different_texts_with_equal_fingerprints(spark):
+    line = "all rights are reserved here "
+    rows = [(i, line * 100 + " ".join(f"own{i}x{k}" for k in range(500))) for i in range(6)] + [(6, " ".join(["a b c d e"] + [f"z{k}" for k in range(40)]))]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows[:6]}) == 1
+    assert dict(near_groups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == {i: i for i in range(7)}
+
+
 def test_pipeline(spark):
     columns = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns
     now, sizes = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
