@@ -1,10 +1,11 @@
-"""Groups of near copies by SimHash, for filtering: five words a shingle, and a Jaccard similarity of 0.8 or more.
+"""Groups of near copies, for filtering: five words a shingle, and a Jaccard similarity of 0.8 or more between sets of shingles.
 
-Copies that similar differ in up to a quarter of their fingerprints' bits, too many for exact bit blocks. Candidates
-are therefore pairs that agree in one of ``TABLES`` sets of ``SAMPLED`` bits of the first fingerprint and, over both fingerprints, differ in
-``TOTAL`` of 128 bits at most; pivot distance tables and bit counts are those of the SimHash operator. At a similarity of 0.8 a pair is a
-candidate with a probability of about 0.97, beyond it sooner. Candidates are joined into components, and inside each the sets of
-shingles decide: only pairs of similarity 0.8 or more link. Large components are cut into chunks that meet two by two.
+Two searches follow each other, and in both the sets of shingles decide. The first finds most links at little cost by
+SimHash: pairs that agree in one of ``TABLES`` sets of ``SAMPLED`` bits of the first fingerprint and, over both fingerprints,
+differ in ``TOTAL`` of 128 bits at most, are joined into components, and sets are compared inside each; large components are cut
+into chunks that meet two by two. The second finds every link between the groups of the first. Shingles have one order, the
+rarer ones first. Two sets of that similarity share a shingle among the first fifth of each, and where the first shared one stands bounds what
+they can share at most; so rows meet by those shingles, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -23,11 +24,17 @@ from cladeworks.llm.simhash import CHUNK, bucket_links, fingerprint, in_tasks, r
 
 WIDTH, SIMILARITY = 5, 0.8
 TABLES, SAMPLED, RADIUS, TOTAL, SETS = 48, 12, 22, 32, 500
+#: Shingles are counted in 2**COUNTED counters, of which 2**SLICE travel together.
+COUNTED, SLICE = 19, 13
 
 
 def whole(hashes: np.ndarray) -> bytes:
-    """128 bits that tell one set of shingles from another."""
-    return xxhash.xxh3_128_digest(np.unique(hashes).astype("<u8").tobytes())
+    """128 bits that tell one sorted set of shingles from another."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WIDTH))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,7 +42,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17))), whole(h)) for i, h in zip(batch.column(0).to_pylist(), (shingle_hashes(t, WIDTH) for t in batch.column(1).to_pylist())) if len(h)]
+            rows = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17))), whole(h)) for i, h in zip(batch.column(0).to_pylist(), map(shingle_set, batch.column(1).to_pylist())) if len(h)]
             ids, a, b, sets = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)), pa.array(sets, pa.binary())], ["id", "a", "b", "whole"])
 
@@ -109,6 +116,137 @@ def verified(table: pa.Table, least: float = SIMILARITY) -> pa.Table:
     return pa.table([pa.array(ids[off]), pa.array(ids[tops[off]])], names=["a", "b"])
 
 
+def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """About how many texts hold a shingle, at its first ``COUNTED`` bits; shingles that share a counter add up."""
+    shift, n = np.uint64(64 - COUNTED), 1 << COUNTED
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n, "<i8")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (shingle_set(text) >> shift).astype(np.int64), 1)
+        if counts.any():
+            parts = counts.astype("<i4").reshape(-1, 1 << SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table([table.column("slice")[:1].cast(pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "counts"])
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    counts = np.zeros(n, np.int32)
+    for row in parts.collect():
+        counts[row["slice"] << SLICE : (row["slice"] + 1) << SLICE] = np.frombuffer(row["counts"], "<i4")
+    return counts
+
+
+def shared_heads(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+    """(key, id, n, at): of every row with n shingles the first ones in the common order, with their place, if another row has them too."""
+    counts, shift = shingle_counts(docs, text_col), np.uint64(64 - COUNTED)
+    # different sets with fewer shingles differ by too much
+    fewest = next(n for n in range(1, 1 << 16) if n >= least * (n + 1) - 1e-9)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            sizes = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingle_set(text)
+                if len(s) >= fewest:
+                    take = len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1
+                    keys.append(s[np.lexsort((s, counts[(s >> shift).astype(np.int64)]))[:take]])
+                    ids.append(i)
+                    sizes.append(len(s))
+            if ids:
+                many = [len(k) for k in keys]
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int32), many), np.concatenate([np.arange(k, dtype=np.int32) for k in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "at"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, and whether its key has been seen before it
+        seen = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            before = np.concatenate(([held is not None and held.column(0)[0].as_py() == keys[0]], same))
+            if held is not None and (seen or before[0]):
+                yield held
+            keep = before | np.concatenate((same, [False]))
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, seen = batch.slice(batch.num_rows - 1), bool(before[-1])
+        if held is not None and seen:
+            yield held
+
+    schema = "key long, id long, n int, at int"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(heads, schema)
+    return rows.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(repeated, schema)
+
+
+def head_pairs(batches: Iterator[pa.RecordBatch], least: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of ids in runs of equal tasks whose groups differ and that may be similar by their sizes and the places of what they share.
+
+    The columns are task, id, group, n, at. A run stays whole and has a bounded number of rows.
+    """
+    held = [np.empty(0, np.int64)] * 5
+
+    def found(task: np.ndarray, ids: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, step = np.arange(len(task)), 0
+        while True:
+            step += 1
+            one = one[one < len(task) - step]
+            one = one[task[one] == task[one + step]]
+            if not len(one):
+                return
+            two = one + step
+            both = n[one] + n[two]
+            # what stands before the first shared shingle is not shared
+            may = (group[one] != group[two]) & (np.minimum(n[one] - at[one], n[two] - at[two]) * (1 + least) >= least * both - 1e-6)
+            if may.any():
+                x, y = ids[one[may]], ids[two[may]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    for batch in batches:
+        held = [np.concatenate((x, batch.column(i).to_numpy().astype(np.int64))) for i, x in enumerate(held)]
+        if len(held[0]) >= 1 << 16:
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from found(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+    if len(held[0]):
+        yield from found(*held)
+
+
+def links_between(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different groups of ``named`` (first, group): of every two similar sets, each under the id ``first``."""
+    spark = docs.sparkSession
+    shared = shared_heads(docs, id_col, text_col)
+    rows = shared.join(named.select(F.col("first").alias("id"), "group"), "id")
+    rows = written(rows, "shared-heads")
+    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    dealt = in_tasks(rows.join(mixed, "key"), ["key"], "id", CHUNK).select("task", "id", "group", "n", "at")
+    pairs = dealt.repartition(partitions_for(spark), "task").sortWithinPartitions("task").mapInArrow(head_pairs, "a long, b long")
+    pairs = written(pairs.distinct(), "head-pairs")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), SIMILARITY) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["ga", "gb"]).filter(pa.array(yes, pa.bool_()))
+
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    sets = written(texts.mapInArrow(to_sets, "id long, shingles binary").join(named.withColumnRenamed("first", "id"), "id"), "pair-sets")
+    left = sets.select(F.col("id").alias("a"), F.col("group").alias("ga"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("group").alias("gb"), F.col("shingles").alias("y"))
+    held = pairs.join(left, "a").join(right, "b").select("ga", "gb", "x", "y")
+    return held.mapInArrow(compare, "ga long, gb long").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) of every document with an id and a word: group is the smallest id of the near copies it is linked to.
 
@@ -116,7 +254,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An empty table gives an empty result.
     """
     of = written(sketches(docs, id_col, text_col), "sketches")
-    prints = written(of.groupBy("a", "b", "whole").agg(F.min("id").alias("first")), "distinct-sketches")
+    prints = written(of.groupBy("whole").agg(F.min("id").alias("first"), F.first("a").alias("a"), F.first("b").alias("b")), "distinct-sketches")
     heads = prints.groupBy("a", "b").agg(F.min("first").alias("first"))
     alike = prints.withColumnRenamed("first", "other").join(heads, ["a", "b"]).where("other <> first").select(F.col("other").alias("a"), F.col("first").alias("b"))
     maybe = connected_components(candidates(heads).union(alike)).withColumnRenamed("node", "first")
@@ -124,10 +262,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, WIDTH) for t in batch.column(5).to_pylist()]
+            hashes = [shingle_set(t) for t in batch.column(5).to_pylist()]
             # a repeated id meets each text of the id: the text is the row's own where the sets are equal
             own = pa.array([whole(h) == w for h, w in zip(hashes, batch.column(4).to_pylist())], pa.bool_())
-            sets = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            sets = [h.astype("<u8").tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["root", "first", "a", "b", "shingles"]).filter(own)
 
     texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(members, "first").select("root", "first", "a", "b", "whole", "text")
@@ -136,8 +274,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = in_tasks(sizes, ["root"], "first", SETS).select("task", "first")
     linked = sets.join(dealt, "first").select("task", "first", "a", "b", "shingles").groupBy("task").applyInArrow(lambda table: verified(table), "a long, b long")
     groups = connected_components(linked).withColumnRenamed("node", "first")
-    named = prints.join(groups, "first", "left").select("a", "b", "whole", F.coalesce("root", "first").alias("group"))
-    return of.join(named, ["a", "b", "whole"]).select("id", "group")
+    # an id that repeats with other texts is in one group with all of them
+    named = written(prints.join(groups, "first", "left").select("first", "whole", F.coalesce("root", "first").alias("group")), "first-groups")
+    higher = connected_components(links_between(docs, named.select("first", "group").distinct(), id_col, text_col)).withColumnRenamed("node", "group")
+    named = named.join(higher, "group", "left").select("whole", F.coalesce("root", "group").alias("group"))
+    return of.join(named, "whole").select("id", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -137,6 +137,26 @@ def test_near_groups_keep_different_texts_with_equal_fingerprints(spark):
     assert dict(near_groups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == {i: i for i in range(7)}
 
 
+def test_near_groups_find_every_link(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for base in range(300):
+        n = int(rng.choice([12, 30, 60, 150, 400]))
+        words = [f"w{int(x)}" for x in rng.integers(0, 10**6, n)]
+        cut = int(0.2 * (n - 4))  # so many shingles less leave a similarity of just 0.8
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words[: n - cut] if base % 2 else words[cut:]))]
+    line = " ".join(f"l{k}" for k in range(300))
+    rows += [(600, line), (601, " ".join([line] * 60)), (602, line + " and")]
+    links = brute_groups(rows)
+    assert len(links) > 250
+    got = dict(near_groups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    root = {i: i for i, _ in rows}
+    for a, b in sorted(links):
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert got == root
+
+
 def test_pipeline(spark):
     columns = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns
     now, sizes = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
