@@ -102,6 +102,12 @@ def test_neighbor_joining_recovers_an_additive_tree():
     assert set(first[0]) == {0, 1} and len(first) == 3
 
 
+def test_hybrid_tree_loses_no_cell_when_rounds_run_out(spark):
+    cells = spark.createDataFrame([(i, [int(k < i) for k in range(5)]) for i in range(6)], "cell int, states array<int>")
+    with pytest.raises(RuntimeError):
+        greedy.hybrid_tree(cells, cutoff=1, rounds=2)
+
+
 def test_hybrid_tree_holds_every_cell_once(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1, 0, 0, 1, 2]) for _ in range(8)]) for i in range(120)] + [(200, [1] * 8), (201, [1] * 8)]
