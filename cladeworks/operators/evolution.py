@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.operators import trees as T
 from cladeworks.operators.characters import MISSING
+from cladeworks.operators.order import prefix_sums
 from cladeworks.sources.scratch import written
 
 
 def shuffled_labels(groups: DataFrame, shuffles: int, seed: int = 1) -> DataFrame:
     """(cell, labels): labels[0] is the cell's own category, the others its categories in random permutations. ``groups``: cell, grp."""
     order = F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("s")
-    ranked = lambda salt: groups.select("cell", "grp", order).withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), F.lit(salt), "s", "cell"), "cell")))
+    n = groups.count()
+
+    def ranked(salt: str) -> DataFrame:
+        rows = groups.select("cell", "grp", order).withColumn("h", F.xxhash64(F.lit(seed), F.lit(salt), "s", "cell"))
+        # all permutations are numbered in one order, and each has n rows
+        return prefix_sums(rows, ["s", "h", "cell"]).withColumn("k", F.col("before") - (F.col("s") - 1) * F.lit(n))
+
     dealt = ranked("to").select("s", "k", "cell").join(ranked("from").select("s", "k", "grp"), ["s", "k"])
     rows = dealt.select("cell", "s", "grp").union(groups.select("cell", F.lit(0), "grp"))
     return rows.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "grp"))), lambda x: x["grp"]).alias("labels"))

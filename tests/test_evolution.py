@@ -56,6 +56,35 @@ def test_coupling_tells_near_groups_from_far_ones(spark):
     assert E.coupling(pairs.dissimilarity_map(cells), groups, 5, min_share=0.6).count() == 0
 
 
+def test_registered_coupling_has_the_reference_background(spark, monkeypatch):
+    import inspect
+
+    from cladeworks.plans import bindings
+
+    given = []
+    monkeypatch.setattr(bindings, "cm", lambda *_: spark.createDataFrame([(0, [1]), (1, [2])], "cell int, states array<int>"))
+    signature = inspect.signature(E.coupling)
+
+    def coupling(*args, **more):
+        bound = signature.bind(*args, **more)
+        bound.apply_defaults()
+        given.append(bound.arguments["shuffles"])
+
+    monkeypatch.setattr(E, "coupling", coupling)
+    bindings.QUERIES["evolutionary_coupling"](spark, "/root/testdata/sf0.001")
+    assert given == [500]
+
+
+def test_shuffled_labels_are_permutations(spark):
+    groups = spark.createDataFrame([(i, "aab"[i % 3]) for i in range(30)], "cell int, grp string")
+    shuffled = E.shuffled_labels(groups, 7)
+    assert "row_number" not in shuffled._jdf.queryExecution().toString()
+    got = {r.cell: r.labels for r in shuffled.collect()}
+    assert all(got[i][0] == "aab"[i % 3] for i in range(30))
+    assert all(sorted(x[s] for x in got.values()) == ["a"] * 20 + ["b"] * 10 for s in range(8))
+    assert len({tuple(got[i][s] for i in range(30)) for s in range(8)}) == 8
+
+
 def test_shared_mutation_joining():
     import numpy as np
 
