@@ -1,16 +1,22 @@
 """Byte-level BPE by DuckDB recursive queries, one database a task.
 
 A task collects the distinct words (matches of the pattern) of a batch that it has not met before. Their bytes become
-rows (word, position, token). A recursive query joins neighbouring rows with the merge table and contracts each word's
-leftmost pair of minimum rank, until no word has a pair; ordered aggregation gives each word's ids. Decoding joins ids
-with the vocabulary and aggregates the pieces in order; a piece is a string with one character a byte. Words are
-remembered up to ``remember`` entries, from one task of a worker to its next, so memory does not depend on the input.
+rows (word, place, token), joined with the merge table. One recursive query then contracts, round by round, the leftmost pair of minimum
+rank of every word, and joins the two pairs beside the new token with the merge table, until no word has a pair. A
+round holds the words that are not finished, and only finished words leave the query, so memory does not grow with the rounds.
+Decoding joins ids with the vocabulary and aggregates the pieces in order; a piece is a string with one character a byte.
+
+A word is cut beforehand between two bytes that stand side by side in no token, since no merge can ever cross there: long
+runs of mixed letters fall into short words. Words are remembered up to ``remember`` entries, from one task of a worker to its next,
+so memory does not depend on the input.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,39 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENCODE = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM bytes
+WITH RECURSIVE state(word, toks, ranks) AS (
+    SELECT word, list(tok ORDER BY place), list(merged ORDER BY place)[:-2]
+    FROM bytes LEFT JOIN merges ON left_tok = tok AND right_tok = next_tok GROUP BY word
     UNION ALL
-    (WITH pairs AS (
-        SELECT word, pos, tok, step, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS last_pos FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    best AS (
-        SELECT p.word, min(m.merged::BIGINT * 4294967296 + p.pos) AS pick
-        FROM pairs p JOIN merges m ON m.left_tok = p.tok AND m.right_tok = p.next_tok GROUP BY p.word)
-    SELECT p.word, p.pos, CASE WHEN p.pos = (best.pick & 4294967295) THEN (best.pick >> 32)::INT ELSE p.tok END, p.step + 1
-    FROM pairs p JOIN best ON best.word = p.word WHERE p.last_pos IS NULL OR p.last_pos <> (best.pick & 4294967295))),
-last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
+    (WITH least AS (SELECT word, toks, ranks, list_min(ranks) AS merged FROM state),
+    spot AS (SELECT *, list_position(ranks, merged) AS p FROM least WHERE merged IS NOT NULL),
+    around AS (SELECT *, CASE WHEN p > 1 THEN toks[p - 1] END AS before, toks[p + 2] AS after FROM spot)
+    SELECT w.word, list_concat(toks[:p - 1], [w.merged], toks[p + 2:]),
+        list_concat(ranks[:greatest(p - 2, 0)], CASE WHEN before IS NULL THEN [] ELSE [b.merged] END, CASE WHEN after IS NULL THEN [] ELSE [a.merged] END, ranks[p + 2:])
+    FROM around w LEFT JOIN merges b ON b.left_tok = before AND b.right_tok = w.merged LEFT JOIN merges a ON a.left_tok = w.merged AND a.right_tok = after))
+SELECT word, toks FROM state WHERE list_min(ranks) IS NULL
 """
-#: For long words: all pairs of the minimum rank are contracted in one round, from the left, where no token that begins or
-#: ends with the new one has a smaller rank, so that nothing could come between; else the leftmost only.
-ENCODE_LONG = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM bytes
-    UNION ALL
-    (WITH pairs AS (
-        SELECT word, pos, tok, step, lead(tok) OVER w AS next_tok, row_number() OVER w AS place FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    ranked AS (SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY p.word) AS least FROM pairs p LEFT JOIN merges m ON m.left_tok = p.tok AND m.right_tok = p.next_tok),
-    hits AS (SELECT word, place, row_number() OVER (PARTITION BY word ORDER BY place) AS nth, merged FROM ranked WHERE merged = least),
-    runs AS (SELECT word, place, merged, nth, row_number() OVER (PARTITION BY word, place - nth ORDER BY place) AS within_run FROM hits),
-    picks AS (SELECT word, place, merged FROM runs WHERE CASE WHEN merged IN (SELECT tok FROM hasty) THEN nth = 1 ELSE within_run % 2 = 1 END)
-    SELECT r.word, r.pos, coalesce(k.merged, r.tok), r.step + 1
-    FROM ranked r LEFT JOIN picks k ON k.word = r.word AND k.place = r.place LEFT JOIN picks b ON b.word = r.word AND b.place = r.place - 1
-    WHERE r.least IS NOT NULL AND b.place IS NULL)),
-last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
-"""
-LONG = 80  # bytes of a word
-
 DECODE = """
 SELECT d.doc, array_to_string(list(v.piece ORDER BY d.pos), '') AS pieces FROM ids d JOIN vocabulary v ON v.tok = d.tok GROUP BY d.doc
 """
@@ -68,16 +53,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Encoder and decoder of one task: a DuckDB connection with the merge table and the vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000, together: int = 20_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000, together: int = 50_000):
         self.ranks, self.pattern, self.remember, self.together = ranks, regex.compile(pattern), remember, together
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # scratch of this worker alone, used beyond the memory limit
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = [str(i) for i in range(1 + max(ranks.values(), default=-1))]
+        self.meet = np.zeros((256, 256), bool)  # bytes that stand side by side in a token
+        inside = np.frombuffer(b"".join(ranks), np.uint8)
+        held = np.delete(np.arange(len(inside)), np.cumsum([len(t) for t in ranks]) - 1)
+        self.meet[inside[held], inside[held + 1]] = True
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("left_tok", "right_tok", "merged"), zip(*pairs))}) if pairs else pa.table({n: pa.array([], pa.int32()) for n in ("left_tok", "right_tok", "merged")})
-        hasty = sorted({t for left, right, merged in pairs for t in (left, right) if merged < t})
-        for name, table in (("hasty", pa.table({"tok": pa.array(hasty, pa.int32())})), ("merges", merges), ("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))):
+        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("left_tok", "right_tok", "merged"), zip(*pairs) if pairs else ((), (), ()))})
+        for name, table in (("merges", merges), ("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -91,16 +80,20 @@ class Coder:
                 self.known[word] = np.array([self.ranks[data]], np.int32).tobytes()
             else:
                 rest.append((word, data))
-        for query, some in ((ENCODE, [x for x in rest if len(x[1]) <= LONG]), *((ENCODE_LONG, [x]) for x in rest if len(x[1]) > LONG)):
-            if not some:
-                continue
-            sizes = np.array([len(data) for _, data in some])
-            flat = np.frombuffer(b"".join(data for _, data in some), np.uint8)
-            places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("bytes", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": places.astype(np.int32), "tok": self.bytes[flat]}))
-            for i, ids in self.db.execute(query).fetchall():
-                self.known[some[i][0]] = np.array(ids, np.int32).tobytes()
-            self.db.unregister("bytes")
+        if not rest:
+            return
+        flat, ends = np.frombuffer(b"".join(data for _, data in rest), np.uint8), np.cumsum([len(data) for _, data in rest])
+        # the last byte of a word, or of a part of it that no merge leaves
+        last = np.append(~self.meet[flat[:-1], flat[1:]], True)
+        last[ends - 1] = True
+        tokens, places = self.bytes[flat], np.arange(len(flat), dtype=np.int32)
+        part = np.cumsum(last, dtype=np.int32) - last
+        self.db.register("bytes", pa.table({"word": part.astype(np.int32), "place": places, "tok": tokens, "next_tok": pa.array(np.append(tokens[1:], 0), mask=last)}))
+        found = self.db.sql(ENCODE).to_arrow_table().sort_by("word").column("toks").combine_chunks()
+        self.db.unregister("bytes")
+        ids = found.flatten().to_numpy().tobytes()
+        upto = 4 * np.append(0, np.asarray(found.value_lengths()).cumsum())[np.append(0, part[ends - 1] + 1)]
+        self.known.update((word, ids[a:b]) for (word, _), a, b in zip(rest, upto[:-1].tolist(), upto[1:].tolist()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pattern.findall(t) for t in texts]
@@ -150,8 +143,8 @@ def blocks(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if ``with_ids``.
 
-    Null text counts as empty: no tokens, and the hashes of empty strings. Very long texts are encoded whole; a long
-    run that the pattern leaves in one piece is contracted many pairs a round. Repeated rows repeat, null ids are carried along, an
+    Null text counts as empty: no tokens, and the hashes of empty strings. Very long texts are encoded whole. A long
+    run that the pattern leaves in one piece and that cannot be cut takes a round a merge. Repeated rows repeat, null ids are carried along, an
     empty table gives an empty result, and other columns are not read. ``ranks_path`` lies on every machine.
     """
 
