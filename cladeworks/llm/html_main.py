@@ -1,26 +1,31 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, then removed.
 
-Every page's elements are hashed bottom up (tag, text and children). Spark counts, per host, the pages that hold each
-hash; a subtree on many pages of a host is a template and is deleted with all below it. Elements whose kind says that they are not
-the article (navigation, forms, adverts, comments and so on) go as well, since a site that varies its menus
-from page to page repeats no subtree. Running text in an article is never taken for a template: sentences and
-articles that a host prints twice are content.
-
-Pages are read twice. The first time hashes are counted, and pages whose text depends on a template verdict name
-themselves; only these get verdicts. The second time texts are extracted where pages are read, with the verdicts beside them; html is shuffled
-only if the verdicts are too many to be sent to every task.
+Every subtree is hashed bottom up twice: exactly (tag, text and children) and by shape (tag, class and id words and the
+set of its children's shapes, without text), since a site varies its menus, adverts and footers from page to page but not
+their markup. Spark counts, per host, the pages that hold each hash. Outside the article a shape on ``min_pages`` pages is a template and
+goes with all below it. Article markup recurs as well, so content is guarded: an ``article`` or ``main`` element is
+never a template, and on pages without one neither is a shape that holds much of its pages' text, nor anything
+inside the innermost element whose place (path of tags, class and id) holds half of the text over the host's pages. Inside the
+article only exact subtrees on a share of the host's pages go, and never running text: sentences and articles that a
+host prints twice are content.
+
+A host with too few pages to count has no templates. What the counts leave is judged by the kind of element
+(navigation, forms, adverts, comments and so on), and where a page has an article, by standing outside it. Scripts, styles and hidden parts never are text.
+
+Pages are read twice: to count, and to extract, with the verdicts of the page's host beside it. Html is shuffled only if the verdicts
+of all hosts are too many to be sent to every task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.shared import written
@@ -38,33 +43,48 @@ SITE_HEADS = frozenset(("site-header", "page-header", "top-header", "global-head
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"])}
 LISTS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code li dd dt figcaption td th b i em strong a span u s small sub sup q cite br".split())
-MIN_PAGES, MIN_SHARE = 10, 0.3
+#: Elements that frame a page; they hold its content whatever recurs.
+FRAME = frozenset(("#page", "html", "body", "article", "main"))
+MIN_PAGES, MIN_SHARE, TEMPLATE_TEXT, CONTENT_TEXT = 10, 0.3, 0.3, 0.5
+EXACT, SHAPE, PLACE = 1, 2, 3
 BROADCAST_BYTES = 8 << 20  # verdicts up to this size go to every task; larger ones are joined by page
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash")
+    __slots__ = ("tag", "attrs", "kids", "hash", "shape", "place", "chars")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.hash = self.shape = self.place = self.chars = 0
 
 
 class Tree(HTMLParser):
-    """A forgiving tree: end tags that HTML leaves out are supplied, stray ones are ignored, cut-off pages end where they end."""
+    """A forgiving tree: end tags that HTML leaves out are supplied, stray ones are ignored, cut-off pages end where they end.
+
+    Elements nest as deep as the page has them; nothing here or below recurses.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#page", {})
-        self.open = [self.root]
+        self.open, self.held = [self.root], Counter()
 
     def _end(self, tag: str, until: frozenset[str] = frozenset()) -> None:
+        if not self.held[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
+                self.held.subtract(node.tag for node in self.open[at:])
                 del self.open[at:]
                 return
             if self.open[at].tag in until:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """In HTML any marked section is a comment that ends with the next angle bracket."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end("p", frozenset(["button", "table", "td", "th", "article", "div", "section", "li", "body"]))
@@ -73,13 +93,15 @@ class Tree(HTMLParser):
                 self._end(name, LISTS.get(name, frozenset()))
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
+            self.held[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "use", "g", "circle", "rect"):
             self.open.pop()
+            self.held[tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in VOID and tag not in ("html", "body"):
@@ -96,16 +118,34 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
+def _hash(text: str) -> int:
+    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
 def seal(node: Node) -> None:
-    """Hash every subtree, iteratively."""
-    order, stack = [], [node]
+    """Hash every subtree exactly and by shape, name its place and count its characters other than white space."""
+    order, stack = [], [(node, 0)]
     while stack:
-        top = stack.pop()
+        top, above = stack.pop()
         order.append(top)
-        stack.extend(k for k in top.kids if not isinstance(k, str))
+        top.shape = _hash(f"{top.tag} {' '.join(sorted(_words(top.attrs)))}") if top.attrs else _hash(top.tag)
+        top.place = _hash(f"{above} {top.shape}")
+        stack.extend((k, top.place) for k in top.kids if not isinstance(k, str))
     for top in reversed(order):
-        parts = [top.tag, *(" ".join(k.split()) if isinstance(k, str) else f"\x01{k.hash}" for k in top.kids)]
-        top.hash = int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        parts, shapes, chars = [top.tag], set(), 0
+        for k in top.kids:
+            if isinstance(k, str):
+                words = k.split()
+                parts.append(" ".join(words))
+                chars += sum(map(len, words))
+            else:
+                parts.append(f"\x01{k.hash}")
+                shapes.add(k.shape)
+                chars += k.chars
+        top.hash, top.chars = _hash("\x00".join(parts)), 0 if top.tag in ("script", "style", "head", "template", "noscript") else chars
+        if shapes:
+            top.shape = _hash(f"{top.shape} {sorted(shapes)}")
 
 
 def structural(node: Node, in_article: bool) -> bool:
@@ -127,8 +167,8 @@ def _words(attrs: dict[str, str]) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The outermost articles that stand in nothing dropped; else the outermost main elements; else the whole page."""
+def articles(root: Node) -> list[Node]:
+    """The outermost articles that stand in nothing dropped; else the outermost main elements; else none."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     stack = [(root, frozenset())]
     while stack:
@@ -140,18 +180,73 @@ def content_roots(root: Node) -> list[Node]:
             found[kind].append(node)
         below = inside | {kind} if kind else inside
         stack.extend((k, below) for k in reversed(node.kids) if not isinstance(k, str))
-    return found["article"] or found["main"] or [root]
+    return found["article"] or found["main"]
 
 
-def removable(node: Node, in_article: bool) -> bool:
-    """Whether a template verdict counts for this element: not for the page's frame, nor for running text of an article."""
-    return node.tag not in ("#page", "html", "body", "article", "main") and not (in_article and node.tag in RUNNING)
+def above(root: Node, some: set[int]) -> set[int]:
+    """The ids of the elements ``some`` and of all that hold one of them."""
+    out, stack, path = set(), [(root, 0)], []
+    while stack:
+        node, depth = stack.pop()
+        del path[depth:]
+        path.append(id(node))
+        if path[-1] in some:
+            out.update(path)
+        stack.extend((k, depth + 1) for k in node.kids if not isinstance(k, str))
+    return out
 
 
-def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]:
-    """The text blocks that stay, in page order."""
+def evidence(root: Node) -> dict[tuple[int, int], float]:
+    """(kind, hash) -> share of the page's text, for every subtree of a page for which a verdict could count.
+
+    Where the page says what its article is, shapes outside it have no share in the text.
+    """
+    roots = articles(root)
+    own = {id(r) for r in roots}
+    frame = above(root, own) | {id(root)}
+    seal(root)
+    found: dict[tuple[int, int], float] = {}
+    stack = [(root, False, bool(roots))]
+    while stack:
+        node, inside, barred = stack.pop()
+        if node.tag in ("script", "style", "head"):
+            continue
+        inside, barred = inside or id(node) in own, barred or structural(node, False)
+        if id(node) not in frame and node.tag not in FRAME:
+            share = 0.0 if roots or not root.chars else node.chars / root.chars
+            if node.kids and (node.tag not in RUNNING or not inside and not roots):
+                found[EXACT, node.hash] = 0.0
+            if not inside and node.tag not in RUNNING:
+                found[SHAPE, node.shape] = found.get((SHAPE, node.shape), 0.0) + share
+                if not barred:
+                    found[PLACE, node.place] = found.get((PLACE, node.place), 0.0) + share
+        stack.extend((k, inside, barred) for k in node.kids if not isinstance(k, str))
+    return found
+
+
+def extract(root: Node, exact: set[int], shapes: set[int], places: set[int]) -> tuple[list[str], int, int]:
+    """The text blocks that stay, in page order; how many subtrees went as templates of the host, and how many by their kind."""
+    if exact or shapes or places:
+        seal(root)
+    roots = articles(root)
+    stated = bool(roots)
+    own = {id(r) for r in roots}
+    if not stated and places:
+        # the innermost elements at places of content
+        stack, spots = [root], []
+        while stack:
+            node = stack.pop()
+            if structural(node, False):
+                continue
+            if node.place in places:
+                spots.append(node)
+            stack.extend(k for k in node.kids if not isinstance(k, str))
+        outer = above(root, {id(n) for n in spots})
+        own = {id(n) for n in spots if not any(not isinstance(k, str) and id(k) in outer for k in n.kids)}
+    frame = above(root, own) | {id(root)}
     out: list[str] = []
     parts: list[str] = []
+    by_count = by_kind = 0
 
     def close() -> None:
         text = " ".join("".join(parts).split())
@@ -159,116 +254,98 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]
         if text:
             out.append(text)
 
-    for root in roots:
-        in_article = root.tag != "#page"
-        stack: list[object] = [(root,)]
-        while stack:
-            item = stack.pop()
-            if item is None:
-                close()
-            elif isinstance(item, str):
-                parts.append(item)
-            else:
-                node = item[0]
-                if node is not root and (structural(node, in_article) or (templates and removable(node, in_article) and node.hash in templates)):
-                    continue
-                if node.tag in ("br", "img", "wbr"):
-                    parts.append("" if node.tag == "wbr" else " ")
-                    continue
-                if node.tag in BLOCKS:
-                    close()
-                    stack.append(None)
-                stack.extend(k if isinstance(k, str) else (k,) for k in reversed(node.kids))
-        close()
-    return out
-
+    stack2: list[object] = [(root, False)]
+    while stack2:
+        item = stack2.pop()
+        if item is None:
+            close()
+            continue
+        if isinstance(item, str):
+            parts.append(item)
+            continue
+        node, inside = item
+        if id(node) in frame:
+            inside = inside or id(node) in own
+        else:
+            running = node.tag in RUNNING
+            if node.tag not in FRAME and (not running and not inside and node.shape in shapes or (not running or not inside and not stated) and node.hash in exact):
+                by_count += 1
+                continue
+            if (stated and not inside) or structural(node, inside):
+                by_kind += 1
+                continue
+        if node.tag in ("br", "img", "wbr"):
+            parts.append("" if node.tag == "wbr" else " ")
+            continue
+        if node.tag in BLOCKS:
+            close()
+            stack2.append(None)
+        # white space and text beside an article are not of it
+        stack2.extend(k if isinstance(k, str) else (k, inside) for k in reversed(node.kids) if inside or not stated or not isinstance(k, str))
+    close()
+    return out, by_count, by_kind
 
-def undecided(roots: list[Node]) -> bool:
-    """Whether the text holds an element that a template verdict could remove."""
-    for root in roots:
-        in_article, stack = root.tag != "#page", [root]
-        while stack:
-            node = stack.pop()
-            if node is not root:
-                if structural(node, in_article):
-                    continue
-                if removable(node, in_article):
-                    return True
-            stack.extend(k for k in node.kids if not isinstance(k, str))
-    return False
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case; null if it has none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1))
+    return F.when(host != "", host)
 
-def subtrees(root: Node, roots: list[Node]) -> set[int]:
-    """Hashes of all subtrees for which a verdict could count."""
-    found, stack = set(), [(root, False, False)]
-    own = {id(r) for r in roots if r is not root}
-    while stack:
-        node, inside, sealed = stack.pop()
-        inside = inside or id(node) in own
-        if node.tag in ("script", "style", "head"):
-            continue
-        if removable(node, inside) and node.kids:
-            if not sealed:
-                seal(node)
-                sealed = True
-            found.add(node.hash)
-        stack.extend((k, inside, sealed) for k in node.kids if not isinstance(k, str))
-    return found
 
+def evidence_counts(pages: DataFrame) -> DataFrame:
+    """(host, kind, hash, pages, share): of columns host and html, on how many pages of its host a hash stands, and its mean share of their text; kind 0 counts the host's pages."""
 
-def host_of(url: str | None) -> str | None:
-    try:
-        return urlsplit(url).hostname if url else None
-    except ValueError:
-        return None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, kinds, hashes, shares = [], [], [], []
+            for host, html in zip(*(column.to_pylist() for column in batch.columns)):
+                found = {(0, 0): 0.0} | evidence(parse(html))
+                hosts += [host] * len(found)
+                kinds += [k for k, _ in found]
+                hashes += [h for _, h in found]
+                shares += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(shares, pa.float64())], ["host", "kind", "hash", "share"])
+
+    found = pages.where("host IS NOT NULL").select("host", "html").mapInArrow(count, "host string, kind int, hash long, share double")
+    return found.groupBy("host", "kind", "hash").agg(F.count(F.lit(1)).alias("pages"), F.avg("share").alias("share"))
+
+
+def verdicts(counts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, template_text: float = TEMPLATE_TEXT, content_text: float = CONTENT_TEXT) -> DataFrame:
+    """(host, exact, shapes, places): the hashes of the host's templates, and of the places of its content."""
+    total = counts.where("kind = 0").select("host", F.col("pages").alias("of"))
+    many = counts.where((F.col("kind") > 0) & (F.col("pages") >= min_pages))
+    counted = (F.col("kind") == EXACT) & (F.col("pages") >= F.lit(float(min_share)) * F.col("of"))
+    shaped = (F.col("kind") == SHAPE) & (F.col("share") < template_text)
+    content = (F.col("kind") == PLACE) & (F.col("share") >= content_text) & (F.col("pages") >= F.lit(float(min_share)) * F.col("of"))
+    said = many.join(total, "host").where(counted | shaped | content)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("hash")))
+    return said.groupBy("host").agg(of(EXACT).alias("exact"), of(SHAPE).alias("shapes"), of(PLACE).alias("places"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars (code points of the text).
+    """One row per input row: page_id, url, text, n_chars (code points of the text), n_templates and n_kinds (subtrees removed by counts and by kind).
 
-    A subtree is a template of a host if it stands on at least ``min_pages`` pages and on ``min_share`` of the host's
-    pages. Null html is an empty page with empty text. A page without a host has no templates. Repeated rows repeat
-    in the result and count as pages of their own; null ids are carried along. Cut-off and malformed pages are read as
-    far as they go. An empty table gives an empty result; other columns are not read.
+    Outside the article a shape on at least ``min_pages`` pages of the host is a template, however many pages the
+    host has; an exact subtree is one from ``min_pages`` pages and ``min_share`` of the host's pages on. Null html is an empty page with empty text. A page
+    without a host, and without a url, has no templates. Repeated rows repeat in the result and count as pages of their own; null ids are carried
+    along. Cut-off and malformed pages are read as far as they go, marked sections are comments, and elements may
+    nest to any depth. Two articles of one page stay both, equal or not. An empty table gives an empty result; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    id_type, key = rows.schema["page_id"].dataType.simpleString(), F.xxhash64("page_id", "url", "html")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    id_type = rows.schema["page_id"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, hashes, keys = [], [], []
-            for key, url, html in zip(*(column.to_pylist() for column in batch.columns)):
-                host = host_of(url)
-                if host:
-                    root = parse(html)
-                    roots = content_roots(root)
-                    found = [0, *subtrees(root, roots)]
-                    hosts += [host] * len(found)
-                    hashes += found
-                    keys += [key if undecided(roots) else None] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(keys, pa.int64())], ["host", "hash", "page"])
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, templates in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                root = parse(html)
-                if templates:
-                    seal(root)
-                texts.append("\n\n".join(blocks(content_roots(root), set(templates or ()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    # hash 0 stands for the page itself
-    found = written(rows.select(key.alias("page"), "url", "html").mapInArrow(count, "host string, hash long, page long"), "subtrees")
-    counts = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
-    total = counts.where("hash = 0").select("host", F.col("pages").alias("of"))
-    templates = counts.where(f"hash <> 0 AND pages >= {int(min_pages)}").join(total, "host").where(F.col("pages") >= F.lit(min_share) * F.col("of")).select("host", "hash")
-    verdicts = found.where("page IS NOT NULL AND hash <> 0").distinct().join(templates, ["host", "hash"], "left_semi").groupBy("page").agg(F.collect_list("hash").alias("templates"))
-    verdicts = written(verdicts, "template-verdicts")
-    size = verdicts.agg(F.coalesce(F.sum(F.size("templates") + 4), F.lit(0))).first()[0] * 8
-    if size == 0:
-        judged = rows.withColumn("templates", F.lit(None).cast("array<long>"))
-    else:
-        side = F.broadcast(verdicts) if size <= BROADCAST_BYTES else verdicts
-        judged = rows.withColumn("page", key).join(side, "page", "left").select("page_id", "url", "html", "templates")
-    return judged.mapInArrow(extract, f"page_id {id_type}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+            texts, counted, kinds = [], [], []
+            for html, *said in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                blocks, by_count, by_kind = extract(parse(html), *(set(s or ()) for s in said))
+                texts.append("\n\n".join(blocks))
+                counted.append(by_count)
+                kinds.append(by_kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counted, pa.int64()), pa.array(kinds, pa.int64())], ["page_id", "url", "text", "n_templates", "n_kinds"])
+
+    said = written(verdicts(evidence_counts(rows), min_pages, min_share), "template-verdicts")
+    size = said.agg(F.coalesce(F.sum(F.size("exact") + F.size("shapes") + F.size("places") + 8), F.lit(0))).first()[0] * 8
+    judged = rows.join(F.broadcast(said) if size <= BROADCAST_BYTES else said, "host", "left").select("page_id", "url", "html", "exact", "shapes", "places")
+    out = judged.mapInArrow(run, f"page_id {id_type}, url string, text string, n_templates long, n_kinds long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates", "n_kinds")

@@ -47,6 +47,49 @@ def test_every_page_of_the_small_table_is_read(spark):
     assert got.count() == pages.count() and got.where("text = '' OR text LIKE '%<p>%'").count() == 0
 
 
+def neutral(i):
+    """A page without an article or a telling name: only counting can find its menu, notice and foot."""
+    menu = "".join(f"<li><a href='/{i}{k}'>word{i * k}</a></li>" for k in range(5))
+    notice = f"<div class='q9'>Sentence number {i * 31} of a kind</div>" * (1 + i % 2)
+    return f"<body><div class='k1'><ul>{menu}</ul></div><div class='w2'><div class='z3'><h2>Story {i}</h2><p>{'text of it ' * (20 + i)}</p><ul><li>point {i}</ul></div></div>{notice}<div class='r7'><span>made by {i}</span></div>"
+
+
+def test_templates_alone_find_what_is_not_content(spark):
+    rows = [(i, f"http://n.example/{i}", neutral(i)) for i in range(30)] + [(99, "http://few.example/", neutral(3))]
+    got = {r.page_id: r for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i].text == f"Story {i}\n\n{' '.join(['text of it'] * (20 + i))}\n\npoint {i}"
+        assert (got[i].n_templates, got[i].n_kinds) == (3 + i % 2, 0)
+    assert "made by 3" in got[99].text and got[99].n_templates == 0
+
+
+def test_evidence_counts_against_brute_force(spark):
+    rows = [(f"http://h{i % 3}.example/{i}", neutral(i) if i % 4 else page(i, f"<article><p>A {i}</p></article>")) for i in range(40)] + [(None, neutral(1)), ("no host", neutral(1))]
+    df = spark.createDataFrame(rows, "url string, html string").withColumn("host", html_main.host_of(F.col("url")))
+    want = {}
+    for url, html in rows[:40]:
+        for key, share in [((0, 0), 0.0), *html_main.evidence(html_main.parse(html)).items()]:
+            want.setdefault((url[7:17], *key), []).append(share)
+    got = {(r["host"], r["kind"], r["hash"]): (r["pages"], r["share"]) for r in html_main.evidence_counts(df).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(abs(s - sum(want[k]) / len(want[k])) < 1e-9 for k, (_, s) in got.items())
+
+
+def test_odd_pages_are_read_to_their_end(spark):
+    deep = "<b>" * 5000 + "<div>" * 3000 + "deep<script>var x=1</script><nav>menu</nav>"
+    rows = [(1, "http://a/", "<article><p>a<![foo[x]]>b<![CDATA[c]]>d<![endif]-->e"), (2, "http://a/", deep), (None, None, "<article>same</article><article>same</article>"), (3, "http://a/", "<![" + "x" * 10), (4, "http://a/", "<p>" + "long " * 300_000)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].startswith("a") and got[1].endswith("e") and got[2] == "deep" and got[None] == "same\n\nsame" and len(got[4]) == 1_499_999
+
+
+def test_no_page_crashes():
+    rng = np.random.default_rng(8)
+    pieces = ["<", ">", "</", "<!", "<![", "]>", "<!--", "-->", "p", "div", " class='a'", "article", "<p>", "</div>", "<br/>", "&am", "&#x;", "\x00", "\"", "x y", "<script>", "</script>", "<?", "<svg/>", "<title>", "<textarea>", "=", "<!DOCTYPE", "[endif]"]
+    for _ in range(3000):
+        root = html_main.parse("".join(rng.choice(pieces, int(rng.integers(1, 25)))))
+        html_main.extract(root, set(), {k for _, k in html_main.evidence(root)}, set())
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_warc_round_trip(spark, least):
     rows = [(5, "http://a/ b\r\nX: y", "<p>same</p>"), (3, None, "<p>same</p>"), (9, "http://ü/", "<p>same</p>"), (1, "u", None), (2, "u", ""), (None, "u", "<p>same</p>"), (7, "u", "other é" * 20000), (4, "u", "12345"), (6, "u", "12345"), (6, "u", "12345")]
@@ -126,7 +169,11 @@ def test_near_groups(spark):
     got = dict(near_groups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(got[i] // 10 == i // 10 for i in got), "clean documents are left alone"
     assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
-    near_groups.drop_near_duplicates(docs(spark)).count()
+    kept = near_groups.drop_near_duplicates(docs(spark)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4, 5, 8, 9, 10, 11, 12, 13] and len(kept) == 12
+    words = rows[0][1]
+    again = spark.createDataFrame([(5, words), (5, "quite another text that stands under the same number as that one"), (3, words + " end"), (5, words)], "doc_id long, text string")
+    assert sorted((r.doc_id, len(r.text)) for r in near_groups.drop_near_duplicates(again).collect()) == [(3, len(words) + 4), (5, 64)]
     assert near_groups.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
