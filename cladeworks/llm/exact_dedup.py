@@ -38,10 +38,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows with one id, one stays. Rows without an id stay."""
-    kept = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    stay = named.join(kept, named[id_col] == kept["__kept_id"], "left_semi")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row stays if its id is the one that its text keeps. Rows that share an id but not a text are judged each by
+    their own text, so none is lost; of rows that repeat an id with an equal text, one stays. Rows without an id stay.
+    """
+    kept = exact_duplicates(docs, id_col, text_col, keep).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_text")).distinct()
+    keyed = docs.withColumn("__text", F.sha2(ascii_lower(F.col(text_col)), 256))
+    named = keyed.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__text"])
+    stay = named.join(kept, (F.col(id_col) == F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")), "left_semi").drop("__text")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
 
 

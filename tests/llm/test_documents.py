@@ -47,6 +47,8 @@ def test_exact_filter(spark, empty):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 5, 7, 8, 9, 10, 11, 12, 13]
     assert kept.where("doc_id IS NULL").count() == 2
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+    shared = spark.createDataFrame([(5, "text one"), (5, "another text"), (5, "TEXT one"), (6, "third"), (7, "another text"), (3, "Third")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text.lower()) for r in exact_dedup.drop_exact_duplicates(shared).collect()) == [(3, "third"), (5, "another text"), (5, "text one")]
 
 
 def brute_fingerprint(text, width):
@@ -95,9 +97,11 @@ def test_simhash_links_lose_nothing(spark, chunk):
             base = x if rng.random() < 0.5 else base
     prints = sorted(prints)
     want = brute_components([(p, p & (2**64 - 1)) for p in prints], 4)
-    df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    got = {r.node: r.root for r in components.connected_components(simhash.links(df, 4, chunk=chunk)).collect()}
-    assert {p: got.get(p, p) for p in prints} == want
+    df = simhash.with_pivots(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    for blocks in (6, 7, 8):
+        got = {r.node: r.root for r in components.connected_components(simhash.links(df, 4, blocks, chunk)).collect()}
+        assert {p: got.get(p, p) for p in prints} == want
+    assert [simhash.blocks_for(n, 4) for n in (0, 1 << 22, 1 << 23, 1 << 30)] == [6, 6, 7, 8]
 
 
 def test_components_of_a_long_chain(spark):
