@@ -1,7 +1,7 @@
 """Groups of near copies, for filtering: five words a shingle, and a Jaccard similarity of 0.8 or more between sets of shingles.
 
 Two searches follow each other, and in both the sets of shingles decide. The first finds most links at little cost by
-SimHash: pairs that agree in one of ``TABLES`` sets of ``SAMPLED`` bits of the first fingerprint and, over both fingerprints,
+SimHash: pairs that agree in one of ``TABLES`` sets of ``SAMPLED`` bits or more (they grow with the number of texts) of the first fingerprint and, over both fingerprints,
 differ in ``TOTAL`` of 128 bits at most, are joined into components, and sets are compared inside each; large components are cut
 into chunks that meet two by two. The second finds every link between the groups of the first. Shingles have one order, the
 rarer ones first. Two sets of that similarity share a shingle among the first fifth of each, and where the first shared one stands bounds what
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm.components import connected_components
 from cladeworks.llm.shared import partitions_for, written
-from cladeworks.llm.simhash import CHUNK, bucket_links, fingerprint, in_tasks, references, shingle_hashes
+from cladeworks.llm.simhash import CHUNK, bucket_links, coordinates, fingerprint, in_runs, in_tasks, pivot_row, references, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 TABLES, SAMPLED, RADIUS, TOTAL, SETS = 48, 12, 22, 32, 500
@@ -37,45 +37,40 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b, whole): two fingerprints and the hash of the set of shingles of every row with an id and a word."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, own, text) of the rows with an id; an id and the hash of its text name a row also where ids repeat."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(id, own, a, b, whole, pivots, row): two fingerprints, the hash of the set of shingles and the row of the pivot table, of every keyed row with a word."""
+    pivots = references()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17))), whole(h)) for i, h in zip(batch.column(0).to_pylist(), map(shingle_set, batch.column(1).to_pylist())) if len(h)]
-            ids, a, b, sets = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)), pa.array(sets, pa.binary())], ["id", "a", "b", "whole"])
+            made = [(i, fingerprint(h), fingerprint((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(17))), whole(h)) for i, h in enumerate(map(shingle_set, batch.column(2).to_pylist())) if len(h)]
+            at, a, b, sets = zip(*made) if made else ((), (), (), ())
+            first, second = np.array(a, np.uint64), np.array(b, np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(2)), *(pa.array(x.view(np.int64)) for x in (first, second)), pa.array(sets, pa.binary()), pivot_row(first, pivots)], ["id", "own", "a", "b", "whole", "pivots"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id long, a long, b long, whole binary")
+    return rows.mapInArrow(run, "id long, own long, a long, b long, whole binary, pivots binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between the ids ``first`` of distinct pairs of fingerprints that may be near copies."""
+    """Links (a, b) between the rows ``first`` of distinct pairs of fingerprints that may be near copies."""
+    sampled = max(SAMPLED, prints.count().bit_length() - 6)
     rng = np.random.default_rng(17)
-    masks = [sum(1 << int(i) for i in rng.choice(64, SAMPLED, replace=False)) for _ in range(TABLES)]
+    masks = [sum(1 << int(i) for i in rng.choice(64, sampled, replace=False)) for _ in range(TABLES)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("a").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    rows = prints.select("first", "a", "b", F.explode(keys).alias("k")).select("first", "a", "b", "k.table", "k.key")
-    dealt = in_tasks(rows, ["table", "key"], "first", CHUNK).select("task", "first", "a", "b")
-    pivots = references()
+    rows = prints.select("first", "a", "b", "pivots", F.explode(keys).alias("k")).select("first", "a", "b", "pivots", "k.table", "k.key")
+    dealt = in_tasks(rows, ["table", "key"], "first", CHUNK).select("task", "first", "a", "b", "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
-
-        def found(k: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            left, right = bucket_links(k, a.view(np.uint64), RADIUS, pivots, b.view(np.uint64), TOTAL)
-            return pa.RecordBatch.from_arrays([pa.array(first[left]), pa.array(first[right])], ["a", "b"])
-
-        for batch in batches:
-            held = [np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate(held)]
-            if len(held[0]) >= 1 << 16:
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield found(*(x[:cut] for x in held))
-                    held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield found(*held)
+        for table in in_runs(batches):
+            k, first, a, b = (table.column(i).to_numpy() for i in range(4))
+            left, right = bucket_links(k, a.view(np.uint64), RADIUS, coordinates(table.column(4)), b.view(np.uint64), TOTAL)
+            yield pa.RecordBatch.from_arrays([pa.array(first[left]), pa.array(first[right])], ["a", "b"])
 
     return dealt.repartition(partitions_for(prints.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
@@ -116,7 +111,7 @@ def verified(table: pa.Table, least: float = SIMILARITY) -> pa.Table:
     return pa.table([pa.array(ids[off]), pa.array(ids[tops[off]])], names=["a", "b"])
 
 
-def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+def shingle_counts(rows: DataFrame) -> np.ndarray:
     """About how many texts hold a shingle, at its first ``COUNTED`` bits; shingles that share a counter add up."""
     shift, n = np.uint64(64 - COUNTED), 1 << COUNTED
 
@@ -133,34 +128,35 @@ def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in table.column("counts").to_pylist())
         return pa.table([table.column("slice")[:1].cast(pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "counts"])
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    parts = rows.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     counts = np.zeros(n, np.int32)
     for row in parts.collect():
         counts[row["slice"] << SLICE : (row["slice"] + 1) << SLICE] = np.frombuffer(row["counts"], "<i4")
     return counts
 
 
-def shared_heads(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """(key, id, n, at): of every row with n shingles the first ones in the common order, with their place, if another row has them too."""
-    counts, shift = shingle_counts(docs, text_col), np.uint64(64 - COUNTED)
+def shared_heads(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(key, id, own, n, at): of every keyed row with n shingles the first ones in the common order, with their place, if another row has them too."""
+    counts, shift = shingle_counts(docs), np.uint64(64 - COUNTED)
     # different sets with fewer shingles differ by too much
     fewest = next(n for n in range(1, 1 << 16) if n >= least * (n + 1) - 1e-9)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, owns = [], [], []
             sizes = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, own, text in zip(*(column.to_pylist() for column in batch.columns)):
                 s = shingle_set(text)
                 if len(s) >= fewest:
                     take = len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1
                     keys.append(s[np.lexsort((s, counts[(s >> shift).astype(np.int64)]))[:take]])
                     ids.append(i)
+                    owns.append(own)
                     sizes.append(len(s))
             if ids:
                 many = [len(k) for k in keys]
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int32), many), np.concatenate([np.arange(k, dtype=np.int32) for k in many])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "at"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(owns, np.int64), many), np.repeat(np.array(sizes, np.int32), many), np.concatenate([np.arange(k, dtype=np.int32) for k in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "own", "n", "at"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, and whether its key has been seen before it
@@ -179,9 +175,8 @@ def shared_heads(docs: DataFrame, id_col: str, text_col: str, least: float = SIM
         if held is not None and seen:
             yield held
 
-    schema = "key long, id long, n int, at int"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(heads, schema)
-    return rows.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(repeated, schema)
+    schema = "key long, id long, own long, n int, at int"
+    return docs.mapInArrow(heads, schema).repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(repeated, schema)
 
 
 def head_pairs(batches: Iterator[pa.RecordBatch], least: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
@@ -218,11 +213,10 @@ def head_pairs(batches: Iterator[pa.RecordBatch], least: float = SIMILARITY) ->
         yield from found(*held)
 
 
-def links_between(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different groups of ``named`` (first, group): of every two similar sets, each under the id ``first``."""
+def links_between(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) between different groups of ``named`` (first, id, own, group): of every two similar sets, each under the row ``first``; ``docs`` is keyed."""
     spark = docs.sparkSession
-    shared = shared_heads(docs, id_col, text_col)
-    rows = shared.join(named.select(F.col("first").alias("id"), "group"), "id")
+    rows = shared_heads(docs).join(named, ["id", "own"]).select("key", F.col("first").alias("id"), "group", "n", "at")
     rows = written(rows, "shared-heads")
     mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     dealt = in_tasks(rows.join(mixed, "key"), ["key"], "id", CHUNK).select("task", "id", "group", "n", "at")
@@ -231,57 +225,64 @@ def links_between(docs: DataFrame, named: DataFrame, id_col: str, text_col: str)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t).astype("<u8").tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["first", "group", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), SIMILARITY) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["ga", "gb"]).filter(pa.array(yes, pa.bool_()))
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    sets = written(texts.mapInArrow(to_sets, "id long, shingles binary").join(named.withColumnRenamed("first", "id"), "id"), "pair-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("group").alias("ga"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("group").alias("gb"), F.col("shingles").alias("y"))
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "first").join(named, "first")
+    texts = docs.join(wanted, ["id", "own"]).dropDuplicates(["first"]).select("first", "group", "text")
+    sets = written(texts.mapInArrow(to_sets, "first long, group long, shingles binary"), "pair-sets")
+    left = sets.select(F.col("first").alias("a"), F.col("group").alias("ga"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("first").alias("b"), F.col("group").alias("gb"), F.col("shingles").alias("y"))
     held = pairs.join(left, "a").join(right, "b").select("ga", "gb", "x", "y")
     return held.mapInArrow(compare, "ga long, gb long").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group) of every document with an id and a word: group is the smallest id of the near copies it is linked to.
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, own, group) of every row with an id and a word: own is the hash of its text, group the smallest id of the near copies it is linked to.
 
-    Rows with equal sets of shingles are one document here; rows with equal fingerprints are candidates like any other.
-    An empty table gives an empty result.
+    Rows with equal sets of shingles are one text here; texts with equal fingerprints are candidates like any other.
+    Rows that share an id but not a text are texts of their own. An empty table gives an empty result.
     """
-    of = written(sketches(docs, id_col, text_col), "sketches")
-    prints = written(of.groupBy("whole").agg(F.min("id").alias("first"), F.first("a").alias("a"), F.first("b").alias("b")), "distinct-sketches")
-    heads = prints.groupBy("a", "b").agg(F.min("first").alias("first"))
-    alike = prints.withColumnRenamed("first", "other").join(heads, ["a", "b"]).where("other <> first").select(F.col("other").alias("a"), F.col("first").alias("b"))
+    rows = keyed(docs, id_col, text_col)
+    of = written(sketches(rows), "sketches")
+    prints = of.groupBy("whole").agg(F.min("row").alias("first"), *(F.min_by(c, "row").alias(c) for c in ("id", "own", "a", "b", "pivots")))
+    prints = written(prints, "distinct-sketches")
+    heads = prints.groupBy("a", "b").agg(F.min("first").alias("first"), F.min_by("pivots", "first").alias("pivots"))
+    alike = prints.withColumnRenamed("first", "other").join(heads.select("a", "b", "first"), ["a", "b"]).where("other <> first").select(F.col("other").alias("a"), F.col("first").alias("b"))
     maybe = connected_components(candidates(heads).union(alike)).withColumnRenamed("node", "first")
-    members = prints.join(maybe, "first")
+    members = written(prints.drop("pivots", "whole").join(maybe, "first"), "maybe-near")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_set(t) for t in batch.column(5).to_pylist()]
-            # a repeated id meets each text of the id: the text is the row's own where the sets are equal
-            own = pa.array([whole(h) == w for h, w in zip(hashes, batch.column(4).to_pylist())], pa.bool_())
-            sets = [h.astype("<u8").tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["root", "first", "a", "b", "shingles"]).filter(own)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(members, "first").select("root", "first", "a", "b", "whole", "text")
-    sets = texts.mapInArrow(to_sets, "root long, first long, a long, b long, shingles binary")
-    sizes = members.select("root", "first").distinct()
-    dealt = in_tasks(sizes, ["root"], "first", SETS).select("task", "first")
+            sets = [shingle_set(t).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["first", "a", "b", "shingles"])
+
+    texts = rows.join(members, ["id", "own"]).dropDuplicates(["first"]).select("first", "a", "b", "text")
+    sets = texts.mapInArrow(to_sets, "first long, a long, b long, shingles binary")
+    dealt = in_tasks(members.select("root", "first"), ["root"], "first", SETS).select("task", "first")
     linked = sets.join(dealt, "first").select("task", "first", "a", "b", "shingles").groupBy("task").applyInArrow(lambda table: verified(table), "a long, b long")
     groups = connected_components(linked).withColumnRenamed("node", "first")
-    # an id that repeats with other texts is in one group with all of them
-    named = written(prints.join(groups, "first", "left").select("first", "whole", F.coalesce("root", "first").alias("group")), "first-groups")
-    higher = connected_components(links_between(docs, named.select("first", "group").distinct(), id_col, text_col)).withColumnRenamed("node", "group")
-    named = named.join(higher, "group", "left").select("whole", F.coalesce("root", "group").alias("group"))
-    return of.join(named, "whole").select("id", "group")
+    named = prints.select("first", "whole", "id", "own").join(groups, "first", "left").withColumn("group", F.coalesce("root", "first"))
+    named = written(named.drop("root"), "first-groups")
+    higher = connected_components(links_between(rows, named.select("first", "id", "own", "group"))).withColumnRenamed("node", "group")
+    named = named.join(higher, "group", "left").select("whole", F.coalesce("root", "group").alias("root"))
+    found = written(of.select("id", "own", "whole").join(named, "whole").select("id", "own", "root"), "near-rows")
+    return found.join(found.groupBy("root").agg(F.min("id").alias("group")), "root").select("id", "own", "group")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group) of ``grouped``."""
+    return grouped(docs, id_col, text_col).select("id", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, less those whose group holds a smaller id. Rows without an id or a word stay."""
-    gone = near_groups(docs, id_col, text_col).where("id <> group").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows, with all their columns, less those whose group holds a smaller id.
+
+    Rows without an id or a word stay. A row is judged by its own text also where its id repeats.
+    """
+    gone = grouped(docs, id_col, text_col).where("id <> group").select(F.col("id").alias("__gone"), F.col("own").alias("__own")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__own"]), "left_anti")

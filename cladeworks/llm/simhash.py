@@ -1,13 +1,14 @@
 """SimHash near-duplicates, searched with pivot distance tables.
 
-Fingerprints that link differ in few bits. Each distinct fingerprint gets a row of a pivot table: its Hamming
-distances to many fixed reference fingerprints. By the triangle inequality two fingerprints within ``radius`` differ by
+Fingerprints that link differ in few bits. Each distinct fingerprint gets a row of a pivot table, computed once and
+carried beside it: its Hamming distances to many fixed reference fingerprints. By the triangle inequality two fingerprints within ``radius`` differ by
 at most ``radius`` in every coordinate, so a pair with a larger difference anywhere is discarded; survivors are verified
 by exclusive or and bit count.
 
 The table alone does not enumerate pairs in less than quadratic work, since a random pair passes one random reference
 more often than not. Pairs are therefore only formed among fingerprints that agree on ``blocks - radius`` of ``blocks``
-bit blocks: any pair within ``radius`` does so for at least one choice of blocks, so no link is lost. Buckets over
+bit blocks: any pair within ``radius`` does so for at least one choice of blocks, so no link is lost. The number of
+blocks grows with the number of fingerprints, so that the keys grow longer and the buckets do not fill. Buckets over
 ``chunk`` fingerprints are cut into chunks that meet two by two in tasks of their own. A bucket's links leave it as
 stars, one row a fingerprint, never as all pairs.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from cladeworks.llm.components import connected_components
 from cladeworks.llm.shared import LOWER, UPPER, partitions_for, written
 
-RADIUS, BLOCKS, CHUNK, PIVOTS = 4, 6, 4096, 16
+RADIUS, CHUNK, PIVOTS = 4, 4096, 32
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -89,12 +90,21 @@ def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
         label = new
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, pivots: np.ndarray, more: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of fingerprints within ``radius`` in runs of equal ``keys`` (sorted).
+def pivot_row(prints: np.ndarray, pivots: np.ndarray) -> pa.Array:
+    """The rows of the pivot table, a byte a distance."""
+    return pa.array([row.tobytes() for row in np.bitwise_count(prints[:, None] ^ pivots[None, :])], pa.binary())
+
+
+def coordinates(rows: pa.Array) -> np.ndarray:
+    """(pivot, row): the distances that ``pivot_row`` made."""
+    return np.frombuffer(b"".join(rows.to_pylist()), np.int8).reshape(len(rows), -1).T.copy()
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int, table: np.ndarray, more: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of fingerprints within ``radius`` in runs of equal ``keys`` (sorted), with their coordinates in ``table``.
 
     ``more`` holds a second fingerprint of each; both together then differ in ``total`` bits at most.
     """
-    table = np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8).T.copy()
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, step, held = np.arange(len(keys)), 0, 0
     while True:
@@ -127,33 +137,58 @@ def in_tasks(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataF
     return dealt.withColumn("task", F.xxhash64(*keys, F.least("c", "d"), F.greatest("c", "d"))).drop("g", "c", "d")
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): stars that connect all distinct fingerprints ``fp`` within ``radius``."""
-    spark, width = prints.sparkSession, 64 / blocks
-    edges = [round(i * width) for i in range(blocks + 1)]
+def blocks_for(count: int, radius: int) -> int:
+    """How many bit blocks keep the buckets of ``count`` fingerprints short: keys have radius blocks less, so 21, 27 and 32 bits for a radius of four."""
+    return radius + 2 + sum(count > limit for limit in (1 << 22, 1 << 28))
+
+
+def with_pivots(prints: DataFrame) -> DataFrame:
+    """Add ``pivots``, the row of the pivot table, to fingerprints ``fp``."""
+    references_ = references()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = pivot_row(batch.column("fp").to_numpy().view(np.uint64), references_)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "pivots"])
+
+    return prints.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prints.schema) + ", pivots binary")
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, joined so that rows with equal values there stay together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): stars that connect all distinct fingerprints ``fp`` within ``radius``; ``pivots`` beside them."""
+    spark = prints.sparkSession
+    blocks = blocks or blocks_for(prints.count(), radius)
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in some) for some in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    banded = prints.select("fp", F.explode(keys).alias("k")).select("k.band", "k.key", "fp")
-    dealt = in_tasks(banded, ["band", "key"], "fp", chunk).select("task", "fp")
-    pivots = references()
+    banded = prints.select("fp", "pivots", F.explode(keys).alias("k")).select("k.band", "k.key", "fp", "pivots")
+    dealt = in_tasks(banded, ["band", "key"], "fp", chunk).select("task", "fp", "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def found(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(k, f.view(np.uint64), radius, pivots)
-            return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], ["a", "b"])
-
-        for batch in batches:
-            held_k, held_f = np.concatenate((held_k, batch.column(0).to_numpy())), np.concatenate((held_f, batch.column(1).to_numpy()))
-            if len(held_k) >= 1 << 16:
-                cut = int(np.searchsorted(held_k, held_k[-1]))
-                if cut:
-                    yield found(held_k[:cut], held_f[:cut])
-                    held_k, held_f = held_k[cut:], held_f[cut:]
-        if len(held_k):
-            yield found(held_k, held_f)
+        for table in in_runs(batches):
+            keys, fps = table.column(0).to_numpy(), table.column(1).to_numpy()
+            a, b = bucket_links(keys, fps.view(np.uint64), radius, coordinates(table.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
 
     return dealt.repartition(partitions_for(spark), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
@@ -166,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless all its ids are null. An empty table gives an empty result; other columns are not read.
     """
     of = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    prints = written(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    prints = written(with_pivots(of.groupBy("fp").agg(F.min("doc_id").alias("first"))), "pivot-table")
     roots = connected_components(links(prints, radius))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
