@@ -1,10 +1,18 @@
-"""Repeated passages: recurring windows of words are confirmed over the corpus, compiled into sharded Aho-Corasick automata, and located by streaming every document through its shard's automaton.
+"""Repeated passages: recurring windows of words are confirmed over the corpus, compiled into sharded Aho-Corasick automata, and every document is streamed through an automaton.
 
-Documents are dealt to shards of about ``shard_chars`` characters. A shard sends each distinct window once, so a passage
-that stands in a third of all documents is one row a shard. A window is filed under its anchor, the least hash
-among its runs of ``gram`` words: consecutive windows share anchors, so one row carries several windows, each as 32 bits beside
-the anchor's 64. Windows found in several shards come back to each with the smallest document that holds them.
-A shard then compiles an automaton of its recurring passages, one character a word, and streams all its documents.
+Documents are dealt to shards of about ``shard_chars`` characters, and four steps follow.
+
+1. A shard sends the hash of each of its distinct windows once, so a passage that stands in a third of all documents is one
+   entry a shard. A window goes to the bucket of its anchor, the least hash among its runs of ``gram`` words, since consecutive windows
+   share anchors and travel together. Runs of words that are common in a sample of the texts are no anchors; a window
+   that has no other goes to the bucket of its own hash. The sample steers only where a window is counted, never what is found.
+2. A bucket confirms the windows that recur, names the smallest document of each, and asks the shard of that document for its words.
+3. That shard cuts the passages out of its texts and sends them to every shard that holds them.
+4. A shard compiles the windows of its passages, as words and not as hashes, into an automaton, and streams all its
+   documents through it. A hit on a window that starts in a smaller document removes the hit's words, and nothing else does.
+
+Hashes only propose: two windows that share the 63 bits and the bucket can hide a repeat behind another one, but no word goes
+without a hit on equal words.
 """
 
 from __future__ import annotations
@@ -16,16 +24,17 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.shared import WORD, partitions_for
 
-WIDTH, GRAM, SHARD_CHARS = 13, 5, 2_000_000
+WIDTH, GRAM, SHARD_CHARS, BUCKET_CHARS, SAMPLED_TEXTS, COMMON_SHARE = 13, 5, 2_000_000, 16_000_000, 2000, 0.01
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FIRST = 0x10000  # code points from here on stand for words; there are more than a shard has words
+_ONE = np.uint64(1)
+#: A word is two characters in an automaton, so that no node has many children: one from the first range, one from the second.
+_HIGH, _LOW, _BASE, _NONE = 0x10000, 0x1000, 512, ord("-")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,94 +52,159 @@ def run_hashes(words: np.ndarray, count: int) -> np.ndarray:
     return mixed(out)
 
 
-class Shard:
+class Texts:
     """The documents of one shard in the order of (doc_id, text), their words one after the other."""
 
-    def __init__(self, table: pa.Table, width: int, gram: int):
+    def __init__(self, table: pa.Table):
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        self.ids, self.texts, self.width = [r[0] for r in rows], [r[1] for r in rows], width
+        self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
         self.words = [(r[1] or "").encode("utf-8", "surrogatepass").split() for r in rows]
         self.starts = np.concatenate(([0], np.cumsum([len(w) for w in self.words], dtype=np.int64))).astype(np.int64)
-        known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*map(set, self.words))}
-        flat = np.fromiter((known[w] for words in self.words for w in words), np.uint64, int(self.starts[-1]))
-        owner = np.repeat(np.arange(len(rows)), np.diff(self.starts))
-        windows = run_hashes(flat, width)
-        whole = np.flatnonzero(owner[: len(windows)] == owner[width - 1 :]) if len(windows) else np.empty(0, np.int64)
-        self.place, self.hash, self.owner = whole, windows[whole], owner[whole] if len(whole) else whole
         # a null id is larger than none and smaller than none: it is no source and loses nothing
-        named = np.array([i is not None for i in self.ids], bool)
-        sound = named[self.owner] if len(whole) else np.empty(0, bool)
-        self.place, self.hash, self.owner = self.place[sound], self.hash[sound], self.owner[sound]
-        self.flat, self.gram = flat, gram
         self.id_array = np.array([-(2**63) if i is None else i for i in self.ids], np.int64)
-        _, self.first, self.which = np.unique(self.hash, return_index=True, return_inverse=True)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the distinct windows, in the order of ``first`` sorted: anchor hash and the anchor's place."""
-        grams, at = run_hashes(self.flat, self.gram), self.place[np.sort(self.first)]
-        best, where = grams[at], at.copy()
-        for j in range(1, self.width - self.gram + 1):
-            other = grams[at + j]
-            less = other < best
-            best, where = np.where(less, other, best), np.where(less, at + j, where)
-        return best, where
-
-    def rows(self, shard: int) -> pa.Table:
-        """A row for each run of distinct windows with one anchor."""
-        kept = np.sort(self.first)
-        if not len(kept):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["anchor", "shard", "doc_id", "pos", "windows"])
-        anchor, where = self.anchors()
-        at, owner = self.place[kept], self.owner[kept]
-        cut = np.concatenate(([0], np.flatnonzero((np.diff(where) != 0) | (np.diff(at) != 1) | (np.diff(owner) != 0)) + 1))
-        tags = np.ascontiguousarray((self.hash[kept] >> np.uint64(32)).astype("<u4"))
-        offsets = np.append(cut * 4, len(tags) * 4).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tags.tobytes())])
-        return pa.table([pa.array(anchor[cut].view(np.int64)), pa.array(np.full(len(cut), shard, np.int64)), pa.array(self.id_array[owner[cut]]), pa.array(at[cut]), binary], names=["anchor", "shard", "doc_id", "pos", "windows"])
-
-    def removed(self, places: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-        """Per document a mask of the words to remove; places and firsts: windows and the smaller documents that have them elsewhere.
-
-        The automaton holds the recurring passages as tiles of half a window: any window of a passage holds a whole
-        tile, at a seventh of the nodes. Where a tile is found, the windows around it are checked.
-        """
-        gone = np.zeros(len(self.flat), bool)
-        if len(self.first):
-            own = self.id_array[self.owner]
-            source = own[self.first]  # by distinct window, the smallest document here
-            recurs = np.zeros(len(self.first), bool)
-            recurs[self.which[own > source[self.which]]] = True
-            if len(places):
-                spot = self.which[np.searchsorted(self.place, places)]
-                np.minimum.at(source, spot, firsts)
-                recurs[spot] = True
-            shown = np.sort(self.first[recurs])
-            found = self.located(self.place[shown], self.owner[shown])
-            at = np.searchsorted(self.place, found)
-            at = at[self.place[np.minimum(at, len(self.place) - 1)] == found]
-            at = at[recurs[self.which[at]] & (source[self.which[at]] < own[at])]
-            edge = np.zeros(len(gone) + 1, np.int64)
-            edge[self.place[at]] += 1
-            edge[self.place[at] + self.width] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-        return np.split(gone, self.starts[1:-1]) if len(self.words) else []
-
-    def located(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Starts of all windows in the shard that hold a tile of the passages that the windows ``at`` make up."""
-        if not len(at):
-            return at
-        tile = (self.width + 1) // 2
-        opens = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner) != 0)))
-        ends = at[np.append(np.flatnonzero(opens)[1:] - 1, len(at) - 1)] + self.width
-        flat = list(chain.from_iterable(self.words))
-        automaton, letters = ahocorasick.Automaton(), {}
-        for low, high in zip(at[opens].tolist(), ends.tolist()):
-            for q in range(low, high - tile + 1, tile):
-                automaton.add_word("".join([letters.setdefault(w, chr(_FIRST + len(letters))) for w in flat[q : q + tile]]), 0)
-        automaton.make_automaton()
-        stream = "".join([letters.get(w, "-") for w in flat])
-        hits = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64) - tile + 1
-        return np.unique(hits[:, None] - np.arange(self.width - tile + 1)[None, :])
+
+    def hashes(self) -> np.ndarray:
+        known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*map(set, self.words))}
+        return np.fromiter((known[w] for words in self.words for w in words), np.uint64, int(self.starts[-1]))
+
+
+def pieces(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """The bytes of ``values`` between consecutive places of ``cut``."""
+    data, size = values.tobytes(), values.itemsize
+    return [data[a * size : b * size] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def windows_sent(texts: Texts, shard: int, width: int, gram: int, buckets: int, common: np.ndarray) -> pa.Table:
+    """A row for each bucket: runs of distinct windows with one bucket, as documents, places, lengths and window hashes.
+
+    The last bit of a window's hash says that a larger document of the shard has the window too.
+    """
+    flat = texts.hashes()
+    owner = np.repeat(np.arange(len(texts.ids)), np.diff(texts.starts))
+    windows = run_hashes(flat, width)
+    place = np.flatnonzero(owner[: len(windows)] == owner[width - 1 :]) if len(windows) else np.empty(0, np.int64)
+    named = np.array([i is not None for i in texts.ids], bool)
+    place = place[named[owner[place]]] if len(place) else place
+    if not len(place):
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 4)], names=["bucket", "shard", "docs", "places", "counts", "tags"])
+    hashes, own = windows[place] & ~_ONE, texts.id_array[owner[place]]
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    again = np.zeros(len(first), np.uint64)
+    again[which[own > own[first][which]]] = 1
+    order = np.argsort(first)
+    at, tag, doc = place[first[order]], (hashes[first] | again)[order], own[first[order]]
+    grams = run_hashes(flat, gram)
+    grams = np.where(np.isin(grams, common), np.uint64(2**64 - 1), grams)
+    anchor = grams[at]
+    for j in range(1, width - gram + 1):
+        anchor = np.minimum(anchor, grams[at + j])
+    anchor = np.where(anchor == np.uint64(2**64 - 1), mixed(tag | _ONE), anchor)
+    bucket = (mixed(anchor) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at, tag, doc, bucket = at[order], tag[order], doc[order], bucket[order]
+    starts = np.concatenate(([0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0)) + 1))
+    count = np.diff(np.append(starts, len(at)))
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[starts])) + 1, [len(starts)]))
+    columns = [pieces(doc[starts], cut), pieces(at[starts].astype("<i4"), cut), pieces(count.astype("<i4"), cut), pieces(tag, np.append(starts, len(at))[cut])]
+    return pa.table([pa.array(bucket[starts[cut[:-1]]]), pa.array(np.full(len(cut) - 1, shard, np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "shard", "docs", "places", "counts", "tags"])
+
+
+def requests(table: pa.Table) -> pa.Table:
+    """Of the rows of one bucket: for every window that recurs, the shard and place of its smallest document and the shards that hold it.
+
+    A row for each pair of shards: shard (the source's), dest, docs, places, counts.
+    """
+    if not table.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 3)], names=["shard", "dest", "docs", "places", "counts"])
+    shards = table.column("shard").to_numpy()
+    docs, places, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", "<i4"), ("counts", "<i4")))
+    tags = np.frombuffer(b"".join(table.column("tags").to_pylist()), np.uint64)
+    runs = np.array([len(x) // 4 for x in table.column("counts").to_pylist()])
+    of_run = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(len(tags)) - np.repeat(np.cumsum(counts) - counts, counts)
+    shard, doc, place = np.repeat(shards, runs)[of_run], docs[of_run], places[of_run] + within
+    order = np.lexsort((doc, tags >> _ONE))
+    same = tags[order] >> _ONE
+    opens = np.append(True, same[1:] != same[:-1])
+    source = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+    wanted = (doc[order] > doc[source]) | (tags[order] & _ONE).astype(bool)
+    source, dest = source[wanted], shard[order][wanted]
+    order = np.lexsort((place[source], doc[source], dest, shard[source]))
+    source, dest = source[order], dest[order]
+    s, d, at = shard[source], doc[source], place[source]
+    pair = np.append(True, (np.diff(s) != 0) | (np.diff(dest) != 0)) if len(s) else np.empty(0, bool)
+    starts = np.flatnonzero(pair | np.append(True, (np.diff(at) != 1) | (np.diff(d) != 0))) if len(s) else np.empty(0, np.int64)
+    count = np.diff(np.append(starts, len(s)))
+    cut = np.append(np.flatnonzero(pair[starts]), len(starts)) if len(s) else np.zeros(1, np.int64)
+    columns = [pieces(d[starts], cut), pieces(at[starts].astype("<i4"), cut), pieces(count.astype("<i4"), cut)]
+    heads = starts[cut[:-1]]
+    return pa.table([pa.array(s[heads]), pa.array(dest[heads]), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "dest", "docs", "places", "counts"])
+
+
+def passages_sent(texts: Texts, asked: pa.Table, width: int) -> pa.Table:
+    """The passages asked of a shard: dest, docs (their smallest documents), sizes (in words) and the words."""
+    flat, out = list(chain.from_iterable(texts.words)), ([], [], [], [])
+    for dest, docs, places, counts in zip(*(asked.column(c).to_pylist() for c in ("dest", "docs", "places", "counts"))):
+        sizes = np.frombuffer(counts, "<i4") + width - 1
+        out[0].append(dest)
+        out[1].append(docs)
+        out[2].append(sizes.astype("<i4").tobytes())
+        out[3].append(b" ".join([b" ".join(flat[a : a + n]) for a, n in zip(np.frombuffer(places, "<i4").tolist(), sizes.tolist())]))
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), *[pa.binary()] * 3))], names=["shard", "docs", "sizes", "words"])
+
+
+def spelled(ids: np.ndarray) -> str:
+    """Two characters for each word number; a negative number is a word that stands in no passage."""
+    out = np.full(2 * len(ids), _NONE, "<u4")
+    known = ids >= 0
+    out[0::2][known] = _HIGH + ids[known] // _BASE
+    out[1::2][known] = _LOW + ids[known] % _BASE
+    return out.tobytes().decode("utf-32-le")
+
+
+class Passages:
+    """The automaton of a shard: every window of its passages, with the smallest document that starts it."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.width, self.numbers = width, {}
+        windows: dict[str, int] = {}
+        for docs, sizes, words in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "words"))):
+            text = spelled(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words.split()], np.int64))
+            end = 0
+            for doc, size in zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(sizes, "<i4").tolist()):
+                begin, end = end, end + size
+                for at in range(2 * begin, 2 * (end - width + 1), 2):
+                    window = text[at : at + 2 * width]
+                    if windows.setdefault(window, doc) > doc:
+                        windows[window] = doc
+        self.automaton = ahocorasick.Automaton()
+        for window, doc in windows.items():
+            self.automaton.add_word(window, doc)
+        self.automaton.make_automaton()
+
+    def hits(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the shard's words a window of a passage starts, and the smallest document that starts it."""
+        if not len(self.automaton):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        number, at, docs = self.numbers.get, [], []
+        for words, start in zip(texts.words, texts.starts.tolist()):
+            if len(words) >= self.width:
+                found = list(self.automaton.iter(spelled(np.array([number(w, -1) for w in words], np.int64))))
+                if found:
+                    end, doc = np.array(found, np.int64).T
+                    at.append(start + end // 2 - self.width + 1)
+                    docs.append(doc)
+        return (np.concatenate(at), np.concatenate(docs)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def removed(self, texts: Texts) -> list[np.ndarray]:
+        """Per document a mask of the words to remove: those of hits that start in a smaller document."""
+        at, docs = self.hits(texts)
+        owner = np.searchsorted(texts.starts, at, side="right") - 1
+        at = at[docs < texts.id_array[owner]] if len(at) else at
+        edge = np.zeros(int(texts.starts[-1]) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.width, -1)
+        return np.split(np.cumsum(edge[:-1]) > 0, texts.starts[1:-1]) if texts.words else []
 
 
 def cut(text: str, gone: np.ndarray) -> str:
@@ -146,50 +220,17 @@ def cut(text: str, gone: np.ndarray) -> str:
     return "".join(out).strip(" \t\n\r\x0b\x0c")
 
 
-def confirmed(batches: Iterator[pa.RecordBatch], together: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> (shard, pos, count, first): runs of windows that a smaller document of another shard has."""
-
-    def settle(part: pa.Table) -> pa.RecordBatch:
-        anchor = part.column(0).to_numpy()
-        same = anchor[1:] == anchor[:-1]
-        part = part.filter(pa.array(np.concatenate((same, [False])) | np.concatenate(([False], same)))).combine_chunks()
-        if not part.num_rows:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["shard", "pos", "count", "first"])
-        windows = part.column(4).chunk(0) if isinstance(part.column(4), pa.ChunkedArray) else part.column(4)
-        sizes = np.array(pa.compute.binary_length(windows)) // 4
-        tags = np.frombuffer(b"".join(windows.to_pylist()), "<u4")
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        anchor, shard, doc, pos = (part.column(i).to_numpy() for i in range(4))
-        order = np.lexsort((tags, anchor[row]))
-        a, t = anchor[row][order], tags[order]
-        start = np.concatenate(([True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])))
-        least = np.minimum.reduceat(doc[row][order], np.flatnonzero(start))
-        first = np.empty(len(row), np.int64)
-        first[order] = least[np.cumsum(start) - 1]
-        hit = np.flatnonzero(first < doc[row])
-        r, w, f = row[hit], within[hit], first[hit]
-        cut = np.concatenate(([0], np.flatnonzero((np.diff(r) != 0) | (np.diff(w) != 1) | (np.diff(f) != 0)) + 1)) if len(hit) else np.empty(0, np.int64)
-        count = np.diff(np.append(cut, len(hit))) if len(hit) else cut
-        return pa.RecordBatch.from_arrays([pa.array(shard[r[cut]]), pa.array(pos[r[cut]] + w[cut]), pa.array(count), pa.array(f[cut])], ["shard", "pos", "count", "first"])
-
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= together:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield settle(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            rows = table.num_rows - cut
-    if rows:
-        yield settle(pa.Table.from_batches(held).combine_chunks())
+def common_grams(rows: DataFrame, count: int, gram: int, texts: int = SAMPLED_TEXTS, share: float = COMMON_SHARE) -> np.ndarray:
+    """Hashes of the runs of words that stand in at least ``share`` of about ``texts`` texts, which bounds their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(run_hashes(Texts(pa.table([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1]], names=["doc_id", "text"])).hashes(), gram)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["gram"])
+
+    some = rows.sample(min(1.0, texts / max(1, count)), seed=3).mapInArrow(run, "gram long")
+    often = some.groupBy("gram").count().where(F.col("count") >= max(4, int(share * min(count, texts))))
+    return np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, shard_chars: int = SHARD_CHARS, with_text: bool = False) -> DataFrame:
@@ -200,30 +241,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing. Rows that repeat an id are no reason to remove each other; rows without an id neither lose words nor make
     others lose them. An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
+    shards, buckets = max(1, -(-size["chars"] // shard_chars)), max(partitions_for(docs.sparkSession), size["chars"] // BUCKET_CHARS)
+    common = common_grams(rows, size["rows"], gram)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     def collect(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return Shard(table, width, gram).rows(key[0].as_py())
+        return windows_sent(Texts(table), key[0].as_py(), width, gram, buckets, common)
+
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table, asked: pa.Table) -> pa.Table:
+        return passages_sent(Texts(table if asked.num_rows else table.slice(0, 0)), asked, width)
 
-    def locate(key: tuple[pa.Scalar, ...], table: pa.Table, runs: pa.Table) -> pa.Table:
-        shard = Shard(table, width, gram)
-        pos, count, first = (runs.column(n).to_numpy() for n in ("pos", "count", "first"))
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        masks = shard.removed(np.repeat(pos, count) + step, np.repeat(first, count))
+    def locate(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        texts = Texts(table)
+        masks = Passages(found, width).removed(texts)
         if with_text:
-            changed = [(i, t, int(m.sum()), cut(t, m)) for i, t, m in zip(shard.ids, shard.texts, masks) if m.any()]
+            changed = [(i, t, int(m.sum()), cut(t, m)) for i, t, m in zip(texts.ids, texts.texts, masks) if m.any()]
             return pa.table([pa.array(c, t) for c, t in zip(zip(*changed) if changed else [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["doc_id", "text", "n_removed", "kept_text"])
-        kept = [b" ".join(w for w, gone in zip(words, mask.tolist()) if not gone) if mask.any() else b" ".join(words) for words, mask in zip(shard.words, masks)]
-        columns = [pa.array(shard.ids, pa.int64()), pa.array([len(w) for w in shard.words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        kept = [b" ".join(w for w, gone in zip(words, mask.tolist()) if not gone) if mask.any() else b" ".join(words) for words, mask in zip(texts.words, masks)]
+        columns = [pa.array(texts.ids, pa.int64()), pa.array([len(w) for w in texts.words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    windows = dealt.groupBy("shard").applyInArrow(collect, "anchor long, shard long, doc_id long, pos long, windows binary")
-    runs = windows.repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(confirmed, "shard long, pos long, count long, first long")
-    return dealt.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(locate, "doc_id long, text string, n_removed long, kept_text string" if with_text else "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    by_shard = dealt.groupBy("shard")
+    windows = by_shard.applyInArrow(collect, "bucket long, shard long, docs binary, places binary, counts binary, tags binary")
+    asked = windows.groupBy("bucket").applyInArrow(lambda table: requests(table), "shard long, dest long, docs binary, places binary, counts binary")
+    found = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard long, docs binary, sizes binary, words binary")
+    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, "doc_id long, text string, n_removed long, kept_text string" if with_text else "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", width: int = 50) -> DataFrame:

@@ -137,6 +137,46 @@ def test_repeated_passages(spark, empty, shard_chars, width):
     assert phrase_automata.remove_repeats(empty).count() == 0
 
 
+def by_hand(rows, width, shards, buckets=5, common=()):
+    """The four steps without Spark: (doc_id, mask) of every row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tables = [pa.table([pa.array([i for i, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], names=["doc_id", "text"]) for some in (rows[k::shards] for k in range(shards))]
+    sent = pa.concat_tables([phrase_automata.windows_sent(phrase_automata.Texts(t), k, width, 5, buckets, np.array(common, np.uint64)) for k, t in enumerate(tables)])
+    asked = pa.concat_tables([phrase_automata.requests(sent.filter(pc.equal(sent["bucket"], b))) for b in range(buckets)])
+    found = pa.concat_tables([phrase_automata.passages_sent(phrase_automata.Texts(t), asked.filter(pc.equal(asked["shard"], k)), width) for k, t in enumerate(tables)])
+    out = []
+    for k, table in enumerate(tables):
+        texts = phrase_automata.Texts(table)
+        out += zip(texts.ids, phrase_automata.Passages(found.filter(pc.equal(found["shard"], k)), width).removed(texts))
+    return sorted(((i, [] if m is None else m.tolist()) for i, m in out), key=repr)
+
+
+REPEATING = [(100 + k, " ".join(f"w{(k * 5 + j) % 23}" for j in range(30 + k))) for k in range(12)] + [(1, "only once " * 3), (2, " ".join(f"z{j}" for j in range(40)))]
+
+
+def test_common_words_change_nothing():
+    words = [xxhash.xxh64_intdigest(f"w{k}".encode()) for k in range(23)]
+    common = phrase_automata.run_hashes(np.array(words * 2, np.uint64), 5).tolist()
+    want = by_hand(REPEATING, 13, 3)
+    assert by_hand(REPEATING, 13, 3, common=common[:9]) == by_hand(REPEATING, 13, 3, common=common) == want
+    assert sum(map(sum, (m for _, m in want))) == sum(n for i, _, n, _ in brute_repeats(REPEATING, 13))
+
+
+def test_only_the_automaton_removes_words(monkeypatch):
+    monkeypatch.setattr(phrase_automata.Passages, "hits", lambda self, texts: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert not any(any(m) for _, m in by_hand(REPEATING, 13, 3))
+
+
+def test_colliding_hashes_remove_no_word_wrongly(monkeypatch):
+    want = by_hand(REPEATING, 13, 3)
+    monkeypatch.setattr(phrase_automata, "run_hashes", lambda words, count: words[: max(0, len(words) - count + 1)] % np.uint64(3) * np.uint64(2))
+    got = by_hand(REPEATING, 13, 3)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(not a or b for (_, x), (_, y) in zip(got, want) for a, b in zip(x, y))
+
+
 def test_repeats_are_cut_out_of_texts(spark):
     shared = " ".join(f"s{i}" for i in range(55))
     rows = [(1, f"begin {shared} end", 5), (2, f"other\n{shared}\n tail  here", 6), (3, shared, 7), (4, "clean  text\n", 12), (None, shared, 1)]
