@@ -7,8 +7,9 @@ the splitting planes, and so visits the ``visit`` most promising leaves of the f
 
 Leaves are dealt to bins of bounded size, large leaves in several parts; the number of leaves is fixed by the parameters, so
 their counts fit the driver. A bin's task holds its vectors and streams the queries that visit it and keeps the nearest of
-each; a row counts in the first leaf where a query meets it, and only if it scores as well as the nearest rows of the sample, which every
-query sees too. A window keeps the nearest over all bins. Scores are inner products of the original vectors in double precision.
+each; a row counts in the first leaf where a query meets it. Rows come from visited leaves only. The fitted sample prunes what bins report: of its rows that lie in
+visited leaves, which the forest finds anyway, the k-th best score is a floor that the k nearest found reach. A window keeps the
+nearest over all bins. Scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, DEPTH, VISIT, SAMPLE, BIN_ROWS = 8, 7, 288, 20_000, 8192
+TREES, DEPTH, VISIT, SAMPLE, BIN_ROWS = 8, 9, 512, 20_000, 8192
 
 
 @dataclass
@@ -53,7 +54,7 @@ class Forest:
             while node < full:
                 margin = own[node]
                 right = margin > 0
-                heapq.heappush(queue, (max(far, abs(margin)), t, 2 * node + (not right)))
+                heapq.heappush(queue, (far + margin * margin, t, 2 * node + (not right)))
                 node = 2 * node + bool(right)
             leaf = (t << self.depth) + node - full
             if leaf in held:
@@ -102,7 +103,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Null, zero and non-finite vectors, vectors of another length than most, and rows without an id take no part, neither
     as candidates nor as queries. An id that repeats is one candidate with its best score. Fewer candidates than ``k``
-    give fewer rows; an empty table gives an empty result; other columns are not read.
+    give fewer rows, and so do visited leaves that hold fewer; an empty table gives an empty result; other columns are not read.
     """
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -111,12 +112,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], schema)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow().combine_chunks()
     fitted, (fitted_ids, once) = matrix(picked.column("v").combine_chunks()), np.unique(picked.column("id").to_numpy(), return_index=True)
-    fitted = fitted[once]
+    fitted, slack = fitted[once], 1e-9 * max(1.0, largest)
 
     def augmented(x: np.ndarray) -> np.ndarray:
         return np.column_stack((x, np.sqrt(np.maximum(0.0, largest - np.einsum("ij,ij->i", x, x)))))
 
     forest = grow(augmented(fitted), trees, depth)
+    fitted_in = forest.leaves(augmented(fitted))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,51 +153,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     own[0].append(spot)
                     own[1].append(i)
                     own[2].append(some)
-            yield sent(batch, own, 0, batch.column(2).to_pylist(), [0.0] * batch.num_rows)
-
-    def seeds(query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of the nearest rows of the fitted sample, which no better set can rank below."""
-        out, slack = [], 1e-9 * max(1.0, largest)
-        for own, query, scores in zip(query_ids, queries, queries @ fitted.T):
-            scores[fitted_ids == own] = -np.inf
-            floor = np.partition(scores, -min(k, len(scores)))[-min(k, len(scores))]
-            near = np.flatnonzero((scores >= floor - slack) & (scores > -np.inf))
-            exact = (fitted[near] * query).sum(axis=1)
-            order = np.lexsort((fitted_ids[near], -exact))[:k]
-            out.append((fitted_ids[near][order], exact[order]))
+            at = pa.array(own[1], pa.int64())
+            yield sent(batch, own, [pa.array(own[2], pa.list_(pa.int32())), batch.column(2).cast(pa.list_(pa.int32())).take(at), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float64())])
+
+    def floors(query_ids: np.ndarray, queries: np.ndarray, every: list[list[int]]) -> list[float]:
+        """Per query the k-th best score among the fitted rows of the leaves it visits; none where they are fewer."""
+        out = []
+        for own, scores, leaves in zip(query_ids, queries @ fitted.T, every):
+            met = np.zeros(trees << depth, bool)
+            met[leaves] = True
+            scores = scores[met[fitted_in].any(axis=1) & (fitted_ids != own)]
+            out.append(float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf)
         return out
 
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = seeds(part.column(0).to_numpy(), matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(i) for i, _ in found])), *(pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1))], ["query_id", "vec_id", "score"])
-
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: tuple[list[int], list[int], list[list[int]]] = ([], [], [])
-            every, floors = [], []
+            own: tuple[list[int], list[int]] = ([], [])
+            bits: list[bytes] = []
+            least: list[float] = []
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                queries = matrix(part.column(1))
-                floors += [scores[-1] if len(scores) == k else -np.inf for _, scores in seeds(part.column(0).to_numpy(), queries)]
+                queries, every = matrix(part.column(1)), []
                 for i, query in enumerate(queries, start):
-                    to: dict[int, list[int]] = {}
                     every.append(forest.visited(np.append(query, 0.0), visit, place))
-                    for leaf in every[-1]:
-                        for spot in place[leaf]:
-                            to.setdefault(spot, []).append(leaf)
-                    for spot, some in to.items():
-                        own[0].append(spot)
-                        own[1].append(i)
-                        own[2].append(some)
-            yield sent(batch, own, 1, every, floors)
-
-    def sent(batch: pa.RecordBatch, own: tuple[list[int], list[int], list[list[int]]], kind: int, every: list[list[int]], floors: list[float]) -> pa.RecordBatch:
+                    met = np.zeros(trees << depth, bool)
+                    met[every[-1]] = True
+                    bits.append(np.packbits(met).tobytes())
+                    spots = sorted({spot for leaf in every[-1] for spot in place[leaf]})
+                    own[0].extend(spots)
+                    own[1].extend([i] * len(spots))
+                least += floors(part.column(0).to_numpy(), queries, every)
+            at = pa.array(own[1], pa.int64())
+            yield sent(batch, own, [pa.nulls(len(at), pa.list_(pa.int32())), pa.nulls(len(at), pa.list_(pa.int32())), pa.array(bits, pa.binary()).take(at), pa.array(least, pa.float64()).take(at)])
+
+    def sent(batch: pa.RecordBatch, own: tuple[list[int], ...], more: list[pa.Array]) -> pa.RecordBatch:
         at = pa.array(own[1], pa.int64())
-        more = [pa.array(every, pa.list_(pa.int32())).take(at), pa.array(floors, pa.float64()).take(at)]
-        return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int32()), pa.array([kind] * len(at), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(own[2], pa.list_(pa.int64())), *more], ["bin", "kind", "id", "v", "leaves", "every", "floor"])
+        kind = int(more[0].null_count > 0)
+        return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int32()), pa.array([kind] * len(at), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), *more], ["bin", "kind", "id", "v", "leaves", "filed", "visits", "floor"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, stored, slots, filed_in, ready = None, [], [], [], [], None
@@ -220,32 +214,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     leaves = sorted({x for some in slots for x in some})
                     number, most = np.zeros(trees << depth, np.int64), max(map(len, slots))
                     number[leaves] = np.arange(1, len(leaves) + 1)
-                    ready = (np.concatenate(ids), np.concatenate(stored), number, np.array([[number[x] for x in some] + [0] * (most - len(some)) for some in slots]), np.concatenate(filed_in))
+                    by_id = np.argsort(np.concatenate(ids), kind="stable")
+                    ready = (np.concatenate(ids)[by_id], np.concatenate(stored)[by_id], number, np.array([[number[x] for x in some] + [0] * (most - len(some)) for some in slots])[by_id], np.concatenate(filed_in)[by_id])
                 for at in range(0, b - a, 128):
                     yield best(part.slice(at, 128), *ready)
 
     def best(part: pa.RecordBatch, ids: np.ndarray, stored: np.ndarray, number: np.ndarray, slots: np.ndarray, filed_in: np.ndarray) -> pa.RecordBatch:
         """The bin's nearest rows for each query. A row that a query meets in several leaves is reported in the first of them only."""
-        asked_ids, asked_v, sample_floor = part.column(2).to_numpy(), matrix(part.column(3)), part.column(6).to_numpy()
+        asked_ids, asked_v, sample_floor = part.column(2).to_numpy(), matrix(part.column(3)), part.column(7).to_numpy()
+        every = np.unpackbits(np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(asked_ids), -1), axis=1).astype(bool)
         visits = np.zeros((len(asked_ids), number.max() + 1), bool)
-        every = np.zeros((len(asked_ids), len(number)), bool)
-        for here, all_, some, leaves in zip(visits, every, part.column(4).to_pylist(), part.column(5).to_pylist()):
-            here[number[some]] = True
-            all_[leaves] = True
-        visits[:, 0] = False
+        visits[:, number[number > 0]] = every[:, : len(number)][:, number > 0]
         scores = asked_v @ stored.T
         seen = visits[:, slots[:, 0]]
         for j in range(1, slots.shape[1]):
             seen |= visits[:, slots[:, j]]
         scores[~seen | (asked_ids[:, None] == ids[None, :])] = -np.inf
-        floor = np.maximum(np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))], sample_floor)
-        slack = 1e-9 * max(1.0, largest)
+        # an id that repeats counts with its best row
+        firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        best_of = scores if len(firsts) == len(ids) else np.maximum.reduceat(scores, firsts, axis=1)
+        few = min(k, len(firsts))
+        floor = np.maximum(np.partition(best_of, -few, axis=1)[:, -few], sample_floor)
         out: tuple[list[np.ndarray], ...] = ([], [], [])
         for i, query in enumerate(asked_v):
             near = np.flatnonzero((scores[i] >= floor[i] - slack) & (scores[i] > -np.inf))
             exact = (stored[near] * query).sum(axis=1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            near, exact = near[order], exact[order]
+            order = np.lexsort((ids[near], -exact))
+            if len(firsts) < len(ids):
+                order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+            near, exact = near[order[:k]], exact[order[:k]]
             shared = every[i][filed_in[near]]
             first = filed_in[near, shared.argmax(axis=1)] if len(near) else near
             mine = (slots[near] == number[first][:, None]).any(axis=1) & (number[first] > 0)
@@ -254,10 +251,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             out[2].append(exact[mine])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-    layout = "bin int, kind int, id long, v array<double>, leaves array<long>, every array<int>, floor double"
+    layout = "bin int, kind int, id long, v array<double>, leaves array<int>, filed array<int>, visits binary, floor double"
     sides = in_leaves.mapInArrow(dealt, layout).unionByName(asked.mapInArrow(asking, layout))
     found = sides.repartition(max(1, len(bins)), "bin").sortWithinPartitions("bin", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
-    found = found.unionByName(asked.mapInArrow(seeded, "query_id long, vec_id long, score double"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -124,10 +124,11 @@ def vectors():
     return x
 
 
-def test_nearest(spark, vectors):
+@pytest.mark.parametrize("sample", [20_000, 150])
+def test_nearest(spark, vectors, sample):
     rows = [(i, v.tolist(), 1, 2.0) for i, v in enumerate(vectors)] + [(5000, None, 1, 2.0), (5001, [1.0, None], 1, 2.0), (5002, [1.0], 1, 2.0), (None, vectors[5].tolist(), 1, 2.0), (7, vectors[7].tolist(), 1, 2.0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int, score double").repartition(3)
-    got = ann_forest.nearest(df, df.where("vec_id % 20 = 0"), k=20, bin_rows=300).collect()
+    got = ann_forest.nearest(df, df.where("vec_id % 20 = 0"), k=20, bin_rows=300, sample=sample).collect()
     good = [i for i in range(1500) if i > 1]
     x = vectors.astype(np.float64)
     hits = total = 0
@@ -145,10 +146,19 @@ def test_nearest(spark, vectors):
         hits += len({v for _, v, _ in mine} & set(best))
         total += 20
     assert hits / total >= 0.9
+    assert ann_forest.nearest(df, df.where("vec_id % 20 = 0"), visit=0, sample=sample).count() == 0, "rows come from the forest alone"
     assert ann_forest.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann_forest.nearest(df.where("vec_id IN (20, 21)"), df.where("vec_id = 20")).count() == 1
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, (np.ones(8) + rng.normal(0, 1e-3, 8)).tolist()) for _ in range(60)] + [(i, (np.ones(8) * (1 - i / 1000)).tolist()) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann_forest.nearest(df, df.where("vec_id = 40"), k=5, visit=4096).orderBy("rank").collect()]
+    assert got == [7, 20, 21, 22, 23]
+
+
 def brute_groups(rows, least=0.8):
     sets = [(i, set(simhash.shingle_hashes(t, 5).tolist())) for i, t in rows]
     return {(a, b) for a, s in sets for b, t in sets if a < b and s and t and len(s & t) >= least * len(s | t)}
