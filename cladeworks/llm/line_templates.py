@@ -1,63 +1,87 @@
-"""Recurring lines by a fixed-depth template tree: lines that recur over documents but for variable fields are dropped.
+"""Recurring lines by a log-template tree of fixed depth: lines that recur over documents but for variable fields are dropped.
 
-A line's leaf in the tree is its token count and its leading tokens, with tokens that hold a digit taken as variable.
-Within a leaf a token is constant at its position if enough of the leaf's lines have it there; all others
-are variable fields. The template is the line with its variable fields replaced. A template that many documents share and that is mostly
-constant is dropped wherever it stands.
+Tokens that hold a digit are variable fields wherever they stand. A line descends by its token count, then by its ``depth`` leading tokens,
+then by one of up to three equal parts of its remaining tokens, so that a leaf holds lines that agree in their
+opening and in one whole part; a line is in one leaf for each part, and fields may vary in all parts but one. Only leaves that recur over
+documents are looked at further. Within a leaf a token is constant at its position if half of the leaf's lines have it
+there. The leaf's agreement does not depend on how large the corpus is, and neither does what is constant. A template is the opening and
+the constant tokens; if it recurs and enough of the tokens after the opening are constant, its lines are dropped wherever they stand.
 
-All of it is DataFrame functions. Counting leaves comes first and shuffles one hash a line; only lines of recurring
-leaves have their tokens counted. Every count combines on the map side, so a line that stands in a third of all
-documents is a row a task, and verdicts return by joins that adaptive execution splits.
+All of it is DataFrame functions. Lines are told apart by what is left of them when digits are masked, and each
+distinct one is one row whatever the number of documents that hold it; joins that bring verdicts back to documents are salted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.shared import written
 
-DEPTH, MIN_DOCS, MIN_SHARE, MIN_CONSTANT = 3, 5, 0.1, 0.5
+DEPTH, PARTS, MIN_DOCS, STEADY, MIN_CONSTANT, SALTS = 3, 3, 5, 0.5, 0.6, 8
 FIELD = "<*>"
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_constant: float = MIN_CONSTANT, with_text: bool = False) -> DataFrame:
+def masked(line: Column) -> Column:
+    """The tokens of a line with one space between, those that hold a digit as fields."""
+    odd = F.lit(False)
+    for space in "\t\r\x0b\x0c":
+        odd |= F.contains(line, F.lit(space))
+    plain = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+    plain = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+    return F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))
+
+
+def leaves(tokens: Column, depth: int, parts: int) -> Column:
+    """The hashes of a line's leaves."""
+    rest = F.greatest(F.size(tokens) - depth, F.lit(0))
+    count = F.least(F.lit(parts), rest)
+    bound = lambda j: F.floor(j * rest / F.greatest(count, F.lit(1))).cast("int")
+    part = lambda j: F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j))
+    key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), j, F.when(rest > 0, part(j)))
+    return F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), key)
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, parts: int = PARTS, min_docs: int = MIN_DOCS, steady: float = STEADY, min_constant: float = MIN_CONSTANT, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_sha256 (and the kept text if ``with_text``).
 
-    Lines end at line feeds; tokens are runs of anything but ASCII white space. A leaf and a template recur from ``min_docs``
-    documents on, in which a line that a document repeats counts once. A token is constant where ``min_docs`` of the leaf's lines and a
-    share of ``min_share`` have it. A template is dropped if at least ``min_constant`` of its tokens are constant. Blank lines
-    stay. Null and empty texts have no lines. Equal rows count as one document; rows that share an id with different texts,
-    and rows without an id, count each. An empty table gives an empty result; other columns are not read.
+    Lines end at line feeds; tokens are runs of anything but ASCII white space. A leaf recurs if ``min_docs`` documents have a
+    line in it; a line that a document repeats counts once. Constant is what a share of ``steady`` of the leaf's lines have. A template recurs from ``min_docs``
+    lines on and is dropped if at least ``min_constant`` of the tokens after the opening are constant; a line of no more
+    than ``depth`` tokens is its own template. Blank lines stay. Null and empty texts have no lines. Equal rows count as one document; rows
+    that share an id with different texts, and rows without an id, count each. Documents, lines and leaves are told apart by
+    64-bit hashes. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    odd = F.lit(False)
-    for space in "\t\r\x0b\x0c":
-        odd |= F.contains("line", F.lit(space))
-    tokens = F.filter(F.split(F.when(odd, F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(F.col("line")), " "), lambda t: t != "")
-    lines = lines.withColumn("tokens", tokens).where(F.size("tokens") > 0)
-    lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    lines = lines.select("row", "line", F.xxhash64(F.size("tokens"), lead).alias("leaf"))
-    leaves = lines.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = written(lines.join(leaves, "leaf", "left_semi").select("row", "leaf", "line").dropDuplicates(["row", "line"]), "shared-lines").withColumn("tokens", tokens)
-
-    sizes = shared.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
-    tokens = shared.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", F.xxhash64("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    steady = (F.col("n") >= min_docs) & (F.col("n") >= F.lit(float(min_share)) * F.col("lines"))
-    constants = tokens.join(sizes, "leaf").groupBy("leaf", "pos").agg(F.collect_set(F.when(steady, F.col("token"))).alias("kept"))
-    constants = constants.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "kept"))).alias("constants"))
-
-    shaped = shared.join(constants, "leaf").withColumn("template", F.transform("tokens", lambda t, i: F.when(F.array_contains(F.get(F.col("constants"), i)["kept"], F.xxhash64(t)), t).otherwise(FIELD)))
-    fixed = F.size("tokens") - F.size(F.filter("template", lambda t: t == FIELD))
-    shaped = shaped.where(fixed >= F.lit(float(min_constant)) * F.size("tokens")).select("row", F.xxhash64("line").alias("line"), F.md5(F.concat_ws(" ", "template")).alias("template"))
-    common = shaped.groupBy("template").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    dropped = shaped.join(common, "template", "left_semi").groupBy("row").agg(F.collect_set("line").alias("dropped"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = rows.select("row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line")).where("line <> ''")
+    hashed = written(lines.select("row", F.xxhash64("line").alias("shape"), leaves(F.split("line", " "), depth, parts).alias("leaves")), "line-leaves").distinct()
+    filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
+
+    recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
+    held = filed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted(recurring), ["leaf", "salt"], "left_semi")
+    held = written(held.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("n")), "recurring-leaves")
+    texts = lines.groupBy(F.xxhash64("line").alias("shape")).agg(F.first("line").alias("line")).join(held.select("shape").distinct(), "shape", "left_semi")
+    held = written(held.join(texts, "shape").select("leaf", "shape", "n", F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.size(F.split("line", " ")) - depth, F.lit(0))).alias("rest")), "leaf-lines")
+
+    sizes = held.groupBy("leaf").agg(F.sum("n").alias("lines"))
+    tokens = held.select("leaf", "n", F.posexplode("rest").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
+    constants = tokens.join(sizes, "leaf").where((F.col("token") != FIELD) & (F.col("n") >= F.lit(float(steady)) * F.col("lines")))
+    constants = constants.groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))
+    shaped = held.join(constants, "leaf", "left").withColumn("template", F.transform("rest", lambda t, i: F.when(F.array_contains("constants", F.struct(i.alias("pos"), t.alias("token"))), t).otherwise(FIELD)))
+    fixed = F.size(F.filter("template", lambda t: t != FIELD))
+    shaped = shaped.where(fixed >= F.lit(float(min_constant)) * F.size("rest")).select("leaf", "shape", "n", F.md5(F.concat_ws(" ", "template")).alias("template"))
+    common = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
+    gone = shaped.join(common, ["leaf", "template"], "left_semi").select("shape").distinct()
+    dropped = hashed.select("row", "shape", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(salted(gone), ["shape", "salt"], "left_semi")
+    dropped = dropped.groupBy("row").agg(F.collect_set("shape").alias("dropped"))
 
     every = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     out = rows.join(dropped, "row", "left").withColumn("lines", every)
-    stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", F.xxhash64(line))))
+    stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", F.xxhash64(masked(line)))))
     out = out.withColumn("stay", stay).withColumn("kept_text", F.concat_ws("\n", "stay"))
     n_lines, n_stay = F.size("lines").cast("long"), F.size("stay").cast("long")
     return out.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"), *["kept_text"] * with_text)
@@ -66,25 +90,33 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT DISTINCT doc_id, text FROM d),
-l AS (SELECT doc_id, text, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM u),
-t AS (SELECT doc_id, text, line, list_filter(string_split_regex(line, '[ \t-\r]+'), lambda x: x <> '') AS tokens FROM l),
-k AS (SELECT *, len(tokens) AS n, list_transform(tokens[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS lead FROM t WHERE len(tokens) > 0),
-leaves AS (SELECT n, lead FROM k GROUP BY n, lead HAVING count(DISTINCT (doc_id, text)) >= 5),
-s AS (SELECT k.* FROM k SEMI JOIN leaves USING (n, lead)),
-sizes AS (SELECT n, lead, count(*) AS lines FROM s GROUP BY n, lead),
-pos AS (SELECT doc_id, text, line, n, lead, unnest(tokens) AS token, unnest(range(n)) AS p FROM s),
-consts AS (SELECT n, lead, p, token FROM pos JOIN sizes USING (n, lead) GROUP BY n, lead, p, token, lines HAVING count(*) >= 5 AND count(*) >= 0.1::DOUBLE * lines),
-shaped AS (
-    SELECT pos.doc_id, pos.text, pos.line, pos.n, sum(CASE WHEN consts.token IS NULL OR consts.token = '<*>' THEN 0 ELSE 1 END) AS fixed,
-        string_agg(CASE WHEN consts.token IS NULL THEN '<*>' ELSE pos.token END, ' ' ORDER BY pos.p) AS template
-    FROM pos LEFT JOIN consts ON consts.n = pos.n AND consts.lead = pos.lead AND consts.p = pos.p AND consts.token = pos.token
-    GROUP BY pos.doc_id, pos.text, pos.line, pos.n),
-half AS (SELECT * FROM shaped WHERE fixed >= 0.5 * n),
-common AS (SELECT template FROM half GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 5),
-gone AS (SELECT doc_id, text, list(line) AS dropped FROM half SEMI JOIN common USING (template) GROUP BY doc_id, text),
-f AS (
-    SELECT d.doc_id, CASE WHEN d.text = '' THEN [] ELSE string_split(d.text, chr(10)) END AS lines, coalesce(gone.dropped, []) AS dropped
-    FROM d LEFT JOIN gone ON d.doc_id IS NOT DISTINCT FROM gone.doc_id AND d.text = gone.text),
-o AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(dropped, x)) AS stay FROM f)
-SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256 FROM o
+l AS (SELECT doc_id, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x:
+    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(x, '[ 	-
+]', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' ')))) AS line FROM u),
+t AS (SELECT doc_id, text, line, string_split(line, ' ') AS tokens FROM l WHERE line <> ''),
+r AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead, tokens[4:] AS rest, greatest(len(tokens) - 3, 0) AS m, least(greatest(len(tokens) - 3, 0), 3) AS s FROM t),
+k AS (SELECT *, unnest(range(greatest(s, 1))) AS j FROM r),
+f AS (SELECT doc_id, text, line, n, lead, rest, j, CASE WHEN m > 0 THEN rest[(j * m) // s + 1:((j + 1) * m) // s] END AS part FROM k),
+leaves AS (SELECT n, lead, j, part FROM f GROUP BY n, lead, j, part HAVING count(DISTINCT (doc_id, text)) >= 5),
+h AS (
+    SELECT f.n, f.lead, f.j, f.part, f.line, f.rest, count(*) AS c FROM f JOIN leaves v ON v.n = f.n AND v.lead = f.lead AND v.j = f.j AND v.part IS NOT DISTINCT FROM f.part
+    GROUP BY f.n, f.lead, f.j, f.part, f.line, f.rest),
+e AS (SELECT row_number() OVER () AS entry, dense_rank() OVER (ORDER BY n, lead, j, part) AS leaf, * FROM h),
+z AS (SELECT leaf, sum(c) AS lines FROM e GROUP BY leaf),
+p AS (SELECT entry, leaf, c, unnest(rest) AS token, unnest(range(len(rest))) AS pos FROM e),
+q AS (SELECT p.leaf, p.pos, p.token FROM p JOIN z USING (leaf) WHERE token <> '<*>' GROUP BY p.leaf, p.pos, p.token, z.lines HAVING sum(c) >= 0.5::DOUBLE * z.lines),
+w AS (
+    SELECT p.entry, sum(CASE WHEN q.token IS NULL THEN 0 ELSE 1 END) AS fixed, string_agg(coalesce(q.token, '<*>'), ' ' ORDER BY p.pos) AS template
+    FROM p LEFT JOIN q ON q.leaf = p.leaf AND q.pos = p.pos AND q.token = p.token GROUP BY p.entry),
+a AS (SELECT e.leaf, e.line, e.c, coalesce(w.template, '') AS template FROM e LEFT JOIN w USING (entry) WHERE coalesce(w.fixed, 0) >= 0.6::DOUBLE * len(e.rest)),
+g AS (SELECT leaf, template FROM a GROUP BY leaf, template HAVING sum(c) >= 5),
+gone AS (SELECT DISTINCT line FROM a SEMI JOIN g USING (leaf, template)),
+x AS (SELECT u.doc_id, u.text, list(t.line) AS dropped FROM u JOIN t ON t.doc_id IS NOT DISTINCT FROM u.doc_id AND t.text = u.text SEMI JOIN gone ON gone.line = t.line GROUP BY u.doc_id, u.text),
+o AS (
+    SELECT d.doc_id, CASE WHEN d.text = '' THEN [] ELSE string_split(d.text, chr(10)) END AS lines, coalesce(x.dropped, []) AS dropped
+    FROM d LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text),
+y AS (SELECT doc_id, lines, list_filter(lines, lambda i: NOT list_contains(dropped,
+    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(i, '[ 	-
+]', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' '))) AS stay FROM o)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256 FROM y
 """

@@ -248,11 +248,33 @@ def test_line_templates(spark, empty):
     rows = [(i, f"{'abcdefghij'[i] * 3} opening words here {i}\nCopyright (c) 20{10 + i} Example Corp number {i}\n\nlast words of {'abcdefghij'[i]}") for i in range(8)] + [(8, None), (9, ""), (None, "Copyright (c) 2001 Example Corp number 9\nkept line alone")]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
     for i in range(8):
-        assert got[i] == (4, 2, f"{'abcdefghij'[i] * 3} opening words here {i}\n")
+        assert got[i] == (4, 1, f"{'abcdefghij'[i] * 3} opening words here {i}\n\nlast words of {'abcdefghij'[i]}")
     assert got[8] == got[9] == (0, 0, "")
     assert got[None] == (2, 1, "kept line alone")
     assert line_templates.drop_templates(empty).count() == 0
-    assert line_templates.drop_templates(docs(spark)).count() == len(DOCS)
+
+
+def test_line_templates_do_not_depend_on_how_full_the_tree_is(spark):
+    rng = np.random.default_rng(4)
+    notice, login = "the page you are reading is printed by its owner alone", "from the house {} came in and to the town {} went they at noon"
+    rows = [(i, f"{notice}\n{login.format('n' + 'abcdefgh'[i], 't' + 'hgfedcba'[i])}\nown {i} x") for i in range(8)]
+    rows += [(100 + k, "the page you " + " ".join(rng.choice(["are", "is", "of", "by", "to", "page", "alone", "its"], 8))) for k in range(600)]
+    got = {r.doc_id: r.kept_text for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert all(got[i] == "" or got[i] == f"own {i} x" for i in range(8))
+    assert sum(t == "" for i, t in got.items() if i >= 100) < 60
+
+
+def test_line_templates_on_hostile_rows_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pyarrow as pa
+
+    rows = PLAIN + [(50 + k, f"a\tb  c d{k}\x0be f\ng h\n g  h \nlong {'tail ' * 3000}{k}") for k in range(7)] + [(50, "a b c d e f"), (50, "other")]
+    con = duckdb.connect()
+    con.register("documents", pa.table([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"]))
+    want = con.sql(line_templates.ORACLE).fetchall()
+    got = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(r.n_dropped for r in got) >= 21
 
 
 def test_long_words_are_encoded_as_any(spark):
