@@ -91,8 +91,7 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT DISTINCT doc_id, text FROM d),
 l AS (SELECT doc_id, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x:
-    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(x, '[ 	-
-]', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' ')))) AS line FROM u),
+    array_to_string(list_filter(string_split(regexp_replace(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' ')))) AS line FROM u),
 t AS (SELECT doc_id, text, line, string_split(line, ' ') AS tokens FROM l WHERE line <> ''),
 r AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead, tokens[4:] AS rest, greatest(len(tokens) - 3, 0) AS m, least(greatest(len(tokens) - 3, 0), 3) AS s FROM t),
 k AS (SELECT *, unnest(range(greatest(s, 1))) AS j FROM r),
@@ -116,7 +115,6 @@ o AS (
     SELECT d.doc_id, CASE WHEN d.text = '' THEN [] ELSE string_split(d.text, chr(10)) END AS lines, coalesce(x.dropped, []) AS dropped
     FROM d LEFT JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text),
 y AS (SELECT doc_id, lines, list_filter(lines, lambda i: NOT list_contains(dropped,
-    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(i, '[ 	-
-]', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' '))) AS stay FROM o)
+    array_to_string(list_filter(string_split(regexp_replace(translate(i, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' '))) AS stay FROM o)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256 FROM y
 """
