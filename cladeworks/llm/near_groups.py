@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.components import connected_components
-from cladeworks.llm.shared import partitions_for, written
+from cladeworks.llm.shared import Tables, partitions_for, written
 from cladeworks.llm.simhash import CHUNK, bucket_links, coordinates, fingerprint, in_runs, in_tasks, pivot_row, references, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -213,15 +213,15 @@ def head_pairs(batches: Iterator[pa.RecordBatch], least: float = SIMILARITY) ->
         yield from found(*held)
 
 
-def links_between(docs: DataFrame, named: DataFrame) -> DataFrame:
+def links_between(docs: DataFrame, named: DataFrame, held: Tables) -> DataFrame:
     """Links (a, b) between different groups of ``named`` (first, id, own, group): of every two similar sets, each under the row ``first``; ``docs`` is keyed."""
     spark = docs.sparkSession
     rows = shared_heads(docs).join(named, ["id", "own"]).select("key", F.col("first").alias("id"), "group", "n", "at")
-    rows = written(rows, "shared-heads")
+    rows = held.written(rows, "shared-heads")
     mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     dealt = in_tasks(rows.join(mixed, "key"), ["key"], "id", CHUNK).select("task", "id", "group", "n", "at")
     pairs = dealt.repartition(partitions_for(spark), "task").sortWithinPartitions("task").mapInArrow(head_pairs, "a long, b long")
-    pairs = written(pairs.distinct(), "head-pairs")
+    pairs = held.written(pairs.distinct(), "head-pairs")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +234,11 @@ def links_between(docs: DataFrame, named: DataFrame) -> DataFrame:
 
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "first").join(named, "first")
     texts = docs.join(wanted, ["id", "own"]).dropDuplicates(["first"]).select("first", "group", "text")
-    sets = written(texts.mapInArrow(to_sets, "first long, group long, shingles binary"), "pair-sets")
+    sets = held.written(texts.mapInArrow(to_sets, "first long, group long, shingles binary"), "pair-sets")
     left = sets.select(F.col("first").alias("a"), F.col("group").alias("ga"), F.col("shingles").alias("x"))
     right = sets.select(F.col("first").alias("b"), F.col("group").alias("gb"), F.col("shingles").alias("y"))
-    held = pairs.join(left, "a").join(right, "b").select("ga", "gb", "x", "y")
-    return held.mapInArrow(compare, "ga long, gb long").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    both = pairs.join(left, "a").join(right, "b").select("ga", "gb", "x", "y")
+    return both.mapInArrow(compare, "ga long, gb long").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,14 +247,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows with equal sets of shingles are one text here; texts with equal fingerprints are candidates like any other.
     Rows that share an id but not a text are texts of their own. An empty table gives an empty result.
     """
-    rows = keyed(docs, id_col, text_col)
-    of = written(sketches(rows), "sketches")
+    rows, held = keyed(docs, id_col, text_col), Tables(docs.sparkSession)
+    of = held.written(sketches(rows), "sketches")
     prints = of.groupBy("whole").agg(F.min("row").alias("first"), *(F.min_by(c, "row").alias(c) for c in ("id", "own", "a", "b", "pivots")))
-    prints = written(prints, "distinct-sketches")
+    prints = held.written(prints, "distinct-sketches")
     heads = prints.groupBy("a", "b").agg(F.min("first").alias("first"), F.min_by("pivots", "first").alias("pivots"))
     alike = prints.withColumnRenamed("first", "other").join(heads.select("a", "b", "first"), ["a", "b"]).where("other <> first").select(F.col("other").alias("a"), F.col("first").alias("b"))
     maybe = connected_components(candidates(heads).union(alike)).withColumnRenamed("node", "first")
-    members = written(prints.drop("pivots", "whole").join(maybe, "first"), "maybe-near")
+    members = held.written(prints.drop("pivots", "whole").join(maybe, "first"), "maybe-near")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,10 +267,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = sets.join(dealt, "first").select("task", "first", "a", "b", "shingles").groupBy("task").applyInArrow(lambda table: verified(table), "a long, b long")
     groups = connected_components(linked).withColumnRenamed("node", "first")
     named = prints.select("first", "whole", "id", "own").join(groups, "first", "left").withColumn("group", F.coalesce("root", "first"))
-    named = written(named.drop("root"), "first-groups")
-    higher = connected_components(links_between(rows, named.select("first", "id", "own", "group"))).withColumnRenamed("node", "group")
+    named = held.written(named.drop("root"), "first-groups")
+    higher = connected_components(links_between(rows, named.select("first", "id", "own", "group"), held)).withColumnRenamed("node", "group")
     named = named.join(higher, "group", "left").select("whole", F.coalesce("root", "group").alias("root"))
     found = written(of.select("id", "own", "whole").join(named, "whole").select("id", "own", "root"), "near-rows")
+    held.clear()
     return found.join(found.groupBy("root").agg(F.min("id").alias("group")), "root").select("id", "own", "group")
 
 
