@@ -204,32 +204,37 @@ def evidence(root: Node) -> dict[tuple[int, int], float]:
     roots = articles(root)
     own = {id(r) for r in roots}
     frame = above(root, own) | {id(root)}
-    seal(root)
+    if not roots:
+        seal(root)
     found: dict[tuple[int, int], float] = {}
-    stack = [(root, False, bool(roots))]
+    stack = [(root, False, bool(roots), not roots)]
     while stack:
-        node, inside, barred = stack.pop()
+        node, inside, barred, sealed = stack.pop()
         if node.tag in ("script", "style", "head"):
             continue
         inside, barred = inside or id(node) in own, barred or structural(node, False)
         if id(node) not in frame and node.tag not in FRAME:
-            share = 0.0 if roots or not root.chars else node.chars / root.chars
-            if node.kids and (node.tag not in RUNNING or not inside and not roots):
+            running = node.tag in RUNNING
+            if not sealed and not (inside and running):
+                seal(node)
+                sealed = True
+            if node.kids and (not running or not inside and not roots):
                 found[EXACT, node.hash] = 0.0
-            if not inside and node.tag not in RUNNING:
+            if not inside and not running:
+                share = 0.0 if roots or not root.chars else node.chars / root.chars
                 found[SHAPE, node.shape] = found.get((SHAPE, node.shape), 0.0) + share
                 if not barred:
                     found[PLACE, node.place] = found.get((PLACE, node.place), 0.0) + share
-        stack.extend((k, inside, barred) for k in node.kids if not isinstance(k, str))
+        stack.extend((k, inside, barred, sealed) for k in node.kids if not isinstance(k, str))
     return found
 
 
 def extract(root: Node, exact: set[int], shapes: set[int], places: set[int]) -> tuple[list[str], int, int]:
     """The text blocks that stay, in page order; how many subtrees went as templates of the host, and how many by their kind."""
-    if exact or shapes or places:
-        seal(root)
     roots = articles(root)
-    stated = bool(roots)
+    stated, told = bool(roots), bool(exact or shapes or places)
+    if told and not stated:
+        seal(root)
     own = {id(r) for r in roots}
     if not stated and places:
         # the innermost elements at places of content
@@ -254,20 +259,23 @@ def extract(root: Node, exact: set[int], shapes: set[int], places: set[int]) ->
         if text:
             out.append(text)
 
-    stack2: list[object] = [(root, False)]
-    while stack2:
-        item = stack2.pop()
+    steps: list[object] = [(root, False, not told or not stated)]
+    while steps:
+        item = steps.pop()
         if item is None:
             close()
             continue
         if isinstance(item, str):
             parts.append(item)
             continue
-        node, inside = item
+        node, inside, sealed = item
         if id(node) in frame:
             inside = inside or id(node) in own
         else:
             running = node.tag in RUNNING
+            if not sealed and (not inside or exact and not running):
+                seal(node)
+                sealed = True
             if node.tag not in FRAME and (not running and not inside and node.shape in shapes or (not running or not inside and not stated) and node.hash in exact):
                 by_count += 1
                 continue
@@ -279,9 +287,9 @@ def extract(root: Node, exact: set[int], shapes: set[int], places: set[int]) ->
             continue
         if node.tag in BLOCKS:
             close()
-            stack2.append(None)
+            steps.append(None)
         # white space and text beside an article are not of it
-        stack2.extend(k if isinstance(k, str) else (k, inside) for k in reversed(node.kids) if inside or not stated or not isinstance(k, str))
+        steps.extend(k if isinstance(k, str) else (k, inside, sealed) for k in reversed(node.kids) if inside or not stated or not isinstance(k, str))
     close()
     return out, by_count, by_kind
 
@@ -344,7 +352,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 kinds.append(by_kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counted, pa.int64()), pa.array(kinds, pa.int64())], ["page_id", "url", "text", "n_templates", "n_kinds"])
 
-    said = written(verdicts(evidence_counts(rows), min_pages, min_share), "template-verdicts")
+    said = written(verdicts(written(evidence_counts(rows), "subtree-counts"), min_pages, min_share), "template-verdicts")
     size = said.agg(F.coalesce(F.sum(F.size("exact") + F.size("shapes") + F.size("places") + 8), F.lit(0))).first()[0] * 8
     judged = rows.join(F.broadcast(said) if size <= BROADCAST_BYTES else said, "host", "left").select("page_id", "url", "html", "exact", "shapes", "places")
     out = judged.mapInArrow(run, f"page_id {id_type}, url string, text string, n_templates long, n_kinds long")
