@@ -112,10 +112,11 @@ def windows_sent(texts: Texts, shard: int, width: int, gram: int, buckets: int,
 def requests(table: pa.Table) -> pa.Table:
     """Of the rows of one bucket: for every window that recurs, the shard and place of its smallest document and the shards that hold it.
 
-    A row for each pair of shards: shard (the source's), dest, docs, places, counts.
+    A row for each source: shard, and runs of windows as dests (the shards that hold them), docs, places and counts.
     """
+    names = ["shard", "dests", "docs", "places", "counts"]
     if not table.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 3)], names=["shard", "dest", "docs", "places", "counts"])
+        return pa.table([pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 4)], names=names)
     shards = table.column("shard").to_numpy()
     docs, places, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", "<i4"), ("counts", "<i4")))
     tags = np.frombuffer(b"".join(table.column("tags").to_pylist()), np.uint64)
@@ -129,28 +130,32 @@ def requests(table: pa.Table) -> pa.Table:
     source = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
     wanted = (doc[order] > doc[source]) | (tags[order] & _ONE).astype(bool)
     source, dest = source[wanted], shard[order][wanted]
-    order = np.lexsort((place[source], doc[source], dest, shard[source]))
+    if not len(source):
+        return requests(table.slice(0, 0))
+    order = np.lexsort((place[source], dest, shard[source]))
     source, dest = source[order], dest[order]
     s, d, at = shard[source], doc[source], place[source]
-    pair = np.append(True, (np.diff(s) != 0) | (np.diff(dest) != 0)) if len(s) else np.empty(0, bool)
-    starts = np.flatnonzero(pair | np.append(True, (np.diff(at) != 1) | (np.diff(d) != 0))) if len(s) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, (np.diff(s) != 0) | (np.diff(dest) != 0) | (np.diff(at) != 1) | (np.diff(d) != 0)))
     count = np.diff(np.append(starts, len(s)))
-    cut = np.append(np.flatnonzero(pair[starts]), len(starts)) if len(s) else np.zeros(1, np.int64)
-    columns = [pieces(d[starts], cut), pieces(at[starts].astype("<i4"), cut), pieces(count.astype("<i4"), cut)]
-    heads = starts[cut[:-1]]
-    return pa.table([pa.array(s[heads]), pa.array(dest[heads]), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "dest", "docs", "places", "counts"])
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(s[starts]) != 0)), len(starts))
+    columns = [pieces(dest[starts].astype("<i8"), cut), pieces(d[starts], cut), pieces(at[starts].astype("<i4"), cut), pieces(count.astype("<i4"), cut)]
+    return pa.table([pa.array(s[starts[cut[:-1]]]), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
 
 def passages_sent(texts: Texts, asked: pa.Table, width: int) -> pa.Table:
-    """The passages asked of a shard: dest, docs (their smallest documents), sizes (in words) and the words."""
-    flat, out = list(chain.from_iterable(texts.words)), ([], [], [], [])
-    for dest, docs, places, counts in zip(*(asked.column(c).to_pylist() for c in ("dest", "docs", "places", "counts"))):
-        sizes = np.frombuffer(counts, "<i4") + width - 1
-        out[0].append(dest)
-        out[1].append(docs)
-        out[2].append(sizes.astype("<i4").tobytes())
-        out[3].append(b" ".join([b" ".join(flat[a : a + n]) for a, n in zip(np.frombuffer(places, "<i4").tolist(), sizes.tolist())]))
-    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), *[pa.binary()] * 3))], names=["shard", "docs", "sizes", "words"])
+    """The passages asked of a shard, a row each: shard (that holds them too), doc (their smallest document) and the words.
+
+    Windows of all buckets come together first, so that a passage is one run of words and not one for each anchor.
+    """
+    dests, docs, places, counts = (np.frombuffer(b"".join(asked.column(c).to_pylist()), t).astype(np.int64) for c, t in (("dests", "<i8"), ("docs", np.int64), ("places", "<i4"), ("counts", "<i4")))
+    order = np.lexsort((places, dests))
+    dests, docs, places, counts = dests[order], docs[order], places[order], counts[order]
+    opens = np.append(True, (np.diff(dests) != 0) | (np.diff(docs) != 0) | (places[1:] != (places + counts)[:-1])) if len(places) else np.empty(0, bool)
+    starts = np.flatnonzero(opens)
+    ends = (places + counts)[np.append(starts[1:], len(places)) - 1] + width - 1 if len(starts) else starts
+    flat = list(chain.from_iterable(texts.words)) if len(starts) else []
+    words = [b" ".join(flat[a:b]) for a, b in zip(places[starts].tolist(), ends.tolist())]
+    return pa.table([pa.array(dests[starts]), pa.array(docs[starts]), pa.array(words, pa.binary())], names=["shard", "doc", "words"])
 
 
 def spelled(ids: np.ndarray) -> str:
@@ -168,15 +173,12 @@ class Passages:
     def __init__(self, table: pa.Table, width: int):
         self.width, self.numbers = width, {}
         windows: dict[str, int] = {}
-        for docs, sizes, words in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "words"))):
+        for doc, words in zip(table.column("doc").to_pylist(), table.column("words").to_pylist()):
             text = spelled(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words.split()], np.int64))
-            end = 0
-            for doc, size in zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(sizes, "<i4").tolist()):
-                begin, end = end, end + size
-                for at in range(2 * begin, 2 * (end - width + 1), 2):
-                    window = text[at : at + 2 * width]
-                    if windows.setdefault(window, doc) > doc:
-                        windows[window] = doc
+            for at in range(0, len(text) - 2 * width + 2, 2):
+                window = text[at : at + 2 * width]
+                if windows.setdefault(window, doc) > doc:
+                    windows[window] = doc
         self.automaton = ahocorasick.Automaton()
         for window, doc in windows.items():
             self.automaton.add_word(window, doc)
@@ -265,8 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_shard = dealt.groupBy("shard")
     windows = by_shard.applyInArrow(collect, "bucket long, shard long, docs binary, places binary, counts binary, tags binary")
-    asked = windows.groupBy("bucket").applyInArrow(lambda table: requests(table), "shard long, dest long, docs binary, places binary, counts binary")
-    found = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard long, docs binary, sizes binary, words binary")
+    asked = windows.groupBy("bucket").applyInArrow(lambda table: requests(table), "shard long, dests binary, docs binary, places binary, counts binary")
+    found = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard long, doc long, words binary")
     return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, "doc_id long, text string, n_removed long, kept_text string" if with_text else "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
