@@ -54,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.tokenizer.encode_special_tokens = True
+        # the name of a special token in a text is that token, as the tokenizer's plain call has it
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.known: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +79,7 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.remember:
             self.known = {"": b""}
-        cut = [atoms(text) for text in texts]
+        cut = [[text] if self.special and self.special.search(text) else atoms(text) for text in texts]
         found = [list(map(self.known.get, some)) if len(some) > 1 else some for some in cut]
         gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
         self._learn(list({some[i] for some, own in zip(cut, gaps) for i in own}))
@@ -153,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if ``with_ids``).
 
     Sequences hold at most ``length`` tokens and are full, or as long as a power of two. Null and empty texts are one
-    token, the end. A document longer than a sequence has several pieces, next to each other on the curve. Repeated
+    token, the end. Names of special tokens in a text are these tokens. A document longer than a sequence has several pieces, next to each other on the curve. Repeated
     rows are packed each; null ids are packed too and sort first. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession

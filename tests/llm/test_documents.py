@@ -202,7 +202,6 @@ def test_packing(spark, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = [(i, t) for i, t in PLAIN if i not in (6, None)] + [(20, "a <|endoftext|> b   c \n d  e")]
     full = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, with_ids=True).collect()
@@ -218,6 +217,10 @@ def test_packing(spark, empty):
         total = sum(n for _, n in parts)
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
         assert total <= 2048 and total & (total - 1) == 0
+    twice = [(5, "the same words"), (5, "the same words"), (None, "no id"), (None, "no id")]
+    packed = packing.pack(spark.createDataFrame(twice, "doc_id long, text string"), path, with_ids=True).collect()
+    one, other = ([*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in ("the same words", "no id"))
+    assert sorted(x for r in packed for x in r.ids) == sorted(2 * one + 2 * other) and sum(r.length for r in packed if r.doc_id == 5) == 2 * len(one)
     assert packing.pack(docs(spark), path).select("doc_id").distinct().count() == 15
     assert packing.pack(empty, path).count() == 0
 
@@ -293,5 +296,6 @@ def test_atoms_do_not_change_ids():
     encoder = packing.Encoder(path)
     rng = np.random.default_rng(5)
     odd = ["a\nb", "a \nb", "a\n b", "x.\nY z", " .\n", "..", "a.. b", "it's. don't,", "é.,ñ, z.", "12. 3,", "_., a_. b", "end.\n\n next", "", "\0 a\0", "x\x1c y\x85 z"]
+    odd += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z.", "<|endoftext |>"]
     odd += ["".join(rng.choice(list("ab .,\n\t'é1_\x85"), int(rng.integers(1, 30)))) for _ in range(3000)]
     assert encoder.encode(odd) == [encoder._raw([t])[0] for t in odd]
