@@ -14,14 +14,14 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks.llm.shared import scratch
@@ -107,17 +107,23 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, body[:length]
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+def sha1_160(payload: Column) -> Column:
+    return F.unhex(F.sha1(payload))
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, content_hash: Callable[[Column], Column] = sha1_160) -> DataFrame:
     """Write a record per row into ``folder``; returns the manifest (file, records), itself written beside the files.
 
     Null html is an empty payload. A null url leaves the record without target; a null id leaves it without a number,
     and such a row is never what others refer to unless all ids of its payload are null. Repeated rows of one id all
-    carry that id; those of the smallest id are all responses.
+    carry that id; those of the smallest id are all responses, also where their payloads differ. Payloads are equal where
+    their SHA-1, 64 bits of another hash and their lengths are.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    dealt = rows.join(first, "sha").select("page_id", "url", "payload", "first")
+    # made SHA-1 collisions differ in the other two
+    rows = rows.withColumn("same", F.struct(content_hash(F.col("payload")).alias("hash"), F.xxhash64("payload").alias("check"), F.length("payload").alias("size")))
+    first = rows.groupBy("same").agg(F.min("page_id").alias("first"))
+    dealt = rows.join(first, "same").select("page_id", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, files, waiting, held = TaskContext.get(), 0, [], 0

@@ -105,6 +105,14 @@ def test_warc_round_trip(spark, least):
     assert warc_zstd.round_trip(df.limit(0)).count() == 0
 
 
+def test_payloads_with_one_digest_stay_apart(spark, tmp_path):
+    rows = [(1, "u", "one text"), (2, "u", "two text"), (3, "u", "one text"), (1, "u", "another")]
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc_zstd.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, content_hash=lambda p: F.lit(b"x"))
+    got = warc_zstd.read_archives(spark, folder, manifest, with_payload=True).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in got) == [(1, "response", None, b"another"), (1, "response", None, b"one text"), (2, "response", None, b"two text"), (3, "revisit", 1, b"")]
+
+
 def test_archive_layout():
     records = [warc_zstd.warc_record(i, f"http://a/{i}", b"<html>text of page %d</html>" % i * 30, "D", None, False) for i in range(200)]
     data = warc_zstd.archive(records)
