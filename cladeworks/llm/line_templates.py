@@ -1,7 +1,7 @@
 """Recurring lines by a log-template tree of fixed depth: lines that recur over documents but for variable fields are dropped.
 
 Tokens that hold a digit are variable fields wherever they stand. A line descends by its token count, then by its ``depth`` leading tokens,
-then by one of up to three equal parts of its remaining tokens, so that a leaf holds lines that agree in their
+then by one of up to three parts, of ``depth`` tokens at least, of its remaining tokens, so that a leaf holds lines that agree in their
 opening and in one whole part; a line is in one leaf for each part, and fields may vary in all parts but one. Only leaves that recur over
 documents are looked at further. Within a leaf a token is constant at its position if half of the leaf's lines have it
 there. The leaf's agreement does not depend on how large the corpus is, and neither does what is constant. A template is the opening and
@@ -29,17 +29,17 @@ def masked(line: Column) -> Column:
         odd |= F.contains(line, F.lit(space))
     plain = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
     plain = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
-    return F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))
+    loose = F.contains(plain, F.lit("  ")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
+    return F.when(loose, F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))).otherwise(plain)
 
 
 def leaves(tokens: Column, depth: int, parts: int) -> Column:
-    """The hashes of a line's leaves."""
+    """The hashes of a line's leaves, one for each part of at least ``depth`` tokens."""
     rest = F.greatest(F.size(tokens) - depth, F.lit(0))
-    count = F.least(F.lit(parts), rest)
-    bound = lambda j: F.floor(j * rest / F.greatest(count, F.lit(1))).cast("int")
-    part = lambda j: F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j))
-    key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), j, F.when(rest > 0, part(j)))
-    return F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), key)
+    count = F.greatest(F.least(F.lit(parts), F.floor(rest / depth).cast("int")), F.lit(1))
+    bound = lambda j: F.floor(j * rest / count).cast("int")
+    key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), F.lit(j), F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j)))
+    return F.array_compact(F.array(*(F.when(j < count, key(j)) for j in range(parts))))
 
 
 def salted(rows: DataFrame) -> DataFrame:
@@ -57,13 +57,14 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit hashes. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line")).where("line <> ''")
-    hashed = written(lines.select("row", F.xxhash64("line").alias("shape"), leaves(F.split("line", " "), depth, parts).alias("leaves")), "line-leaves").distinct()
+    lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
+    keyed = lines.select("row", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
+    hashed = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves")), "line-leaves")
     filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
 
     recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     held = filed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted(recurring), ["leaf", "salt"], "left_semi")
-    held = written(held.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("n")), "recurring-leaves")
+    held = written(held.groupBy("leaf", "shape").agg(F.count_distinct("row").alias("n")), "recurring-leaves")
     texts = lines.groupBy(F.xxhash64("line").alias("shape")).agg(F.first("line").alias("line")).join(held.select("shape").distinct(), "shape", "left_semi")
     held = written(held.join(texts, "shape").select("leaf", "shape", "n", F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.size(F.split("line", " ")) - depth, F.lit(0))).alias("rest")), "leaf-lines")
 
@@ -73,7 +74,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     constants = constants.groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))
     shaped = held.join(constants, "leaf", "left").withColumn("template", F.transform("rest", lambda t, i: F.when(F.array_contains("constants", F.struct(i.alias("pos"), t.alias("token"))), t).otherwise(FIELD)))
     fixed = F.size(F.filter("template", lambda t: t != FIELD))
-    shaped = shaped.where(fixed >= F.lit(float(min_constant)) * F.size("rest")).select("leaf", "shape", "n", F.md5(F.concat_ws(" ", "template")).alias("template"))
+    shaped = written(shaped.where(fixed >= F.lit(float(min_constant)) * F.size("rest")).select("leaf", "shape", "n", F.md5(F.concat_ws(" ", "template")).alias("template")), "leaf-templates")
     common = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
     gone = shaped.join(common, ["leaf", "template"], "left_semi").select("shape").distinct()
     dropped = hashed.select("row", "shape", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(salted(gone), ["shape", "salt"], "left_semi")
@@ -93,9 +94,9 @@ u AS (SELECT DISTINCT doc_id, text FROM d),
 l AS (SELECT doc_id, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x:
     array_to_string(list_filter(string_split(regexp_replace(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> ''), ' ')))) AS line FROM u),
 t AS (SELECT doc_id, text, line, string_split(line, ' ') AS tokens FROM l WHERE line <> ''),
-r AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead, tokens[4:] AS rest, greatest(len(tokens) - 3, 0) AS m, least(greatest(len(tokens) - 3, 0), 3) AS s FROM t),
-k AS (SELECT *, unnest(range(greatest(s, 1))) AS j FROM r),
-f AS (SELECT doc_id, text, line, n, lead, rest, j, CASE WHEN m > 0 THEN rest[(j * m) // s + 1:((j + 1) * m) // s] END AS part FROM k),
+r AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead, tokens[4:] AS rest, greatest(len(tokens) - 3, 0) AS m, greatest(least(greatest(len(tokens) - 3, 0) // 3, 3), 1) AS s FROM t),
+k AS (SELECT *, unnest(range(s)) AS j FROM r),
+f AS (SELECT doc_id, text, line, n, lead, rest, j, rest[(j * m) // s + 1:((j + 1) * m) // s] AS part FROM k),
 leaves AS (SELECT n, lead, j, part FROM f GROUP BY n, lead, j, part HAVING count(DISTINCT (doc_id, text)) >= 5),
 h AS (
     SELECT f.n, f.lead, f.j, f.part, f.line, f.rest, count(*) AS c FROM f JOIN leaves v ON v.n = f.n AND v.lead = f.lead AND v.j = f.j AND v.part IS NOT DISTINCT FROM f.part
