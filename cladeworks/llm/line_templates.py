@@ -3,7 +3,7 @@
 Tokens that hold a digit are variable fields wherever they stand. A line descends by its token count, then by its ``depth`` leading tokens,
 then by one of up to three parts, of ``depth`` tokens at least, of its remaining tokens, so that a leaf holds lines that agree in their
 opening and in one whole part; a line is in one leaf for each part, and fields may vary in all parts but one. Only leaves that recur over
-documents are looked at further. Within a leaf a token is constant at its position if half of the leaf's lines have it
+documents are looked at further. Within a leaf a token is constant at its position if more than half of the leaf's lines have it
 there. The leaf's agreement does not depend on how large the corpus is, and neither does what is constant. A template is the opening and
 the constant tokens; if it recurs and enough of the tokens after the opening are constant, its lines are dropped wherever they stand.
 
@@ -33,12 +33,14 @@ def masked(line: Column) -> Column:
     return F.when(loose, F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))).otherwise(plain)
 
 
-def leaves(tokens: Column, depth: int, parts: int) -> Column:
-    """The hashes of a line's leaves, one for each part of at least ``depth`` tokens."""
-    rest = F.greatest(F.size(tokens) - depth, F.lit(0))
+def leaves(line: Column, depth: int, parts: int) -> Column:
+    """The hashes of a masked line's leaves, one for each part of at least ``depth`` tokens. Parts are cut out of the text; it is not split into tokens."""
+    upto = lambda text, count: F.call_function("substring_index", text, F.lit(" "), count)
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    rest = F.greatest(tokens - depth, F.lit(0))
     count = F.greatest(F.least(F.lit(parts), F.floor(rest / depth).cast("int")), F.lit(1))
     bound = lambda j: F.floor(j * rest / count).cast("int")
-    key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), F.lit(j), F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j)))
+    key = lambda j: F.xxhash64(tokens, upto(line, F.lit(depth)), F.lit(j), upto(upto(line, bound(j + 1) + depth), bound(j) - bound(j + 1)))
     return F.array_compact(F.array(*(F.when(j < count, key(j)) for j in range(parts))))
 
 
@@ -50,7 +52,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_lines, n_dropped, kept_sha256 (and the kept text if ``with_text``).
 
     Lines end at line feeds; tokens are runs of anything but ASCII white space. A leaf recurs if ``min_docs`` documents have a
-    line in it; a line that a document repeats counts once. Constant is what a share of ``steady`` of the leaf's lines have. A template recurs from ``min_docs``
+    line in it; a line that a document repeats counts once. Constant is what more than a share of ``steady`` (a half at least) of the leaf's lines have. A template recurs from ``min_docs``
     lines on and is dropped if at least ``min_constant`` of the tokens after the opening are constant; a line of no more
     than ``depth`` tokens is its own template. Blank lines stay. Null and empty texts have no lines. Equal rows count as one document; rows
     that share an id with different texts, and rows without an id, count each. Documents, lines and leaves are told apart by
@@ -58,8 +60,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
-    keyed = lines.select("row", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
-    hashed = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves")), "line-leaves")
+    hashed = written(lines.select("row", F.xxhash64("line").alias("shape"), leaves(F.col("line"), depth, parts).alias("leaves")), "line-leaves")
     filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
 
     recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
@@ -70,9 +71,11 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sizes = held.groupBy("leaf").agg(F.sum("n").alias("lines"))
     tokens = held.select("leaf", "n", F.posexplode("rest").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    constants = tokens.join(sizes, "leaf").where((F.col("token") != FIELD) & (F.col("n") >= F.lit(float(steady)) * F.col("lines")))
-    constants = constants.groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))
-    shaped = held.join(constants, "leaf", "left").withColumn("template", F.transform("rest", lambda t, i: F.when(F.array_contains("constants", F.struct(i.alias("pos"), t.alias("token"))), t).otherwise(FIELD)))
+    constants = tokens.join(sizes, "leaf").where((F.col("token") != FIELD) & (F.col("n") > F.lit(float(steady)) * F.col("lines")))
+    # more than half leaves room for one token at a place
+    constants = constants.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("at"), F.max("pos").alias("last"))
+    constants = constants.select("leaf", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.try_element_at("at", i)).alias("constants"))
+    shaped = held.join(constants, "leaf", "left").withColumn("template", F.zip_with("rest", F.coalesce("constants", F.array().cast("array<string>")), lambda t, c: F.when(t == c, t).otherwise(FIELD)))
     fixed = F.size(F.filter("template", lambda t: t != FIELD))
     shaped = written(shaped.where(fixed >= F.lit(float(min_constant)) * F.size("rest")).select("leaf", "shape", "n", F.md5(F.concat_ws(" ", "template")).alias("template")), "leaf-templates")
     common = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
@@ -81,7 +84,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped = dropped.groupBy("row").agg(F.collect_set("shape").alias("dropped"))
 
     every = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    out = rows.join(dropped, "row", "left").withColumn("lines", every)
+    # one way at every size, and texts are not sorted
+    out = rows.join(dropped.hint("shuffle_hash"), "row", "left").withColumn("lines", every)
     stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", F.xxhash64(masked(line)))))
     out = out.withColumn("stay", stay).withColumn("kept_text", F.concat_ws("\n", "stay"))
     n_lines, n_stay = F.size("lines").cast("long"), F.size("stay").cast("long")
@@ -104,7 +108,7 @@ h AS (
 e AS (SELECT row_number() OVER () AS entry, dense_rank() OVER (ORDER BY n, lead, j, part) AS leaf, * FROM h),
 z AS (SELECT leaf, sum(c) AS lines FROM e GROUP BY leaf),
 p AS (SELECT entry, leaf, c, unnest(rest) AS token, unnest(range(len(rest))) AS pos FROM e),
-q AS (SELECT p.leaf, p.pos, p.token FROM p JOIN z USING (leaf) WHERE token <> '<*>' GROUP BY p.leaf, p.pos, p.token, z.lines HAVING sum(c) >= 0.5::DOUBLE * z.lines),
+q AS (SELECT p.leaf, p.pos, p.token FROM p JOIN z USING (leaf) WHERE token <> '<*>' GROUP BY p.leaf, p.pos, p.token, z.lines HAVING sum(c) > 0.5::DOUBLE * z.lines),
 w AS (
     SELECT p.entry, sum(CASE WHEN q.token IS NULL THEN 0 ELSE 1 END) AS fixed, string_agg(coalesce(q.token, '<*>'), ' ' ORDER BY p.pos) AS template
     FROM p LEFT JOIN q ON q.leaf = p.leaf AND q.pos = p.pos AND q.token = p.token GROUP BY p.entry),

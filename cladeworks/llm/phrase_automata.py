@@ -285,3 +285,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if chars_col and chars_col in docs.columns:
         new[chars_col] = F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.length("__kept")).cast(docs.schema[chars_col].dataType)
     return joined.withColumns(new).select(*docs.columns)
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS words FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(len(words) - 12), lambda p: array_to_string(words[p + 1:p + 13], ' '))) AS win, unnest(range(len(words) - 12)) AS p FROM w WHERE len(words) > 12),
+m AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+g AS (SELECT DISTINCT doc_id, p + i AS q FROM k JOIN m USING (win), range(13) t(i) WHERE first < doc_id),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS q FROM w),
+s AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY q) FILTER (g.q IS NULL) AS kept, count(g.q) AS n_removed FROM e LEFT JOIN g USING (doc_id, q) GROUP BY e.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+"""

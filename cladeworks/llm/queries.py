@@ -69,6 +69,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_main_text, op3_warc_round_trip, op4_exact_dedup, op5_nearest, op6_simhash, op7_repeated_passages, op8_language, op9_line_templates, op10_byte_bpe)} | {"pipeline": corpus_pipeline.run}
 
-SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op9_line_templates": line_templates.ORACLE}
+SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_repeated_passages": phrase_automata.ORACLE, "op9_line_templates": line_templates.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

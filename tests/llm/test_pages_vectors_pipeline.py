@@ -234,7 +234,7 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == sizes[3]
 
 
-@pytest.mark.parametrize("name", ["op4_exact_dedup", "op9_line_templates"])
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op7_repeated_passages", "op9_line_templates"])
 def test_sql(spark, name):
     con = duckdb.connect()
     where = "/root/testdata/sf0.001"
