@@ -43,6 +43,25 @@ def indel_colors(indels: DataFrame, seed: int = 1) -> DataFrame:
     return indels.select("indel", F.coalesce(fixed, drawn).alias("color"))
 
 
+def random_color(key: Column, seed: int, *ranges: tuple[int, int]) -> Column:
+    """A colour whose channels are drawn by hash of (seed, channel, key) from three ranges, ends included."""
+    channel = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(ranges[i][1] - ranges[i][0] + 1)) + ranges[i][0]).cast("int")
+    return rgb_to_hex(channel(0), channel(1), channel(2))
+
+
+def random_indel_colors(indels: DataFrame, seed: int = 1) -> DataFrame:
+    """(indel, color) of the distinct indels: drawn by hash, fixed colours for uncut, uncalled and missing."""
+    low = F.lower("indel")
+    fixed = F.when(low == "missing", FIXED["missing"]).when(low.contains("none"), FIXED["none"]).when(low == "nc", FIXED["nc"])
+    drawn = random_color(F.col("indel"), seed, (40, 250), (40, 250), (40, 250))
+    return indels.select("indel").where("indel IS NOT NULL").distinct().select("indel", F.coalesce(fixed, drawn).alias("color"))
+
+
+def strip_size(placed: DataFrame) -> DataFrame:
+    """(depth, width): a strip is a twentieth of the range of y deep, and a leaf of (x, y) has an equal share of the range of x."""
+    return placed.agg(((F.max("y") - F.min("y")) * 0.05).alias("depth"), ((F.max("x") - F.min("x") + 1) / F.count(F.lit(1))).alias("width"))
+
+
 def color_strip(placed: DataFrame, width: float, gap: float = 0.0) -> DataFrame:
     """Add x0, x1, y0, y1 of a box beyond each leaf (x, y): as wide as a leaf's place, ``width`` deep."""
     return placed.withColumns({"x0": F.col("x") - 0.5, "x1": F.col("x") + 0.5, "y0": F.col("y") + gap, "y1": F.col("y") + gap + width})

@@ -7,6 +7,9 @@ the missing state, 0 is the uncut state.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +122,40 @@ def bootstrap(cells: DataFrame, characters: int, samples: int = 10, seed: int =
 def mutation_rate(mutated: Column, depth: Column, continuous: bool = True) -> Column:
     """Rate a unit of time, or probability a generation, at which a site mutates, from the share of mutated entries at ``depth``."""
     return F.when(F.lit(continuous), -F.log(1 - mutated) / depth).otherwise(1 - F.pow(1 - mutated, 1 / depth))
+
+
+def most_abundant(states: Column) -> Column:
+    """The state that stands most often in an array, the smallest of equals."""
+    ranked = F.transform(F.array_distinct(states), lambda s: F.struct((-F.size(F.filter(states, lambda x: x == s))).alias("less"), s.alias("s")))
+    return F.array_min(ranked)["s"]
+
+
+def collapse_ambiguous(matrix: DataFrame) -> DataFrame:
+    """The long form with each state of an entry once."""
+    return matrix.withColumn("states", F.array_sort(F.array_distinct("states")))
+
+
+def resolve_ambiguous(matrix: DataFrame, resolve: Callable[[Column], Column] = most_abundant) -> DataFrame:
+    """(cell, character, state): one state an entry, chosen by ``resolve``, an expression over the array."""
+    return matrix.select("cell", "character", resolve(F.col("states")).alias("state"))
+
+
+def ambiguous_cells(matrix: DataFrame) -> DataFrame:
+    """(cell, ambiguous): whether an entry of the cell holds several states."""
+    return matrix.groupBy("cell").agg(F.max(F.size("states") > 1).alias("ambiguous"))
+
+
+def unravel(matrix: DataFrame) -> DataFrame:
+    """(cell, character, state): a row for each state of an entry, repeats included."""
+    return matrix.select("cell", "character", F.explode("states").alias("state"))
+
+
+def default_cut_sites(alleles: DataFrame) -> list[str]:
+    """The columns whose name holds an r and a digit."""
+    return [c for c in alleles.columns if re.search(r"r\d", c)]
+
+
+def with_site_codes(alleles: DataFrame, sites: list[str]) -> DataFrame:
+    """Add s1, s2 ... for plots: 0.9 for an uncut site, 1.9 for a deletion, 2.9 for an insertion, else 0."""
+    code = lambda c: F.when(F.upper(c).contains("NONE"), 0.9).when(c.contains("D"), 1.9).when(c.contains("I"), 2.9).otherwise(0.0)
+    return alleles.withColumns({site.replace("r", "s", 1): F.coalesce(code(F.col(site)), F.lit(0.0)) for site in sites})

@@ -37,6 +37,9 @@ def assign_groups(frac: DataFrame, min_size: int, min_prop: float = 0.2, kinship
         if own.count() <= min_size:
             break
         rest = written(rest.join(own, "cell", "left_anti"), "fractions")
+    else:
+        if rest.take(1):
+            raise RuntimeError(f"groups are left after {rounds} rounds")
     if cells is None:
         empty = frac.sparkSession.createDataFrame
         return empty([], "cell " + frac.schema["cell"].dataType.simpleString() + ", grp int"), empty([], "grp int, intbc " + frac.schema["intbc"].dataType.simpleString())
@@ -92,3 +95,11 @@ def filter_inter_doublets(molecules: DataFrame, lineages: DataFrame, rule: float
     """Molecules of cells whose share in their own lineage reaches the rule."""
     own = membership(molecules, presence(molecules, lineages)).join(lineages, ["cell", "lineage"]).where(F.col("share") >= rule)
     return molecules.join(own.select("cell"), "cell", "left_semi")
+
+
+def filter_final_barcodes(molecules: DataFrame, lineages: DataFrame, share: float = 0.05, control: str = "NC") -> DataFrame:
+    """Molecules, with their lineage, whose barcode more than ``share`` of the lineage's cells hold and which is not the control."""
+    own = molecules.join(lineages, "cell")
+    sizes = own.groupBy("lineage").agg(F.count_distinct("cell").alias("size"))
+    held = own.groupBy("lineage", "intbc").agg(F.count_distinct("cell").alias("n")).join(sizes, "lineage").where((F.col("n") > F.lit(float(share)) * F.col("size")) & (F.col("intbc") != control))
+    return own.join(held.select("lineage", "intbc"), ["lineage", "intbc"], "left_semi")

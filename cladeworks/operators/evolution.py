@@ -93,3 +93,37 @@ def log_likelihood(tree: DataFrame, paths: DataFrame, cells: DataFrame, priors:
         known = written(known.union(now.select("node", "character", one.alias("state"), "open", F.when(one == 0, low).otherwise(F.col("cut")).alias("cut"))), "likelihoods")
     root = tree.where("parent IS NULL").select("node")
     return known.join(root, "node").select("character", F.col("open").alias("loglik"))
+
+
+def log_likelihood_discrete(tree: DataFrame, paths: DataFrame, cells: DataFrame, priors: DataFrame, probability: float, stochastic: float = 0.0, missing: int = MISSING) -> DataFrame:
+    """The same where an open site is cut with ``probability`` a generation and every edge is one."""
+    import math
+
+    return log_likelihood(tree.withColumn("length", F.lit(1.0)), paths, cells, priors, -math.log(1 - probability), stochastic, missing)
+
+
+def tracing_parameters(tree: DataFrame, paths: DataFrame, mutated: float, missing_share: float, continuous: bool = True, rate: float | None = None, heritable: float | None = None, stochastic: float | None = None) -> tuple[float, float, float]:
+    """(mutation rate, heritable missing rate, stochastic missing probability): those given, the others estimated from shares of entries at the leaves."""
+    rate = mutation_rate(tree, paths, mutated, continuous) if rate is None else rate
+    if not (rate >= 0 if continuous else 0 <= rate <= 1):
+        raise T.TreeError("the mutation rate is out of its range")
+    if heritable is None or stochastic is None:
+        at = T.node_times(paths).join(T.leaves(tree), "node").agg(F.avg("time").alias("time"), F.avg("depth").alias("depth")).first()
+        heritable, stochastic = T.missing_rates(missing_share, heritable, 0.0 if heritable is None and stochastic is None else stochastic, at.time if continuous else at.depth)
+    return rate, heritable, stochastic
+
+
+def edge_statistics(tree: DataFrame, states: DataFrame, missing: int = MISSING) -> DataFrame:
+    """(parent, node, mutated, unmutated): of the characters uncut above an edge and not missing below it, those cut below and those not. ``states``: node, character, state."""
+    above = states.where("state = 0").select(F.col("node").alias("parent"), "character")
+    both = tree.where("parent IS NOT NULL").select("node", "parent").join(states.where(F.col("state") != missing), "node").join(above, ["parent", "character"])
+    return both.groupBy("parent", "node").agg(F.count_if(F.col("state") != 0).alias("mutated"), F.count_if(F.col("state") == 0).alias("unmutated"))
+
+
+def exponential_lengths(tree: DataFrame, states: DataFrame, least: float = 0.01, missing: int = MISSING) -> DataFrame:
+    """The tree with the length of each edge that makes its own counts most likely, if sites are cut at rate 1: -ln(unmutated / all), half a site being thought uncut where none is; at least ``least``.
+
+    Every edge is estimated by itself: leaves need not end at one time. An edge without open sites above it gets ``least``.
+    """
+    told = edge_statistics(tree, states, missing).select("node", F.greatest(F.lit(least), -F.log(F.greatest(F.col("unmutated"), F.lit(0.5)) / (F.col("mutated") + F.col("unmutated")))).alias("__length"))
+    return tree.join(told, "node", "left").select("node", "parent", F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("__length", F.lit(least))).alias("length"))

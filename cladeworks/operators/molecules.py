@@ -183,3 +183,22 @@ def second_share(molecules: DataFrame) -> DataFrame:
     """(cell, umi, top, second): the two largest read counts of the sequences of a (cell, umi); second is null for one sequence."""
     ranked = molecules.withColumn("rank", F.row_number().over(Window.partitionBy("cell", "umi").orderBy(F.desc("reads"), "seq")))
     return ranked.where("rank <= 2").groupBy("cell", "umi").agg(F.max(F.when(F.col("rank") == 1, F.col("reads"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("reads"))).alias("second"))
+
+
+def correct_cells(reads: DataFrame, whitelist: DataFrame, least: float = 0.975) -> DataFrame:
+    """Add ``cell`` to reads (raw, qual): the barcode itself if it is listed, else the listed one at one difference whose posterior reaches ``least``, else null.
+
+    A candidate's weight is its prior, one more than the reads that show it exactly, times the chance of an error at the
+    differing base, 10 ** (-q / 10). Candidates meet by barcodes with one place masked. ``whitelist``: cell.
+    """
+    listed = whitelist.select("cell").where("cell IS NOT NULL").distinct()
+    prior = listed.join(reads.groupBy(F.col("raw").alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cell", "left").select("cell", (F.coalesce("n", F.lit(0)) + 1).alias("prior"))
+    masks = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.struct(i.alias("i"), F.concat(F.substring(c, F.lit(1), i - 1), F.lit("*"), F.substring(c, i + 1, F.length(c))).alias("mask")))
+    odd = reads.select("raw", "qual").where("raw IS NOT NULL AND qual IS NOT NULL").distinct().join(listed.withColumnRenamed("cell", "raw"), "raw", "left_anti")
+    asked = odd.select("raw", "qual", F.explode(masks(F.col("raw"))).alias("m"))
+    near = asked.join(prior.select("cell", "prior", F.explode(masks(F.col("cell"))).alias("m")), "m")
+    weight = F.col("prior") * F.pow(F.lit(10.0), -(F.ascii(F.substring("qual", F.col("m.i"), F.lit(1))) - 33) / 10)
+    ranked = near.select("raw", "qual", "cell", weight.alias("w")).groupBy("raw", "qual").agg(F.max(F.struct("w", "cell")).alias("best"), F.sum("w").alias("all"))
+    found = ranked.where(F.col("best.w") >= F.lit(float(least)) * F.col("all")).select("raw", "qual", F.col("best.cell").alias("__near"))
+    exact = listed.select(F.col("cell").alias("raw"), F.col("cell").alias("__own"))
+    return reads.join(exact, "raw", "left").join(found, ["raw", "qual"], "left").withColumn("cell", F.coalesce("__own", "__near")).drop("__own", "__near")

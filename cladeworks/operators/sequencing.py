@@ -73,11 +73,65 @@ def align_local(ref: str, seq: str, match: int = 5, mismatch: int = -4, gap_open
     return "".join(f"{k}{op}" for k, op in runs), i, j, top
 
 
-def align(molecules: DataFrame, ref: str, gap_open: int = 20, gap_extend: int = 1) -> DataFrame:
-    """Add cigar, query_begin, ref_begin and score; each distinct ``seq`` is aligned once, in any task."""
+def align_global(ref: str, seq: str, match: int = 5, mismatch: int = -4, gap_open: int = 20, gap_extend: int = 1, free: bool = True) -> tuple[str, int, int, int]:
+    """(cigar, query start, reference start, score) of the best alignment of whole sequences; with ``free`` from an end of one to an end of one, gaps at the ends costing nothing.
+
+    Where several reach the score, matches are preferred to insertions and those to deletions, from the last column back.
+    """
+    a, b, low = seq.encode(), ref.encode(), float("-inf")
+    n, m = len(a), len(b)
+    best = np.zeros((n + 1, m + 1))
+    ins, gone = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
+    if not free:
+        ins[1:, 0] = best[1:, 0] = -(gap_open + gap_extend * np.arange(n))
+        gone[0, 1:] = best[0, 1:] = -(gap_open + gap_extend * np.arange(m))
+    letters = np.frombuffer(b, np.uint8)
+    for i in range(1, n + 1):
+        score = np.where(letters == a[i - 1], match, mismatch).astype(float)
+        score[(letters == ord("N")) | (a[i - 1] == ord("N"))] = 0
+        ins[i, 1:] = np.maximum(best[i - 1, 1:] - gap_open, ins[i - 1, 1:] - gap_extend)
+        for j in range(1, m + 1):
+            gone[i, j] = max(best[i, j - 1] - gap_open, gone[i, j - 1] - gap_extend)
+            best[i, j] = max(best[i - 1, j - 1] + score[j - 1], ins[i, j], gone[i, j])
+    ends = [(best[n, j], j, n) for j in range(m + 1)] + [(best[i, m], m, i) for i in range(n + 1)]
+    top, j, i = max(ends) if free else (best[n, m], m, n)
+    ops: list[str] = []
+    while i > 0 and j > 0:
+        score = 0 if ord("N") in (a[i - 1], b[j - 1]) else match if a[i - 1] == b[j - 1] else mismatch
+        if best[i, j] == best[i - 1, j - 1] + score:
+            ops.append("M")
+            i, j = i - 1, j - 1
+        elif best[i, j] == ins[i, j]:
+            while i > 1 and ins[i, j] != best[i - 1, j] - gap_open:
+                ops.append("I")
+                i -= 1
+            ops.append("I")
+            i -= 1
+        else:
+            while j > 1 and gone[i, j] != best[i, j - 1] - gap_open:
+                ops.append("D")
+                j -= 1
+            ops.append("D")
+            j -= 1
+    if not free:
+        ops += ["I"] * i + ["D"] * j
+        i = j = 0
+    runs: list[list[object]] = []
+    for op in reversed(ops):
+        if runs and runs[-1][1] == op:
+            runs[-1][0] += 1
+        else:
+            runs.append([1, op])
+    return "".join(f"{k}{op}" for k, op in runs), i, j, int(top)
+
+
+def align(molecules: DataFrame, ref: str, gap_open: int = 20, gap_extend: int = 1, method: str = "local") -> DataFrame:
+    """Add cigar, query_begin, ref_begin and score, by ``local`` or ``global`` alignment; each distinct ``seq`` is aligned once, in any task."""
+    one = {"local": align_local, "global": align_global}[method]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [align_local(ref, s, gap_open=gap_open, gap_extend=gap_extend) for s in pdf["seq"]]
+            found = [one(ref, s, gap_open=gap_open, gap_extend=gap_extend) for s in pdf["seq"]]
             yield pd.DataFrame([(s, *f) for s, f in zip(pdf["seq"], found)], columns=["seq", "cigar", "query_begin", "ref_begin", "score"])
 
     once = molecules.select("seq").where("seq IS NOT NULL AND seq <> ''").distinct().mapInPandas(run, "seq string, cigar string, query_begin int, ref_begin int, score long")

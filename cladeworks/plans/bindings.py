@@ -16,7 +16,7 @@ from cladeworks.operators import clones, evolution, spatial
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
 from cladeworks.operators import trees as T
-from cladeworks.solve import agglomerate, greedy
+from cladeworks.solve import greedy
 from cladeworks import simulate
 from cladeworks.sources.scratch import written
 
@@ -212,14 +212,13 @@ def state_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.state_numbers(C.character_table(alleles(spark, sf_dir), SITES))
 
 
-def cm(spark: SparkSession, sf_dir: str, sites: int = 16) -> DataFrame:
+def cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = lambda v: F.when(v <= -0.2, -1).when(F.abs(v) < 0.05, 0).when(v < 0, 1).when(v < 0.12, 2).otherwise(3)
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, sites), state).alias("states"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform(F.col("embedding").cast("array<double>"), state).alias("states"))
 
 
 STATE = "CASE WHEN v::DOUBLE <= -0.2 THEN -1 WHEN abs(v::DOUBLE) < 0.05 THEN 0 WHEN v < 0 THEN 1 WHEN v::DOUBLE < 0.12 THEN 2 ELSE 3 END"
-CM = f"cm AS (SELECT vec_id AS cell, list_transform(embedding[1:16], lambda v: {STATE}) AS states FROM embeddings)"
-CML = f"cml AS (SELECT vec_id AS cell, p AS character, {STATE} AS state FROM (SELECT vec_id, unnest(embedding[1:16]) AS v, unnest(range(16)) AS p FROM embeddings))"
+CML = f"cml AS (SELECT vec_id AS cell, p AS character, {STATE} AS state FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS p FROM embeddings))"
 
 
 @query(f"WITH {CML} SELECT round(avg(CASE WHEN state = -1 THEN 1.0 ELSE 0 END), 9) AS missing, round(sum(CASE WHEN state > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN state >= 0 THEN 1 ELSE 0 END)::DOUBLE, 9) AS mutated FROM cml")
@@ -232,14 +231,15 @@ def mutation_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.array_frequencies(cm(spark, sf_dir))
 
 
-@query(f"WITH {CM.replace('1:16', '1:3')} SELECT min(cell) AS first, count(*) AS n FROM cm GROUP BY states HAVING count(*) > 1")
+@query("SELECT min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority, year(o_orderdate), month(o_orderdate) HAVING count(*) > 1")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.duplicate_groups(cm(spark, sf_dir, 3))
+    cells = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"), F.array("o_orderstatus", "o_orderpriority", F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string")).alias("states"))
+    return C.duplicate_groups(cells)
 
 
 @query()
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bootstrap(cm(spark, sf_dir), 16, 10)
+    return C.bootstrap(cm(spark, sf_dir), 64, 10)
 
 
 PAIR = f"""WITH {CML}, p AS (
@@ -519,11 +519,11 @@ def lineage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.call_lineage_groups(events_mol(spark, sf_dir), cluster_prop=0.05, kinship_thresh=0.4)
 
 
-LINEAGE = "l AS (SELECT DISTINCT user_id AS cell, user_id % 4 AS lineage FROM events), e AS (SELECT DISTINCT user_id AS cell, event_type AS intbc FROM events WHERE event_type <> 'click' OR user_id % 3 = 0), z AS (SELECT lineage, count(*) AS size FROM l GROUP BY lineage), p AS (SELECT lineage, intbc, 1 - count(*) / size::DOUBLE AS dropout FROM e JOIN l USING (cell) JOIN z USING (lineage) GROUP BY lineage, intbc, size)"
+LINEAGE = "l AS (SELECT DISTINCT user_id AS cell, user_id % 4 AS lineage FROM events), e AS (SELECT DISTINCT user_id AS cell, event_type AS intbc FROM events), z AS (SELECT lineage, count(*) AS size FROM l GROUP BY lineage), p AS (SELECT lineage, intbc, 1 - count(*) / size::DOUBLE AS dropout FROM e JOIN l USING (cell) JOIN z USING (lineage) GROUP BY lineage, intbc, size)"
 
 
 def lineage_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = events_mol(spark, sf_dir).where("intbc <> 'click' OR cell % 3 = 0")
+    m = events_mol(spark, sf_dir)
     return m, events_mol(spark, sf_dir).select("cell", (F.col("cell") % 4).alias("lineage")).distinct()
 
 
@@ -551,20 +551,19 @@ def hybrid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.hybrid_tree(cm(spark, sf_dir))
 
 
-def clades(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.col("label").cast("string").alias("clade"))
-    cells = cm(spark, sf_dir).join(labels, "cell").select("clade", F.col("cell").cast("string").alias("cell"), "states")
-    return cells.groupBy("clade").applyInPandas(lambda pdf: agglomerate.joined(pdf, method), "node string, parent string")
+def joined_clades(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """All cells: Spark cuts clades down to 40 distinct cells, and only those are joined, a clade a group."""
+    return greedy.hybrid_tree(cm(spark, sf_dir), cutoff=40, method=method)
 
 
 @query()
 def upgma_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clades(spark, sf_dir, "upgma")
+    return joined_clades(spark, sf_dir, "upgma")
 
 
 @query()
 def neighbor_joining_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clades(spark, sf_dir, "nj")
+    return joined_clades(spark, sf_dir, "nj")
 
 
 POINTS = "xy AS (SELECT vec_id AS cell, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
@@ -622,7 +621,7 @@ def impute_deducible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shared_mutation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clades(spark, sf_dir, "shared")
+    return joined_clades(spark, sf_dir, "shared")
 
 
 @query()
