@@ -18,7 +18,7 @@ without a hit on equal words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeworks.llm.shared import WORD, partitions_for
 
@@ -56,9 +57,10 @@ class Texts:
     """The documents of one shard in the order of (doc_id, text), their words one after the other."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
-        self.words = [(r[1] or "").encode("utf-8", "surrogatepass").split() for r in rows]
+        ids, texts = (table.column(c).to_pylist() for c in ("doc_id", "text"))
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+        self.ids, self.texts = [ids[i] for i in self.order], [texts[i] for i in self.order]
+        self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in self.texts]
         self.starts = np.concatenate(([0], np.cumsum([len(w) for w in self.words], dtype=np.int64))).astype(np.int64)
         # a null id is larger than none and smaller than none: it is no source and loses nothing
         self.id_array = np.array([-(2**63) if i is None else i for i in self.ids], np.int64)
@@ -235,19 +237,12 @@ def common_grams(rows: DataFrame, count: int, gram: int, texts: int = SAMPLED_TE
     return np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, shard_chars: int = SHARD_CHARS, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256; with ``with_text`` only rows that lose words: doc_id, text, n_removed, kept_text.
-
-    A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id. Words are
-    runs of anything but ASCII white space. Null and empty texts have no words; shorter texts than a window lose
-    nothing. Rows that repeat an id are no reason to remove each other; rows without an id neither lose words nor make
-    others lose them. An empty table gives an empty result; other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def located(rows: DataFrame, width: int, gram: int, shard_chars: int, act: Callable[[pa.Table, Texts, list[np.ndarray]], pa.Table], schema: str | T.StructType) -> DataFrame:
+    """The four steps over ``rows`` (doc_id, text and what else ``act`` needs): ``act`` gets a shard's table, its texts and their masks of words to remove."""
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
-    shards, buckets = max(1, -(-size["chars"] // shard_chars)), max(partitions_for(docs.sparkSession), size["chars"] // BUCKET_CHARS)
-    common = common_grams(rows, size["rows"], gram)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    shards, buckets = max(1, -(-size["chars"] // shard_chars)), max(partitions_for(rows.sparkSession), size["chars"] // BUCKET_CHARS)
+    common = common_grams(rows.select("doc_id", "text"), size["rows"], gram)
+    by_shard = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard")
 
     def collect(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return windows_sent(Texts(table), key[0].as_py(), width, gram, buckets, common)
@@ -257,34 +252,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def locate(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         texts = Texts(table)
-        masks = Passages(found, width).removed(texts)
-        if with_text:
-            changed = [(i, t, int(m.sum()), cut(t, m)) for i, t, m in zip(texts.ids, texts.texts, masks) if m.any()]
-            return pa.table([pa.array(c, t) for c, t in zip(zip(*changed) if changed else [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["doc_id", "text", "n_removed", "kept_text"])
-        kept = [b" ".join(w for w, gone in zip(words, mask.tolist()) if not gone) if mask.any() else b" ".join(words) for words, mask in zip(texts.words, masks)]
-        columns = [pa.array(texts.ids, pa.int64()), pa.array([len(w) for w in texts.words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return act(table, texts, Passages(found, width).removed(texts))
 
-    by_shard = dealt.groupBy("shard")
     windows = by_shard.applyInArrow(collect, "bucket long, shard long, docs binary, places binary, counts binary, tags binary")
     asked = windows.groupBy("bucket").applyInArrow(lambda table: requests(table), "shard long, dests binary, docs binary, places binary, counts binary")
     found = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard long, doc long, words binary")
-    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, "doc_id long, text string, n_removed long, kept_text string" if with_text else "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, schema)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256.
+
+    A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id. Words are
+    runs of anything but ASCII white space. Null and empty texts have no words; shorter texts than a window lose
+    nothing. Rows that repeat an id are no reason to remove each other; rows without an id neither lose words nor make
+    others lose them. An empty table gives an empty result; other columns are not read.
+    """
+
+    def digest(table: pa.Table, texts: Texts, masks: list[np.ndarray]) -> pa.Table:
+        kept = [b" ".join(w for w, gone in zip(words, mask.tolist()) if not gone) if mask.any() else b" ".join(words) for words, mask in zip(texts.words, masks)]
+        columns = [pa.array(texts.ids, pa.int64()), pa.array([len(w) for w in texts.words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return located(rows, width, gram, shard_chars, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", width: int = 50) -> DataFrame:
     """The rows with their columns: repeated passages of ``width`` words and more are cut out of the texts, and rows that keep no word go.
 
-    Texts that lose nothing stay as they are, byte for byte. ``chars_col``, where it is a column, is counted anew for changed texts.
+    Texts that lose nothing stay as they are, byte for byte. ``chars_col``, where it is a column, is counted anew for changed
+    texts. The other columns travel with the texts, so that texts are shuffled once.
     """
-    changed = remove_repeats(docs, id_col, text_col, width, with_text=True).dropDuplicates(["doc_id", "text"])
-    changed = changed.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.col("kept_text").alias("__kept"))
-    joined = docs.withColumn("__own", F.xxhash64(text_col)).join(changed, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-    joined = joined.where(F.col("__kept").isNull() | (F.col("__kept") != ""))
-    new = {text_col: F.coalesce("__kept", F.col(text_col))}
-    if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.length("__kept")).cast(docs.schema[chars_col].dataType)
-    return joined.withColumns(new).select(*docs.columns)
+
+    def edit(table: pa.Table, texts: Texts, masks: list[np.ndarray]) -> pa.Table:
+        new = [cut(t, m) if m.any() else t for t, m in zip(texts.texts, masks)]
+        rest = table.column("rest").take(pa.array(texts.order, pa.int64()))
+        return pa.table([rest, pa.array(new, pa.string()), pa.array([bool(m.any()) for m in masks], pa.bool_())], names=["rest", "text", "changed"])
+
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    out = located(rows, width, GRAM, SHARD_CHARS, edit, schema)
+    out = out.where("NOT changed OR text <> ''")
+    own = lambda c: F.col("text") if c == text_col else F.col("rest")[c]
+    counted = lambda c: F.when(F.col("changed"), F.length("text")).otherwise(own(c)).cast(docs.schema[c].dataType) if c == chars_col else own(c)
+    return out.select(*(counted(c).alias(c) for c in docs.columns))
 
 
 ORACLE = """

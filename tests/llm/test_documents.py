@@ -181,6 +181,10 @@ def test_repeats_are_cut_out_of_texts(spark):
     shared = " ".join(f"s{i}" for i in range(55))
     rows = [(1, f"begin {shared} end", 5), (2, f"other\n{shared}\n tail  here", 6), (3, shared, 7), (4, "clean  text\n", 12), (None, shared, 1)]
     got = {r.doc_id: (r.text, r.n_chars) for r in phrase_automata.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
+    odd = spark.createDataFrame([(1, shared, "n", None, 3), (2, shared, "n", "b", 4), (2, "clean", None, "c", 5)], ["doc_id", "text", "shard", "a b", "rest"])
+    kept = phrase_automata.without_repeats(odd)
+    assert kept.columns == odd.columns and sorted(map(tuple, kept.collect()), key=repr) == [(1, shared, "n", None, 3), (2, "clean", None, "c", 5)]
+    assert phrase_automata.without_repeats(odd.limit(0)).count() == 0
     assert got == {1: (rows[0][1], 5), 2: ("other\ntail  here", 16), 4: ("clean  text\n", 12), None: (shared, 1)}
 
 
