@@ -33,14 +33,12 @@ def masked(line: Column) -> Column:
     return F.when(loose, F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))).otherwise(plain)
 
 
-def leaves(line: Column, depth: int, parts: int) -> Column:
-    """The hashes of a masked line's leaves, one for each part of at least ``depth`` tokens. Parts are cut out of the text; it is not split into tokens."""
-    upto = lambda text, count: F.call_function("substring_index", text, F.lit(" "), count)
-    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    rest = F.greatest(tokens - depth, F.lit(0))
+def leaves(tokens: Column, depth: int, parts: int) -> Column:
+    """The hashes of a line's leaves, one for each part of at least ``depth`` tokens."""
+    rest = F.greatest(F.size(tokens) - depth, F.lit(0))
     count = F.greatest(F.least(F.lit(parts), F.floor(rest / depth).cast("int")), F.lit(1))
     bound = lambda j: F.floor(j * rest / count).cast("int")
-    key = lambda j: F.xxhash64(tokens, upto(line, F.lit(depth)), F.lit(j), upto(upto(line, bound(j + 1) + depth), bound(j) - bound(j + 1)))
+    key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), F.lit(j), F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j)))
     return F.array_compact(F.array(*(F.when(j < count, key(j)) for j in range(parts))))
 
 
@@ -60,7 +58,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
-    hashed = written(lines.select("row", F.xxhash64("line").alias("shape"), leaves(F.col("line"), depth, parts).alias("leaves")), "line-leaves")
+    keyed = lines.select("row", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
+    hashed = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves")), "line-leaves")
     filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
 
     recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
@@ -84,8 +83,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped = dropped.groupBy("row").agg(F.collect_set("shape").alias("dropped"))
 
     every = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    # one way at every size, and texts are not sorted
-    out = rows.join(dropped.hint("shuffle_hash"), "row", "left").withColumn("lines", every)
+    # texts are dealt by document at every size, and not sorted
+    out = rows.repartition("row").join(dropped.hint("shuffle_hash"), "row", "left").withColumn("lines", every)
     stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", F.xxhash64(masked(line)))))
     out = out.withColumn("stay", stay).withColumn("kept_text", F.concat_ws("\n", "stay"))
     n_lines, n_stay = F.size("lines").cast("long"), F.size("stay").cast("long")
