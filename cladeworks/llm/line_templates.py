@@ -58,14 +58,16 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
-    keyed = lines.select("row", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
-    hashed = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves")), "line-leaves")
+    keyed = lines.select("row", "line", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
+    masked_lines = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves"), "line"), "line-leaves")
+    hashed = masked_lines.drop("line")
     filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
 
     recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     held = filed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted(recurring), ["leaf", "salt"], "left_semi")
     held = written(held.groupBy("leaf", "shape").agg(F.count_distinct("row").alias("n")), "recurring-leaves")
-    texts = lines.groupBy(F.xxhash64("line").alias("shape")).agg(F.first("line").alias("line")).join(held.select("shape").distinct(), "shape", "left_semi")
+    # a shuffle of distinct lines at every size
+    texts = masked_lines.groupBy("shape").agg(F.first("line").alias("line")).join(held.select("shape").distinct().hint("merge"), "shape", "left_semi")
     held = written(held.join(texts, "shape").select("leaf", "shape", "n", F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.size(F.split("line", " ")) - depth, F.lit(0))).alias("rest")), "leaf-lines")
 
     sizes = held.groupBy("leaf").agg(F.sum("n").alias("lines"))
