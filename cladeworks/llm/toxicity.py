@@ -21,7 +21,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -179,21 +179,23 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = 5.0, sparsit
     return Model({int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, float(b))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, longest: int = 50_000, counterfactual: float = 5.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, longest: int = 50_000, counterfactual: float = 5.0) -> Model:
     """Fit on at most ``sample`` labelled rows of at most ``longest`` characters, those with the smallest hashes of id and text.
 
-    Rows without text or label are not used. Half of the sample at most is taken of each class, so that rare toxic rows
-    are seen; what one class lacks is not filled from the other.
+    ``labels``: id, label. Rows without text or label are not used. Half of the sample at most is taken of each class, so
+    that rare toxic rows are seen; what one class lacks is not filled from the other. Only ids and hashes meet the labels;
+    texts are read again for the rows that were picked, whose list is as small as the sample.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.length(text_col) <= longest))
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    picked = []
-    for y in sorted(sizes):
-        share = min(1.0, sample / sizes[y])
-        some = rows.where((F.col("y") == y) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))
-        picked += some.orderBy("h", "i", "t").limit(sample // 2).collect()
-    return fit([r.t for r in picked], [r.y for r in picked], counterfactual)
+    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).alias("i"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    ranked = rows.join(marked, "i").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "i")))
+    picked = {(r.i, r.h): r.y for r in ranked.where(F.col("r") <= sample // 2).collect()}
+    if not picked:
+        return fit([], [])
+    listed = F.broadcast(docs.sparkSession.createDataFrame(list(picked), f"__i {docs.schema[id_col].dataType.simpleString()}, __h long"))  # at most ``sample`` rows
+    hashed = docs.select(F.col(id_col).alias("__i"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("__h"), F.col(text_col).alias("__t"))
+    texts = sorted({(r["__h"], str(r["__i"]), r["__t"], picked[r["__i"], r["__h"]]) for r in hashed.join(listed, ["__i", "__h"], "left_semi").collect()})
+    return fit([t for _, _, t, _ in texts], [y for *_, y in texts], counterfactual)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:

@@ -198,10 +198,14 @@ def test_toxicity_on_hostile_rows(spark):
     for r in got:
         assert any(r.score == pytest.approx(1 / (1 + math.exp(-model.judge(t, {})))) for i, t, _ in rows if i == r.doc_id)
     assert toxicity.score(docs(spark, []), model).collect() == []
-    none = toxicity.train(docs(spark, []).withColumn("toxic", toxicity.F.lit(1)))
-    assert none.weights == {} and toxicity.fit(["a", "b"], [1, 1]).offset > 0
-    labelled = docs(spark).withColumn("toxic", (toxicity.F.coalesce("doc_id", toxicity.F.lit(0)) % 2).cast("int"))
-    assert isinstance(toxicity.train(labelled, longest=100).offset, float)
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(14)] + [(None, 1, "x"), (3, None, "x"), (4, 7, "x")], "doc_id long, toxic int, text string")
+    for own, marks in ((docs(spark, []), labels), (docs(spark), labels.where("false"))):
+        none = toxicity.train(own, marks)
+        assert none.weights == {} and none.offset == -1.0
+    assert toxicity.fit(["a", "b"], [1, 1]).offset > 0
+    assert isinstance(toxicity.train(docs(spark), labels, longest=100).offset, float)
+    first, again = toxicity.train(docs(spark), labels, sample=6), toxicity.train(docs(spark).repartition(5), labels, sample=6)
+    assert first == again
 
 
 # --- lexical search
