@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeworks.operators import blocks
 from cladeworks.operators import characters as C
 from cladeworks.operators import clones, collapse, evolution
 from cladeworks.operators import graphs as G
@@ -14,6 +15,7 @@ from cladeworks.operators import trees as T
 from cladeworks.plans.bindings import STATE, query, read
 from cladeworks.plans.tree_bindings import CELLS as NODE_STATES
 from cladeworks.plans.tree_bindings import TREE, WIDE, node_states, orders_tree, wide_tree
+from cladeworks.solve import greedy, maxcut, percolation, spectral
 from cladeworks.sources.scratch import written
 
 # reads: the letters of a read come from the part's number, its qualities from the order's
@@ -137,10 +139,8 @@ SHARED = f"{CMC}, sh AS (SELECT a.clade, a.cell AS a, b.cell AS b, count(*)::DOU
 
 
 def shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clade, a, b, s): cuts that two cells of a clade share; the join runs inside clades."""
-    long = in_clades(spark, sf_dir).select("clade", "cell", F.posexplode("states").alias("character", "state")).where("state > 0")
-    a, b = long.withColumnRenamed("cell", "a"), long.withColumnRenamed("cell", "b")
-    return a.join(b, ["clade", "character", "state"]).where("a < b").groupBy("clade", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("s"))
+    """(clade, a, b, s): cuts that two cells of a clade share."""
+    return blocks.similarity_edges(in_clades(spark, sf_dir)).withColumnRenamed("w", "s")
 
 
 @query(f"""WITH {CMC}, v AS (SELECT clade, character, state, count(*) AS f FROM cmc GROUP BY ALL), z AS (SELECT clade, count(DISTINCT cell) AS n FROM cmc GROUP BY clade),
@@ -195,8 +195,7 @@ ne AS (SELECT cell, min(height) AS least FROM (SELECT a AS cell, height FROM up
 @query(f"WITH {ANCESTORS} SELECT a, b, states, height FROM up JOIN ne x ON x.cell = a JOIN ne y ON y.cell = b WHERE height < 40 OR height = x.least OR height = y.least")
 def ancestor_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = in_clades(spark, sf_dir)
-    pairs = c.select("clade", F.col("cell").alias("a"), F.col("states").alias("sa")).join(c.select("clade", F.col("cell").alias("b"), F.col("states").alias("sb")), "clade").where("a < b")
-    return G.ancestor_layer(pairs.select("a", "b", "sa", "sb"), 40).withColumn("states", F.concat_ws(",", F.col("states").cast("array<string>")))
+    return G.ancestor_layer(blocks.clade_pairs(c), 40).withColumn("states", F.concat_ws(",", F.col("states").cast("array<string>")))
 
 
 @query(f"""WITH {CMC}, ro AS (SELECT clade, character, CASE WHEN count(*) FILTER (state <> -1) = 0 THEN -1 WHEN min(state) FILTER (state <> -1) = max(state) FILTER (state <> -1) THEN min(state) FILTER (state <> -1) ELSE 0 END AS up FROM cmc GROUP BY ALL),
@@ -260,3 +259,56 @@ SELECT t.node, t.parent, round(CASE WHEN t.parent IS NULL THEN 0.0::DOUBLE ELSE
 def exponential_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = node_states(spark, sf_dir).select("node", F.posexplode("states").alias("character", "state"))
     return evolution.exponential_lengths(orders_tree(spark, sf_dir), states).withColumn("length", F.round("length", 9))
+
+
+# splitters of clades and the trees they build
+
+
+@query(f"""WITH {SHARED}, le AS (SELECT clade, min(s) AS least, count(*) AS k FROM sh GROUP BY clade), ed AS (SELECT clade, a, b, CASE WHEN k > 1 THEN s - least ELSE s END AS w FROM sh JOIN le USING (clade)),
+de AS (SELECT clade, cell, sum(w) AS d FROM (SELECT clade, a AS cell, w FROM ed WHERE w > 0 UNION ALL SELECT clade, b, w FROM ed WHERE w > 0) GROUP BY ALL),
+ve AS (SELECT label::VARCHAR AS clade, vec_id AS cell, embedding[1]::DOUBLE AS x, coalesce(d, 0) AS d, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE, vec_id) AS p FROM embeddings LEFT JOIN de ON de.clade = label::VARCHAR AND de.cell = vec_id),
+ii AS (SELECT e.clade, greatest(x.p, y.p) AS p, sum(w) AS inside FROM ed e JOIN ve x ON x.clade = e.clade AND x.cell = e.a JOIN ve y ON y.clade = e.clade AND y.cell = e.b GROUP BY ALL),
+pr AS (SELECT ve.*, sum(d - 2 * coalesce(inside, 0)) OVER o AS across, sum(d) OVER o AS volume, sum(d) OVER (PARTITION BY ve.clade) AS total, max(p) OVER (PARTITION BY ve.clade) AS n FROM ve LEFT JOIN ii USING (clade, p) WINDOW o AS (PARTITION BY ve.clade ORDER BY p)),
+fr AS (SELECT *, lag(across) OVER (PARTITION BY clade ORDER BY p) AS before FROM pr), be AS (SELECT clade, coalesce(min(p - 1) FILTER (abs(across) > 1e-9 AND abs(before) <= 1e-9), arg_min(p, CASE WHEN least(volume, total - volume) > 1e-9 THEN round(across / least(volume, total - volume), 12) ELSE 0 END)) AS best FROM fr WHERE p < n GROUP BY clade)
+SELECT clade, cell, (p <= best)::INT AS side FROM pr JOIN be USING (clade) WHERE total > 0""")
+def swept_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cut along a given vector, here each cell's first number."""
+    edges = written(G.similarity_graph(written(shared_cuts(spark, sf_dir), "shared")), "graph")
+    first = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("clade"), F.col("vec_id").alias("cell"), F.get(F.col("embedding").cast("array<double>"), F.lit(0)).alias("x"))
+    return spectral.sweeps(spectral.degrees(first, edges).join(first, ["clade", "cell"]), edges)
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose few large numbers are their cuts."""
+    state = lambda x: F.when(x <= -0.25, 1).when(x > 0.25, 2).when(F.abs(x) < 0.002, -1).otherwise(0)
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform(F.col("embedding").cast("array<double>"), state).alias("states"))
+
+
+@query()
+def spectral_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.spectral_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+@query()
+def spectral_greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.spectral_greedy_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+@query()
+def max_cut_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxcut.max_cut_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+@query()
+def max_cut_greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxcut.max_cut_greedy_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+@query()
+def percolation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.percolation_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+@query()
+def greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy.greedy_tree(matrix(spark, sf_dir), cutoff=1024)
