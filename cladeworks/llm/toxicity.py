@@ -21,9 +21,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.llm.shared import Tables
+
 WORD = re.compile(r"[^\W\d_]+")
 BITS, PREFIXES = 20, (4, 5, 6, 7)
 
@@ -188,8 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).alias("i"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    ranked = rows.join(marked, "i").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "i")))
-    picked = {(r.i, r.h): r.y for r in ranked.where(F.col("r") <= sample // 2).collect()}
+    tables = Tables(docs.sparkSession)
+    known = tables.written(rows.join(marked, "i"), "labelled")  # ids and hashes
+    picked = {}
+    for y, n in sorted((r.y, r["count"]) for r in known.groupBy("y").count().collect()):
+        share = min(1.0, sample / n)  # twice what is taken, so that few rows are left to sort
+        some = known.where((F.col("y") == y) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))
+        picked |= {(r.i, r.h): r.y for r in some.orderBy(F.pmod("h", F.lit(1 << 20)), "h", "i").limit(sample // 2).collect()}
+    tables.clear()
     if not picked:
         return fit([], [])
     listed = F.broadcast(docs.sparkSession.createDataFrame(list(picked), f"__i {docs.schema[id_col].dataType.simpleString()}, __h long"))  # at most ``sample`` rows
