@@ -16,8 +16,7 @@ from cladeworks.operators import clones, evolution, spatial
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
 from cladeworks.operators import trees as T
-from cladeworks.solve import greedy
-from cladeworks import simulate
+from cladeworks.solve import greedy, joining
 from cladeworks.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,11 +557,14 @@ def joined_clades(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 
 @query()
 def upgma_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_clades(spark, sf_dir, "upgma")
+    """One tree of all cells, by average linkage of squared distances of the vectors themselves, which do not tie."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").cast("array<double>").alias("states"))
+    d = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return joining.upgma_tree(P.all_pairs(v).select("a", "b", d.alias("d")))
 
 
 @query()
-def neighbor_joining_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_neighbor_joining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_clades(spark, sf_dir, "nj")
 
 
@@ -588,18 +590,6 @@ def spatial_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.impute(cm(spark, sf_dir), graph, 0.6, 1)
 
 
-@query()
-def simulated_cut_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tree(spark, sf_dir)
-    return simulate.cut_sites(t, T.closure(t), T.leaves(t), 10, 1.0, 8, 0.05)
-
-
-@query()
-def simulated_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tree(spark, sf_dir)
-    return simulate.brownian(T.closure(t), t, 0.5)
-
-
 @query(f"""{WITH_TREE}, g AS (SELECT 'C' || c_custkey AS a, lead('C' || c_custkey) OVER w AS b, lead('C' || c_custkey, 2) OVER w AS c FROM customer WINDOW w AS (ORDER BY c_custkey)),
 j AS (SELECT g.*, x.parent AS pa, y.parent AS pb, z.parent AS pc, ra.parent AS qa, rb.parent AS qb, rc.parent AS qc FROM g JOIN t x ON x.node = a JOIN t y ON y.node = b JOIN t z ON z.node = c JOIN t ra ON ra.node = x.parent JOIN t rb ON rb.node = y.parent JOIN t rc ON rc.node = z.parent),
 s AS (SELECT a, b, c, (pa = pb)::INT + (qa = qb)::INT AS ab, (pa = pc)::INT + (qa = qc)::INT AS ac, (pb = pc)::INT + (qb = qc)::INT AS bc FROM j)
@@ -620,7 +610,7 @@ def impute_deducible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def shared_mutation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_shared_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_clades(spark, sf_dir, "shared")
 
 

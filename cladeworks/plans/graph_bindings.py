@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.operators import blocks
 from cladeworks.operators import characters as C
-from cladeworks.operators import clones, collapse, evolution
+from cladeworks.operators import clocks, clones, collapse, evolution
 from cladeworks.operators import graphs as G
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
@@ -312,3 +312,24 @@ def percolation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.greedy_tree(matrix(spark, sf_dir), cutoff=1024)
+
+
+# times under a clock, on the full binary tree whose leaves are all suppliers
+
+
+def clock_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node k has the children 2 k and 2 k + 1; every third node on the way from the root cuts a character, every seventh loses one."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    low, high, n = s.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
+    leaves = s.select((F.col("k") - low + n).alias("k"))  # keys without gaps
+    inner = leaves.select((F.col("k") - n).alias("k")).where("k > 0")
+    way = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.floor(F.col("k") / F.pow(F.lit(2.0), i)).cast("long")), lambda a: a > 0)
+    nodes = leaves.union(inner).select("k", F.floor(F.col("k") / 2).cast("long").alias("parent"), F.size(F.filter(way, lambda a: a % 3 == 0)).alias("cuts"), (40 - F.size(F.filter(way, lambda a: a % 7 == 0))).alias("present"))
+    root = spark.range(1).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("cuts"), F.lit(40).alias("present"))
+    return nodes.select(F.col("k").alias("node"), "parent", "cuts", "present").union(root)
+
+
+@query()
+def clock_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = written(clock_nodes(spark, sf_dir), "clock-nodes")
+    return clocks.clock_lengths(nodes, clocks.posterior_times(nodes, 0.4, 4.0, 0.2, 300))

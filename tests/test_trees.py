@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladeworks import simulate
 from cladeworks.operators import clones, pairs, spatial
 from cladeworks.operators import trees as T
 from cladeworks.solve import agglomerate, greedy
@@ -135,19 +134,6 @@ def test_radius_graph_and_imputation(spark):
     assert got[("a", 0)] == 2 and got[("b", 1)] == -1 and got[("d", 1)] == -1
 
 
-def test_simulation(spark):
-    t = simulate.complete_binary(spark, 5)
-    paths = T.closure(t)
-    leaves = T.leaves(t)
-    assert leaves.count() == 32 and T.node_times(paths).agg(F.max("time")).first()[0] == pytest.approx(1.0)
-    cells = simulate.cut_sites(t, paths, leaves, 6, 1.5, 5, 0.1)
-    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, simulate.cut_sites(t, paths, leaves, 6, 1.5, 5, 0.1).collect()))
-    shares = cells.select(F.explode("states").alias("s")).agg(F.avg((F.col("s") > 0).cast("int")), F.avg((F.col("s") == -1).cast("int"))).first()
-    assert 0.5 < shares[0] < 0.9 and 0.02 < shares[1] < 0.25
-    assert simulate.brownian(paths, t, 0.3).count() == 64
-    assert simulate.subsample_leaves(leaves, 7).count() == 7
-
-
 def test_transition_counts(spark):
     t = tree(spark, [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6), (3, 7), (3, 8), (4, 9), (4, 10), (5, 11), (5, 12), (6, 13), (6, 14)])
     labels = spark.createDataFrame([(str(7 + i), c) for i, c in enumerate("AGAACAGG")], "node string, label string")
