@@ -483,22 +483,32 @@ def leaf_pairs(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:
     return T.lowest_common_ancestors(pairs, paths)
 
 
-@query(f"""{WITH_TREE}, n AS (SELECT 'C' || c_custkey AS a, lead('C' || c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
-w AS (SELECT a, b, 1 / (x.length + y.length) AS w FROM n JOIN t x ON x.node = a JOIN t y ON y.node = b),
-z AS (SELECT 'C' || c_custkey AS node, (c_acctbal::DOUBLE - avg(c_acctbal::DOUBLE) OVER ()) / stddev_pop(c_acctbal::DOUBLE) OVER () AS z FROM customer)
-SELECT round(sum(w * za.z * zb.z) / sum(w), 6) AS morans_i FROM w JOIN z za ON za.node = a JOIN z zb ON zb.node = b""")
+PAIRS = "w AS (SELECT 'S' || x.s_suppkey AS a, 'S' || y.s_suppkey AS b, CASE WHEN x.s_nationkey = y.s_nationkey THEN 1.0::DOUBLE ELSE 3.0 END AS d, x.s_acctbal::DOUBLE AS p, y.s_acctbal::DOUBLE AS q FROM supplier x JOIN supplier y ON 'S' || x.s_suppkey < 'S' || y.s_suppkey)"
+
+
+def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, distance): all pairs of leaves of the tree root -> nation -> supplier."""
+    from cladeworks.plans.tree_bindings import wide_tree
+
+    t = wide_tree(spark, sf_dir)
+    tips = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cell"), F.array().cast("array<int>").alias("states"))
+    return T.lowest_common_ancestors(P.all_pairs(tips).select("a", "b"), T.closure(t))
+
+
+def balances(spark: SparkSession, sf_dir: str, name: str, value: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias(name), F.col("s_acctbal").cast("double").alias(value))
+
+
+@query(f"""WITH {PAIRS}, z AS (SELECT avg(s_acctbal::DOUBLE) AS m, stddev_pop(s_acctbal::DOUBLE) AS s FROM supplier)
+SELECT round(sum((p - m) / s * (q - m) / s / d) / sum(1 / d), 6) AS morans_i FROM w, z""")
 def morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = leaf_pairs(spark, sf_dir, T.closure(tree(spark, sf_dir)))
-    values = read(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_acctbal").cast("double").alias("x"))
-    return T.morans_i(pairs, values).select(F.round("morans_i", 6).alias("morans_i"))
+    return T.morans_i(supplier_pairs(spark, sf_dir), balances(spark, sf_dir, "node", "x")).select(F.round("morans_i", 6).alias("morans_i"))
 
 
-@query(f"""{WITH_TREE}, n AS (SELECT 'C' || c_custkey AS a, c_acctbal::DOUBLE AS p, lead('C' || c_custkey) OVER w AS b, lead(c_acctbal::DOUBLE) OVER w AS q FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
-SELECT round(corr(x.length + y.length, abs(p - q)), 6) AS r FROM n JOIN t x ON x.node = a JOIN t y ON y.node = b""")
+@query(f"WITH {PAIRS} SELECT round(corr(d, abs(p - q)), 6) AS r FROM w")
 def cophenetic_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = leaf_pairs(spark, sf_dir, T.closure(tree(spark, sf_dir)))
-    value = lambda n: read(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias(n), F.col("c_acctbal").cast("double").alias(f"x{n}"))
-    d = pairs.join(value("a"), "a").join(value("b"), "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
+    pairs = supplier_pairs(spark, sf_dir)
+    d = pairs.join(balances(spark, sf_dir, "a", "xa"), "a").join(balances(spark, sf_dir, "b", "xb"), "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
     return T.cophenetic_correlation(pairs, d).select(F.round("r", 6).alias("r"))
 
 

@@ -11,7 +11,9 @@ from cladeworks.operators import clocks, clones, collapse, evolution
 from cladeworks.operators import graphs as G
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
+from cladeworks.operators import editing as E
 from cladeworks.operators import trees as T
+from cladeworks.operators import triplets
 from cladeworks.plans.bindings import STATE, query, read
 from cladeworks.plans.tree_bindings import CELLS as NODE_STATES
 from cladeworks.plans.tree_bindings import TREE, WIDE, node_states, orders_tree, wide_tree
@@ -29,7 +31,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cell"), F.concat(F.lit("u"), (F.col("l_suppkey") % 7).cast("string")).alias("umi"), read_id.alias("read"), seq.alias("seq"), qual.alias("qual"))
 
 
-READS = "rd AS (SELECT l_returnflag AS cell, 'u' || (l_suppkey % 7) AS umi, translate(lpad((l_suppkey % 7)::VARCHAR, 6, '0') || lpad((l_partkey % 11)::VARCHAR, 2, '0'), '0123456789', 'ACGTACGTAC') AS seq, " + " || ".join(f"chr((33 + (l_orderkey + {7 * i}) % 41)::INT)" for i in range(8)) + " AS qual FROM lineitem)"
+READS = "rd AS (SELECT l_returnflag AS cell, 'u' || (l_suppkey % 7) AS umi, translate(lpad((l_suppkey % 7)::VARCHAR, 6, '0') || lpad((l_partkey % 11)::VARCHAR, 2, '0'), '0123456789', 'ACGTACGTAC') AS seq, " + " || ".join(f"chr((33 + (l_orderkey + {7 * i}) % 41)::INT)" for i in range(8)) + " AS qual, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS read FROM lineitem)"
 SEED = "AAACGTAC"
 
 
@@ -45,13 +47,12 @@ def hq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("seq", "qual", collapse.hq_hamming(F.col("seq"), F.lit(SEED), F.col("qual"), F.reverse("qual"), 15).alias("d"), "n")
 
 
-@query(f"WITH {READS}, k AS (SELECT cell, umi, seq, count(*) AS n FROM rd GROUP BY ALL), m AS (SELECT cell, umi, max(n) AS n FROM k GROUP BY ALL) SELECT cell, umi, min(k.seq) AS seed FROM k JOIN m USING (cell, umi, n) GROUP BY cell, umi HAVING count(*) = 1 AND max(n) > 1")
+@query(f"WITH {READS}, k AS (SELECT cell, umi, seq, count(*) AS n, min(read) AS first FROM rd GROUP BY ALL), m AS (SELECT cell, umi, arg_min(seq, (-n, first)) AS seed, max(n) AS n FROM k GROUP BY ALL) SELECT cell, umi, seed FROM m WHERE n > 1")
 def proposed_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Molecules whose commonest sequence is alone: where several are as common, the first read decides, which has no order here."""
+    """Every molecule's commonest sequence, the first read's of equals; those without one that stands twice have a consensus, which SQL leaves out here."""
     r = written(reads(spark, sf_dir), "reads")
-    top = r.groupBy("cell", "umi", "seq").count().groupBy("cell", "umi").agg(F.max(F.struct("count", "seq")).alias("m"), F.collect_list("count").alias("all"))
-    alone = top.where((F.size(F.filter("all", lambda x: x == F.col("m.count"))) == 1) & (F.col("m.count") > 1)).select("cell", "umi")
-    return collapse.propose_seeds(r).join(alone, ["cell", "umi"], "left_semi")
+    twice = r.groupBy("cell", "umi", "seq").count().where("count > 1").select("cell", "umi").distinct()
+    return collapse.propose_seeds(r).join(twice, ["cell", "umi"], "left_semi")
 
 
 @query()
@@ -333,3 +334,10 @@ def clock_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clock_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = written(clock_nodes(spark, sf_dir), "clock-nodes")
     return clocks.clock_lengths(nodes, clocks.posterior_times(nodes, 0.4, 4.0, 0.2, 300))
+
+
+@query()
+def triplets_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets of the tree of orders, looked for in the same tree with its polytomies resolved."""
+    t = orders_tree(spark, sf_dir)
+    return triplets.triplets_correct_by_depth(triplets.sample_triplets(t, T.closure(t), 100), T.closure(E.resolve_polytomies(t)))
