@@ -227,8 +227,9 @@ def morans_i(pairs: DataFrame, values: DataFrame, inverse: bool = True) -> DataF
 
 
 def cophenetic_correlation(distances: DataFrame, dissimilarities: DataFrame) -> DataFrame:
-    """(r): Pearson correlation of tree distance and dissimilarity over pairs (a, b)."""
-    return distances.join(dissimilarities, ["a", "b"]).agg(F.corr("distance", "d").alias("r"))
+    """(r): Pearson correlation of tree distance and dissimilarity over pairs (a, b); null where either does not vary."""
+    met = distances.join(dissimilarities, ["a", "b"])
+    return met.agg(F.try_divide(F.covar_pop("distance", "d"), F.stddev_pop("distance") * F.stddev_pop("d")).alias("r"))
 
 
 def layout(tree: DataFrame, paths: DataFrame) -> DataFrame:

@@ -505,7 +505,7 @@ def morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.morans_i(supplier_pairs(spark, sf_dir), balances(spark, sf_dir, "node", "x")).select(F.round("morans_i", 6).alias("morans_i"))
 
 
-@query(f"WITH {PAIRS} SELECT round(corr(d, abs(p - q)), 6) AS r FROM w")
+@query(f"WITH {PAIRS} SELECT CASE WHEN stddev_pop(d) > 0 AND stddev_pop(abs(p - q)) > 0 THEN round(corr(d, abs(p - q)), 6) END AS r FROM w")
 def cophenetic_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = supplier_pairs(spark, sf_dir)
     d = pairs.join(balances(spark, sf_dir, "a", "xa"), "a").join(balances(spark, sf_dir, "b", "xb"), "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
