@@ -26,8 +26,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``keep`` is ``min`` (the smallest stable id) or ``max``. Texts are equal when identical after lower-casing A-Z.
     Null text counts as empty and empty texts form a group like any other. A null id never wins over another id; a
     group of null ids only has keep_id null, and its rows count as kept. Rows that repeat an id with an equal text are
-    one document: they count in group_size and share the verdict. An empty table gives an empty result. Other columns
-    are not read, so their names cannot clash.
+    one document: they count in group_size and share the verdict. An empty table gives an empty result. Texts of any
+    length are compared whole. Other columns are not read, so their names cannot clash.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     keyed = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("hash", content_hash(F.col("norm")))

@@ -155,8 +155,8 @@ def judge(network: Network, texts: list[str | None]) -> tuple[list[str], np.ndar
 def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row: the language of the whole text and its mean probability.
 
-    Null text and text without a letter are ``und`` with score 0, as is everything if nothing was learned. Repeated rows
-    repeat; null ids are carried along; an empty table gives an empty result; other columns are not read.
+    Null text and text without a letter are ``und`` with score 0, as is everything if nothing was learned. Texts of any
+    length are read in windows that cover them whole. Repeated rows repeat; null ids are carried along; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,10 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
 
 
 def keep_recognised(docs: DataFrame, network: Network, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is recognised with a score of at least ``least``. Nothing is shuffled."""
+    """The rows, with all their columns, whose language is recognised with a score of at least ``least``. Nothing is shuffled.
+
+    Null text and text without a letter go. Repeated rows and null ids are judged by their texts like any; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,7 +54,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines on and is dropped if at least ``min_constant`` of the tokens after the opening are constant; a line of no more
     than ``depth`` tokens is its own template. Blank lines stay. Null and empty texts have no lines. Equal rows count as one document; rows
     that share an id with different texts, and rows without an id, count each. Documents, lines and leaves are told apart by
-    64-bit hashes. An empty table gives an empty result; other columns are not read.
+    64-bit hashes. Texts and lines of any length are read whole. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")

@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id. Words are
     runs of anything but ASCII white space. Null and empty texts have no words; shorter texts than a window lose
     nothing. Rows that repeat an id are no reason to remove each other; rows without an id neither lose words nor make
-    others lose them. An empty table gives an empty result; other columns are not read.
+    others lose them. Texts of any length are streamed whole. An empty table gives an empty result; other columns are not read.
     """
 
     def digest(table: pa.Table, texts: Texts, masks: list[np.ndarray]) -> pa.Table:
@@ -282,7 +282,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows with their columns: repeated passages of ``width`` words and more are cut out of the texts, and rows that keep no word go.
 
     Texts that lose nothing stay as they are, byte for byte. ``chars_col``, where it is a column, is counted anew for changed
-    texts. The other columns travel with the texts, so that texts are shuffled once.
+    texts. The other columns travel with the texts, so that texts are shuffled once. Null and empty texts keep no word and go; rows
+    without an id stay unless they have no word; an empty table stays empty.
     """
 
     def edit(table: pa.Table, texts: Texts, masks: list[np.ndarray]) -> pa.Table:

@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text and text without words have fingerprint zero, which links like any other; fewer words than ``width`` make
     one shingle. Rows with one fingerprint link. Repeated rows repeat in the result; a null id never names a component
-    unless all its ids are null. An empty table gives an empty result; other columns are not read.
+    unless all its ids are null. Texts of any length are read whole. An empty table gives an empty result; other columns are not read.
     """
     of = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     prints = written(with_pivots(of.groupBy("fp").agg(F.min("doc_id").alias("first"))), "pivot-table")

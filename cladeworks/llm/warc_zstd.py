@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, with_pa
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the pages as archives in the shared folder and read them back. An empty table gives an empty result."""
+    """Write the pages as archives in the shared folder and read them back. Pages of any length are written whole. An empty table gives an empty result."""
     spark = pages.sparkSession
     folder = scratch(spark, "archives")
     manifest = write_archives(pages, folder, id_col, url_col, html_col, min_revisit_bytes)
