@@ -1,7 +1,9 @@
 """A training corpus from raw documents: language, exact copies, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Texts of any length are read whole; an empty table gives an empty result at
+every stage. Null and empty texts leave in the first stage, which finds no language in them; rows without an id stay, as nothing
+names them; rows that repeat an id and a text become one in the second stage.
 """
 
 from __future__ import annotations
