@@ -164,7 +164,7 @@ def posterior_times(nodes: DataFrame, mutation_rate: float, birth_rate: float, s
 
 
 def log_likelihood(posteriors: DataFrame, root_child: object) -> DataFrame:
-    """(loglik): of all data, from the table of posteriors: the child of the root divides at some step."""
+    """(loglik): of all data, from the table of posteriors: the child of the root divides at some step. Right up to the length of a step."""
     top = posteriors.where(F.col("node") == F.lit(root_child))
     best = F.array_max("log_joint")
     return top.select((best + F.log(F.aggregate(F.transform("log_joint", lambda x: F.exp(x - best)), F.lit(0.0), lambda s, x: s + x))).alias("loglik"))
