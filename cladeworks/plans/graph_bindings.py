@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from cladeworks.plans.bindings import STATE, query, read
 from cladeworks.plans.tree_bindings import CELLS as NODE_STATES
 from cladeworks.plans.tree_bindings import TREE, WIDE, node_states, orders_tree, wide_tree
 from cladeworks.solve import greedy, maxcut, percolation, spectral
-from cladeworks.sources.scratch import written
+from cladeworks.sources import bam, sequences
+from cladeworks.sources.scratch import folder, written
 
 # reads: the letters of a read come from the part's number, its qualities from the order's
 
@@ -65,6 +68,16 @@ def collapsed_umis_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.collapse_umis(reads(spark, sf_dir), 1, 2, "likelihood", 10**9)
 
 
+@query(f"WITH {READS} SELECT cell, umi, 1::BIGINT AS reads, read, seq, qual FROM rd")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads written as unmapped records and read back: molecules by the name, sequences and a tag."""
+    name = F.concat_ws("_", "cell", "umi", F.lit("1"))
+    path = f"{folder(spark)}/reads-{uuid.uuid4().hex}"
+    bam.write_bam(reads(spark, sf_dir).select(name.alias("name"), "seq", "qual", F.create_map(F.lit("XR"), "read").alias("tags")), path)
+    back = sequences.molecules_of_names(bam.read_bam(spark, path).drop("flag"))
+    return back.select("cell", "umi", "reads", F.col("tags")["XR"].alias("read"), "seq", "qual")
+
+
 CELLS = "r AS (SELECT lpad((l_partkey % 500)::VARCHAR, 4, '0') AS raw, " + " || ".join(f"chr((33 + (l_orderkey + {i}) % 30)::INT)" for i in range(4)) + " AS qual FROM lineitem), w AS (SELECT DISTINCT lpad((p_partkey % 500)::VARCHAR, 4, '0') AS cell FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 500 < 400)"
 
 
