@@ -19,7 +19,7 @@ from cladeworks.operators import triplets
 from cladeworks.plans.bindings import STATE, query, read
 from cladeworks.plans.tree_bindings import CELLS as NODE_STATES
 from cladeworks.plans.tree_bindings import TREE, WIDE, node_states, orders_tree, wide_tree
-from cladeworks.solve import greedy, maxcut, percolation, spectral
+from cladeworks.solve import greedy, maxcut, percolation, potential, spectral
 from cladeworks.sources import bam, sequences
 from cladeworks.sources.scratch import folder, written
 
@@ -329,6 +329,15 @@ def greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.greedy_tree(matrix(spark, sf_dir), cutoff=1024)
 
 
+@query()
+def potential_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors that the cells of each label may have."""
+    labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.col("label").cast("string").alias("clade"))
+    edges = potential.potential_graph(matrix(spark, sf_dir).join(labels, "cell"), lca_height=2)
+    text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
+    return edges.withColumn("parent", text("parent")).withColumn("child", text("child"))
+
+
 # times under a clock, on the full binary tree whose leaves are all suppliers
 
 

@@ -9,6 +9,7 @@ Files are opened by their URI, on any file system that pyarrow knows.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,6 +33,7 @@ BASES = "=ACMGRSVTWYHKDBN"
 STEPS = "MIDNSHP=X"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
+NAME = re.compile(rb"[!-~]*\0")
 HEAD = struct.Struct("<iiiBBHHHiiii")
 TWO_BASES = [a + b for a in BASES for b in BASES]
 NUMBER_OF = bytes(max(BASES.find(chr(c).upper()), 0) if chr(c).upper() in BASES else 15 for c in range(256))
@@ -144,8 +146,7 @@ class Blocks:
                 held += data
             at = at + need if place[0] == offset else len(data) - (len(held) - need)
             record = held[:need]
-            name = record[HEAD.size : HEAD.size + record[12]]
-            if name[-1] or not all(32 < c < 127 for c in name[:-1]):
+            if not NAME.fullmatch(record, HEAD.size, HEAD.size + record[12]):
                 raise ValueError("a record's name is not one")
             yield place, record
 
