@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.operators import blocks
 from cladeworks.operators import characters as C
-from cladeworks.operators import clocks, clones, collapse, evolution
+from cladeworks.operators import clocks, clones, collapse, evolution, fitness
 from cladeworks.operators import graphs as G
 from cladeworks.operators import molecules as M
 from cladeworks.operators import pairs as P
@@ -359,6 +359,13 @@ def clock_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clocks.clock_lengths(nodes, clocks.posterior_times(nodes, 0.4, 4.0, 0.2, 300))
 
 
+@query()
+def node_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness in the same tree, with branches of an eighth to seven eighths."""
+    nodes = clock_nodes(spark, sf_dir).withColumn("length", F.when(F.col("parent").isNotNull(), (F.col("node") % 7 + 1) / 8))
+    return fitness.inferred_fitness(nodes)
+
+
 @query()
 def triplets_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets of the tree of orders, looked for in the same tree with its polytomies resolved."""
