@@ -239,10 +239,12 @@ def common_grams(rows: DataFrame, count: int, gram: int, texts: int = SAMPLED_TE
 
 def located(rows: DataFrame, width: int, gram: int, shard_chars: int, act: Callable[[pa.Table, Texts, list[np.ndarray]], pa.Table], schema: str | T.StructType) -> DataFrame:
     """The four steps over ``rows`` (doc_id, text and what else ``act`` needs): ``act`` gets a shard's table, its texts and their masks of words to remove."""
+    # rows without an id meet no others; rows that repeat an id need not stand in one shard
+    alone, rows = rows.where("doc_id IS NULL"), rows.where("doc_id IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
     shards, buckets = max(1, -(-size["chars"] // shard_chars)), max(partitions_for(rows.sparkSession), size["chars"] // BUCKET_CHARS)
     common = common_grams(rows.select("doc_id", "text"), size["rows"], gram)
-    by_shard = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard")
+    by_shard = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).groupBy("shard")
 
     def collect(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return windows_sent(Texts(table), key[0].as_py(), width, gram, buckets, common)
@@ -254,10 +256,16 @@ def located(rows: DataFrame, width: int, gram: int, shard_chars: int, act: Calla
         texts = Texts(table)
         return act(table, texts, Passages(found, width).removed(texts))
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            texts = Texts(table)
+            yield from act(table, texts, [np.zeros(len(w), bool) for w in texts.words]).to_batches()
+
     windows = by_shard.applyInArrow(collect, "bucket long, shard long, docs binary, places binary, counts binary, tags binary")
     asked = windows.groupBy("bucket").applyInArrow(lambda table: requests(table), "shard long, dests binary, docs binary, places binary, counts binary")
     found = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(answer, "shard long, doc long, words binary")
-    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, schema)
+    return by_shard.cogroup(found.groupBy("shard")).applyInArrow(locate, schema).union(alone.mapInArrow(keep, schema))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Document operators against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -127,6 +128,19 @@ def brute_repeats(rows, width):
     return sorted(out, key=repr)
 
 
+def test_rows_without_an_id_and_of_one_id_are_dealt_to_many_tasks(spark):
+    """A third of all rows has no id and one text, a third one id and texts that share passages among them and with the rest."""
+    rng = random.Random(4)
+    shared = [" ".join(rng.choices("abcdefgh", k=9)) for _ in range(6)]
+    text = lambda: " ".join(rng.choice([*shared, rng.choice("xyzuvw"), rng.choice("xyzuvw")]) for _ in range(6))
+    rows = [(None, shared[0] + " " + shared[1])] * 40 + [(7, text()) for _ in range(40)] + [(i, text()) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for shard_chars in (300, 10**6):
+        assert table(phrase_automata.remove_repeats(df, width=6, shard_chars=shard_chars)) == brute_repeats(rows, 6)
+    kept = phrase_automata.without_repeats(df.withColumn("rest", F.lit(1)), width=6)
+    assert kept.columns == ["doc_id", "text", "rest"] and kept.where("doc_id IS NULL").select("text").distinct().count() == 1 and kept.where("doc_id IS NULL").count() == 40
+
+
 @pytest.mark.parametrize("shard_chars", [300, 2_000_000])
 @pytest.mark.parametrize("width", [6, 13])
 def test_repeated_passages(spark, empty, shard_chars, width):
