@@ -22,15 +22,21 @@ DEPTH, PARTS, MIN_DOCS, STEADY, MIN_CONSTANT, SALTS = 3, 3, 5, 0.5, 0.6, 8
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line with one space between, those that hold a digit as fields."""
+def masked(text: Column) -> Column:
+    """A text with spaces as its only white space besides line feeds, and with fields for the tokens that hold a digit."""
     odd = F.lit(False)
     for space in "\t\r\x0b\x0c":
-        odd |= F.contains(line, F.lit(space))
-    plain = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
-    plain = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
-    loose = F.contains(plain, F.lit("  ")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
-    return F.when(loose, F.concat_ws(" ", F.filter(F.split(plain, " "), lambda t: t != ""))).otherwise(plain)
+        odd |= F.contains(text, F.lit(space))
+    plain = F.when(odd, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+    # a match begins where a token does, so that long tokens are read once
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(plain)
+
+
+def tightened(plain: Column) -> Column:
+    """Of a masked text, the tokens of each line with one space between; each line feed stays."""
+    loose = F.contains(plain, F.lit("  ")) | F.contains(plain, F.lit("\n ")) | F.contains(plain, F.lit(" \n")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
+    single = F.regexp_replace(plain, " {2,}", " ")
+    return F.when(loose, F.trim(F.replace(F.replace(single, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))).otherwise(plain)
 
 
 def leaves(tokens: Column, depth: int, parts: int) -> Column:
@@ -39,7 +45,10 @@ def leaves(tokens: Column, depth: int, parts: int) -> Column:
     count = F.greatest(F.least(F.lit(parts), F.floor(rest / depth).cast("int")), F.lit(1))
     bound = lambda j: F.floor(j * rest / count).cast("int")
     key = lambda j: F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth), F.lit(j), F.slice(tokens, bound(j) + depth + 1, bound(j + 1) - bound(j)))
-    return F.array_compact(F.array(*(F.when(j < count, key(j)) for j in range(parts))))
+    found = F.array(key(0))
+    for n in range(2, parts + 1):
+        found = F.when(count < n, found).otherwise(F.array(*map(key, range(n))))
+    return found
 
 
 def salted(rows: DataFrame) -> DataFrame:
@@ -57,40 +66,48 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit hashes. Texts and lines of any length are read whole. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
-    keyed = lines.select("row", "line", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
-    masked_lines = written(keyed.select("row", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves"), "line"), "line-leaves")
+    # whole texts are masked, once; a line is known by its place afterwards
+    plain = rows.select("row", masked(F.col("text")).alias("plain")).select("row", tightened(F.col("plain")).alias("plain"))
+    lines = plain.select("row", F.posexplode(F.split("plain", "\n")).alias("pos", "line")).where("line <> ''")
+    keyed = lines.select("row", "pos", "line", F.xxhash64("line").alias("shape"), F.split("line", " ").alias("tokens"))
+    masked_lines = written(keyed.select("row", "pos", "shape", leaves(F.col("tokens"), depth, parts).alias("leaves"), "line"), "line-leaves")
     hashed = masked_lines.drop("line")
     filed = hashed.select("row", "shape", F.explode("leaves").alias("leaf"))
 
     recurring = filed.groupBy("leaf").agg(F.count_distinct("row").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     held = filed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted(recurring), ["leaf", "salt"], "left_semi")
     held = written(held.groupBy("leaf", "shape").agg(F.count_distinct("row").alias("n")), "recurring-leaves")
-    # a shuffle of distinct lines at every size
-    texts = masked_lines.groupBy("shape").agg(F.first("line").alias("line")).join(held.select("shape").distinct().hint("merge"), "shape", "left_semi")
+    # one way at every size; few lines are left to sort
+    texts = masked_lines.select("shape", "line", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(salted(held.select("shape").distinct()).hint("shuffle_hash"), ["shape", "salt"], "left_semi")
+    texts = texts.groupBy("shape").agg(F.first("line").alias("line"))
     held = written(held.join(texts, "shape").select("leaf", "shape", "n", F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.size(F.split("line", " ")) - depth, F.lit(0))).alias("rest")), "leaf-lines")
 
     sizes = held.groupBy("leaf").agg(F.sum("n").alias("lines"))
     tokens = held.select("leaf", "n", F.posexplode("rest").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     constants = tokens.join(sizes, "leaf").where((F.col("token") != FIELD) & (F.col("n") > F.lit(float(steady)) * F.col("lines")))
     # more than half leaves room for one token at a place
-    constants = constants.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("at"), F.max("pos").alias("last"))
-    constants = constants.select("leaf", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.try_element_at("at", i)).alias("constants"))
+    constants = constants.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("at"))
+    # each constant after as many nulls as places were passed over
+    before = F.concat(F.array(F.lit(-1)), F.slice(F.col("at.pos"), F.lit(1), F.size("at") - 1))
+    spread = F.zip_with("at", before, lambda c, last: F.concat(F.array_repeat(F.lit(None).cast("string"), c["pos"] - last - 1), F.array(c["token"])))
+    constants = constants.select("leaf", F.flatten(spread).alias("constants"))
     shaped = held.join(constants, "leaf", "left").withColumn("template", F.zip_with("rest", F.coalesce("constants", F.array().cast("array<string>")), lambda t, c: F.when(t == c, t).otherwise(FIELD)))
     fixed = F.size(F.filter("template", lambda t: t != FIELD))
     shaped = written(shaped.where(fixed >= F.lit(float(min_constant)) * F.size("rest")).select("leaf", "shape", "n", F.md5(F.concat_ws(" ", "template")).alias("template")), "leaf-templates")
     common = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
     gone = shaped.join(common, ["leaf", "template"], "left_semi").select("shape").distinct()
-    dropped = hashed.select("row", "shape", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(salted(gone), ["shape", "salt"], "left_semi")
-    dropped = dropped.groupBy("row").agg(F.collect_set("shape").alias("dropped"))
-
-    every = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    # texts are dealt by document at every size, and not sorted
-    out = rows.repartition("row").join(dropped.hint("shuffle_hash"), "row", "left").withColumn("lines", every)
-    stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", F.xxhash64(masked(line)))))
-    out = out.withColumn("stay", stay).withColumn("kept_text", F.concat_ws("\n", "stay"))
-    n_lines, n_stay = F.size("lines").cast("long"), F.size("stay").cast("long")
-    return out.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"), *["kept_text"] * with_text)
+    dropped = hashed.select("row", "pos", "shape", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(salted(gone), ["shape", "salt"], "left_semi")
+    dropped = dropped.groupBy("row").agg(F.collect_set("pos").alias("dropped"))
+
+    # texts are dealt by document at every size, and not sorted; those that lose no line are not split
+    out = rows.repartition("row").join(dropped.hint("shuffle_hash"), "row", "left").withColumn("lines", F.when(F.col("dropped").isNotNull(), F.split("text", "\n")))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("lines").isNotNull(), F.size("lines")).when(F.col("text") == "", 0).otherwise(feeds + 1).cast("long")
+    n_dropped = F.coalesce(F.array_size("dropped"), F.lit(0)).cast("long")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    stay = F.transform(places, lambda i: F.get("lines", i))
+    out = out.select("doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stay)).alias("kept_text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), *["kept_text"] * with_text)
 
 
 ORACLE = r"""

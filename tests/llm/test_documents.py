@@ -298,6 +298,40 @@ def test_line_templates_on_hostile_rows_equal_sql(spark):
     assert sum(r.n_dropped for r in got) >= 21
 
 
+def test_line_templates_mask_texts_once(spark, monkeypatch):
+    plans, write = [], line_templates.written
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(line_templates, "written", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    plans.append(plan(line_templates.drop_templates(docs(spark))))
+    masking = [line for p in plans for line in p.splitlines() if "RLIKE" in line]
+    assert len(masking) == 1 and masking[0].count("RLIKE") == 1
+
+
+def test_line_templates_spaces_at_the_ends_of_lines_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pyarrow as pa
+
+    odd = " \n\t\n  a notice of the owner 7\t\n\x0ba  notice of\rthe owner x8y \n\n1\n 22\n3 \nünd ü٣ <*> é9é\t\n"
+    rows = [(k, odd + f"own{k} line {'abcdef'[k]}\n a notice of the owner {k}" + "\n" * k) for k in range(6)] + [(6, " "), (7, "\n"), (8, "1"), (9, "a" * 200_000 + " 1"), (10, " \n "), (11, None), (0, "1\n1\n1")]
+    con = duckdb.connect()
+    con.register("documents", pa.table([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"]))
+    want = con.sql(line_templates.ORACLE).fetchall()
+    got = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {r.n_dropped for r in got if r.doc_id == 1} == {6}  # the line of fields after its opening has nothing constant
+
+
+def test_line_templates_read_long_lines_in_one_go(spark):
+    import time
+
+    line = " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(30_000))
+    rows = [(k, f"{line} {'abcdef'[k]} {k}\nown {'abcdef'[k]}") for k in range(6)]
+    began = time.time()
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got == {k: (1, f"own {'abcdef'[k]}") for k in range(6)}
+    assert time.time() - began < 60
+
+
 def test_long_words_are_encoded_as_any(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
