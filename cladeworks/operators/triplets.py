@@ -28,8 +28,11 @@ def triplet_kinds(tree: DataFrame, paths: DataFrame, numbers: DataFrame) -> Data
     child = tree.where("parent IS NOT NULL").select(F.col("node").alias("child"), "parent").join(spans.withColumnRenamed("node", "child"), "child").join(over, "parent")
     k = F.col("hi") - F.col("lo") + 1
     rest = F.col("last") - F.col("first") + 1 - k
-    pairs = child.withColumn("pair", F.lit(1)).withColumn("n", F.expr("(hi - lo + 1) * (hi - lo) div 2") * rest)
-    middles = child.withColumn("pair", F.lit(0)).withColumn("n", k * (F.col("lo") - F.col("first")) * (F.col("last") - F.col("hi")))
+    # the triplets of millions of leaves are more than a long counts
+    whole = lambda c: c.cast("decimal(12,0)")
+    two, one, below, above = F.expr("(hi - lo + 1) * (hi - lo) div 2").cast("decimal(19,0)"), whole(k), whole(F.col("lo") - F.col("first")), whole(F.col("last") - F.col("hi"))
+    pairs = child.withColumn("pair", F.lit(1)).withColumn("n", (two * whole(rest)).cast("decimal(38,0)"))
+    middles = child.withColumn("pair", F.lit(0)).withColumn("n", (one * below * above).cast("decimal(38,0)"))
     return pairs.union(middles).where("n > 0").select("depth", F.col("parent").alias("node"), "child", "pair", "n", "lo", "hi", "first", "last")
 
 
@@ -44,7 +47,11 @@ def sample_triplets(tree: DataFrame, paths: DataFrame, trials: int = 500, seed:
     sums = kinds.groupBy("depth").agg(F.min("before").alias("base"), F.sum("n").alias("total"))
     draw = lambda what, size: F.pmod(F.xxhash64(F.lit(seed), "depth", "trial", F.lit(what)), size)
     draws = sums.select("depth", "base", "total", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    draws = draws.select(F.col("depth").alias("d"), "trial", (F.col("base") + draw("kind", F.col("total"))).alias("place"))
+    # one hash is too short for a place among more triplets than a long counts
+    digits = lambda what: draw(what, F.lit(10**18)).cast("decimal(19,0)")
+    wide = F.pmod((digits("kind") * F.lit(10**18).cast("decimal(19,0)") + digits("more")).cast("decimal(38,0)"), F.col("total"))
+    drawn = F.when(F.col("total") < F.lit(1 << 62), draw("kind", F.least("total", F.lit(1 << 62)).cast("long")).cast("decimal(38,0)")).otherwise(wide)
+    draws = draws.select(F.col("depth").alias("d"), "trial", (F.col("base") + drawn).cast("decimal(38,0)").alias("place"))
     met = kinds.join(draws, (F.col("depth") == F.col("d")) & (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
     k = F.col("hi") - F.col("lo") + 1
     one = F.col("lo") + draw("one", k)

@@ -48,6 +48,14 @@ def test_counts_of_kinds_add_up_to_all_triplets(spark):
     assert got == want
 
 
+def test_more_triplets_than_a_long_counts(spark):
+    t = tree_of(spark, [("r", "x"), ("r", "y"), ("x", "a"), ("x", "b"), ("y", "c"), ("y", "d")])
+    numbers = spark.createDataFrame([("a", 0), ("b", 2_999_999), ("c", 3_000_000), ("d", 8_999_999)], "node string, at long")  # the ends of 3 and 6 million leaves
+    kinds = {(k.child, k.pair): k.n for k in triplets.triplet_kinds(t, T.closure(t), numbers).collect()}
+    x, y = 3_000_000, 6_000_000
+    assert kinds["x", 1] == x * (x - 1) // 2 * y and kinds["y", 1] == y * (y - 1) // 2 * x and kinds["y", 1] > 1 << 63
+
+
 def test_every_triplet_of_a_depth_is_as_likely(spark):
     t = tree_of(spark, EDGES)
     paths, known = T.closure(t), all_triplets(EDGES)
