@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.operators import blocks
 from cladeworks.operators import trees as T
 from cladeworks.operators.characters import MISSING
 from cladeworks.operators.order import prefix_sums
@@ -29,16 +31,59 @@ def shuffled_labels(groups: DataFrame, shuffles: int, seed: int = 1) -> DataFram
 def coupling(pairs: DataFrame, groups: DataFrame, shuffles: int = 500, seed: int = 1, min_share: float = 0.05) -> DataFrame:
     """(g1, g2, d, z): mean dissimilarity between categories, and how many standard deviations that is from random labels.
 
-    Categories need more than ``min_share`` of the cells. ``pairs``: a, b, d once each. A pair sends its dissimilarity to each permutation's
-    sums, which combine where the pair is read. z is null where permutations do not vary.
+    Categories need more than ``min_share`` of the cells. ``pairs``: a, b, d once each, or cells (cell, states) whose weighted Hamming is taken in
+    blocks. A pair sends its dissimilarity to each permutation's sums, which combine where the pair is read. z is null where permutations do not vary.
     """
+    if "states" in pairs.columns:
+        return coupling_of(pairs, groups, shuffles, seed, min_share)
     total = groups.count()
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > int(total * min_share))
     kept = groups.join(sizes.select("grp"), "grp", "left_semi")
     labels = written(shuffled_labels(kept, shuffles, seed), "labels")
     named = pairs.join(labels.select(F.col("cell").alias("a"), F.col("labels").alias("la")), "a").join(labels.select(F.col("cell").alias("b"), F.col("labels").alias("lb")), "b")
     each = named.select("d", F.posexplode(F.arrays_zip("la", "lb")).alias("s", "p")).select("s", "d", F.least("p.la", "p.lb").alias("g1"), F.greatest("p.la", "p.lb").alias("g2"))
-    sums = each.groupBy("s", "g1", "g2").agg(F.sum("d").alias("t"))
+    return deviations(each.groupBy("s", "g1", "g2").agg(F.sum("d").alias("t")), sizes)
+
+
+def coupling_of(cells: DataFrame, groups: DataFrame, shuffles: int = 500, seed: int = 1, min_share: float = 0.05, measure: blocks.Measure = blocks.weighted_hamming, size: int = blocks.PACKED) -> DataFrame:
+    """The same for ``cells`` (cell, states), whose pairs are summed in blocks and never rows: products of a block's dissimilarities with its cells' categories in all permutations."""
+    total = groups.count()
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > int(total * min_share))
+    labels = written(shuffled_labels(groups.join(sizes.select("grp"), "grp", "left_semi"), shuffles, seed), "labels")
+    # the categories are at most 1 / min_share; the place among them stands for each
+    names = F.broadcast(sizes.agg(F.array_sort(F.collect_set("grp")).alias("names")))
+    placed = labels.crossJoin(names).select("cell", F.transform("labels", lambda g: (F.array_position("names", g) - 1).cast("int")).alias("labels"))
+
+    def kernel(x: blocks.Block, y: blocks.Block, same: bool) -> dict[str, np.ndarray]:
+        d = blocks.measured(x, y, measure, MISSING)[0]
+        d = np.triu(d, 1) if same else d
+        one, two = x["labels"], y["labels"]
+        k = 1 + max(one.max(), two.max())
+        rows = []
+        for low in range(0, one.shape[1], 64):
+            p, q = one[:, low : low + 64], two[:, low : low + 64]
+            left = (p[:, :, None] == np.arange(k)).astype(float).reshape(len(p), -1)
+            right = (q[:, :, None] == np.arange(k)).astype(float)
+            part = (left.T @ d).reshape(p.shape[1], k, -1)
+            t = part @ right.transpose(1, 0, 2)
+            own, other = left.reshape(len(p), -1, k).sum(axis=0), right.sum(axis=0)
+            met = own[:, :, None] * other[:, None, :]
+            if same:  # each pair once: as many of (g, h) and (h, g) together as there are pairs of them
+                met = (met - own[:, :, None] * np.eye(k)) / 2
+            t, met = (np.triu(m) + np.tril(m, -1).transpose(0, 2, 1) for m in (t, met))
+            s, g, h = np.nonzero(met)
+            rows.append((s + low, g, h, t[s, g, h]))
+        s, g, h, t = (np.concatenate(c) for c in zip(*rows))
+        return {"s": s, "g": g, "h": h, "t": t}
+
+    held = blocks.one_clade(cells.select("cell", "states").join(placed, "cell"))
+    sums = blocks.meet(held, kernel, "s int, g int, h int, t double", size, ("labels",)).groupBy("s", "g", "h").agg(F.sum("t").alias("t"))
+    at = lambda c: F.element_at("names", F.col(c) + 1)
+    return deviations(sums.crossJoin(names).select("s", at("g").alias("g1"), at("h").alias("g2"), "t"), sizes)
+
+
+def deviations(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(g1, g2, d, z) from the sums of all permutations (s, g1, g2, t), the own categories at s = 0, and the categories' sizes (grp, n)."""
     # a pair within one category counts in both directions, as its matrix has it twice
     sized = sums.join(sizes.select(F.col("grp").alias("g1"), F.col("n").alias("n1")), "g1").join(sizes.select(F.col("grp").alias("g2"), F.col("n").alias("n2")), "g2")
     mean = sized.withColumn("m", F.col("t") * F.when(F.col("g1") == F.col("g2"), 2).otherwise(1) / (F.col("n1") * F.col("n2")))

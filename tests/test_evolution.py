@@ -56,6 +56,16 @@ def test_coupling_tells_near_groups_from_far_ones(spark):
     assert E.coupling(pairs.dissimilarity_map(cells), groups, 5, min_share=0.6).count() == 0
 
 
+def test_coupling_in_blocks_equals_coupling_of_pairs(spark):
+    cells = spark.createDataFrame([(i, [i % 2 + 1] * 4 + [i % 3, i % 5 - 1]) for i in range(50)], "cell int, states array<int>")
+    groups = spark.createDataFrame([(i, "abcd"[i % 3 if i else 3]) for i in range(50)], "cell int, grp string")
+    pairwise = {(r.g1, r.g2): (r.d, r.z) for r in E.coupling(pairs.dissimilarity_map(cells), groups, 70).collect()}
+    blocked = {(r.g1, r.g2): (r.d, r.z) for r in E.coupling_of(cells, groups, 70, size=12).collect()}
+    assert set(blocked) == set(pairwise) == {(g, h) for g in "abc" for h in "abc" if g <= h}
+    assert all(blocked[k] == pytest.approx(pairwise[k]) for k in pairwise)
+    assert E.coupling_of(cells, groups, 5, min_share=0.6).count() == 0
+
+
 def test_registered_coupling_has_the_reference_background(spark, monkeypatch):
     import inspect
 
